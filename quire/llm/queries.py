@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.exact_dedup import exact_dedup
 from quire.llm.line_dedup import line_dedup
+from quire.llm.minhash import near_duplicates
+from quire.llm.packing import pack
 from quire.llm.quality_rules import quality_rules
 
 
@@ -19,6 +21,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -29,6 +39,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_packing": op2_packing,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
