@@ -18,24 +18,44 @@ def changes(table: pa.Table | pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(differ) + 1
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups, each with its groups' first rows and, last, its length; the open group is carried on."""
+def _key(batch: pa.RecordBatch, row: int, keys: list[str]) -> tuple:
+    return tuple(batch.column(k)[row].as_py() for k in keys)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[tuple[pa.Table, np.ndarray | None]]:
+    """Tables of whole groups, each with its groups' first rows and, last, its length; the open group is carried on.
+
+    A group of more than `most` rows comes in parts, each a table of that group alone with None for the first rows.
+    """
     carry: list[pa.RecordBatch] = []
+    held, broken = 0, None
     for batch in batches:
+        if broken is not None and batch.num_rows:
+            first = _key(batch, 0, keys) == broken
+            at = changes(batch, keys)
+            end = (at[0] if len(at) else batch.num_rows) if first else 0
+            if end:
+                yield pa.Table.from_batches([batch.slice(0, end)]), None
+            batch = batch.slice(end)
+            if batch.num_rows:
+                broken = None
         if not batch.num_rows:
             continue
-        if carry:
-            last, first = carry[-1].slice(carry[-1].num_rows - 1), batch.slice(0, 1)
-            if all(last.column(k)[0] == first.column(k)[0] for k in keys) and not len(changes(batch, keys)):
-                carry.append(batch)
-                continue
-        table = pa.Table.from_batches([*carry, batch])
-        at = changes(table, keys)
-        if not len(at):
-            carry = [*carry, batch]
-            continue
-        yield table.slice(0, at[-1]), np.concatenate(([0], at))
-        carry = table.slice(at[-1]).to_batches()
+        at = changes(batch, keys)
+        if carry and not len(at) and _key(carry[-1], carry[-1].num_rows - 1, keys) == _key(batch, 0, keys):
+            carry.append(batch)
+            held += batch.num_rows
+        else:
+            table = pa.Table.from_batches([*carry, batch])
+            at = changes(table, keys)
+            if len(at):
+                yield table.slice(0, at[-1]), np.concatenate(([0], at))
+            carry = table.slice(at[-1] if len(at) else 0).to_batches()
+            held = sum(x.num_rows for x in carry)
+        if most is not None and held > most:
+            broken = _key(carry[-1], carry[-1].num_rows - 1, keys)
+            yield pa.Table.from_batches(carry), None
+            carry, held = [], 0
     if carry:
         table = pa.Table.from_batches(carry)
         yield table, np.concatenate(([0], changes(table, keys), [table.num_rows]))

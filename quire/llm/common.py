@@ -34,14 +34,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a materialised df has at most `rows` rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: str | None = None) -> bool:
+    """Whether a materialised df has at most `rows` rows, each counted as `weight` rows if that is given."""
+    if df.limit(rows + 1).count() > rows:
+        return False
+    return weight is None or (df.agg(F.sum(F.expr(weight))).first()[0] or 0) <= rows
 
 
-def joinable(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def joinable(df: DataFrame, rows: int = BROADCAST_ROWS, weight: str | None = None) -> DataFrame:
     """A materialised df of narrow rows, marked for broadcast if counted small, else for a shuffled join."""
-    return F.broadcast(df) if small(df, rows) else df
+    return F.broadcast(df) if small(df, rows, weight) else df
 
 
 def ascii_lower(c: Column) -> Column:

@@ -83,7 +83,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id: str = "doc_id", text:
 
     bitmaps has at most one row a document: by broadcast if counted small, else by a shuffled join.
     """
-    marks = joinable(cut(bitmaps).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("words").alias("__words")))
+    marks = cut(bitmaps).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("words").alias("__words"))
+    marks = joinable(marks, weight="1 + size(__words)")
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     joined = docs.join(marks, (F.col(f"`{id}`") == F.col("__id")) & (F.xxhash64(t) == F.col("__row")), "left")
     lines = F.split(t, "\n")
