@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.exact_dedup import exact_dedup
+from quire.llm.html_content import main_text
 from quire.llm.line_dedup import line_dedup
 from quire.llm.minhash import near_duplicates
 from quire.llm.packing import pack
 from quire.llm.quality_rules import quality_rules
 from quire.llm.repeats import remove_repeats
+from quire.llm.sentencepieces import decode_pieces, sample_pieces
 from quire.llm.warc import archive_folder, read_warc, write_warc
 
 
@@ -41,6 +43,15 @@ def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled ids, and the digest of what they decode to."""
+    return decode_pieces(sample_pieces(table(spark, sf_dir, "documents"))).drop("text")
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -55,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_repeated_substrings": op6_repeated_substrings,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_html_extraction": op8_html_extraction,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
