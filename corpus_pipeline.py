@@ -1,29 +1,58 @@
-"""The training-data pipeline: STAGES, each a function (spark, docs, sf_dir) -> DataFrame, and run() over all of them."""
+"""The training-data pipeline: STAGES, each a function (spark, docs, sf_dir) -> DataFrame, and run() over all of them.
+
+Each stage works on all that the one before kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm.common import shared_dir
 from quire.llm.line_dedup import drop_lines
+from quire.llm.minhash import drop_near_copies
+from quire.llm.packing import pack
 from quire.llm.quality_rules import keep_good
+from quire.llm.secrets import redact_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break no quality rule."""
     return keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand in three documents or more go, but in the document with the largest id that has them."""
     return drop_lines(docs)
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, by shingles of five words and a similarity of 0.8."""
+    return drop_near_copies(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced; every document stays."""
+    return redact_secrets(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in windows of 1024, one row per piece."""
+    return pack(docs)
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near copies", near_copies), ("secret scan", secrets), ("packing", packing)]
 
-#: Packing can't be expressed in SQL; tests hold run() against a brute-force version.
+#: Packing by fill levels and sampled forests can't be expressed in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each result written to the shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,6 +13,7 @@ from quire.llm.minhash import near_duplicates
 from quire.llm.packing import pack
 from quire.llm.quality_rules import quality_rules
 from quire.llm.repeats import remove_repeats
+from quire.llm.secrets import scan_secrets
 from quire.llm.sentencepieces import decode_pieces, sample_pieces
 from quire.llm.warc import archive_folder, read_warc, write_warc
 
@@ -39,6 +40,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op6_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_warc": op3_warc,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op6_repeated_substrings": op6_repeated_substrings,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_html_extraction": op8_html_extraction,
