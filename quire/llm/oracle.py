@@ -1,3 +1,72 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express; packing, forests, sampling and extraction are tested otherwise."""
+
+from quire.llm.common import UPPER
+from quire.llm.quality_rules import STOP_WORDS, THRESHOLDS
 
 SQL: dict[str, str] = {}
+
+WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LOWER = f"translate({{}}, '{UPPER}', '{UPPER.lower()}')"
+
+SQL["op1_exact_dedup"] = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t)::BIGINT AS group_size,
+  doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n"""
+
+SQL["op3_warc"] = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+m AS (SELECT *, CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM p)
+SELECT page_id, url, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM m"""
+
+SQL["op4_minhash_near_dedup"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+sym AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT sym.b, r.c FROM r JOIN sym ON sym.a = r.d)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, m.c = doc_id AS kept
+  FROM (SELECT d AS doc_id, min(c) AS c FROM r GROUP BY d) m LEFT JOIN n USING (doc_id)"""
+
+SQL["op6_repeated_substrings"] = """
+WITH h AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substring(x, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, x, unnest(range(n - 199)) AS i FROM h WHERE n >= 200)),
+d AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM d)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY doc_id, g),
+p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+k AS (SELECT doc_id, string_agg(substring(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(b) AS last, sum(b - a)::BIGINT AS removed, count(*)::BIGINT AS spans FROM p JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substring(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+  FROM h LEFT JOIN k USING (doc_id)"""
+
+SQL["op9_line_dedup"] = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT doc_id, line, pos, {LOWER.format(f"trim(line, {WHITE})")} AS key FROM l),
+c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+f AS (SELECT doc_id, line, pos, coalesce(doc_id < last, false) AS gone FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+  FROM f GROUP BY doc_id"""
+
+_METRICS = {
+    "n_words": "n_words",
+    "repeat_ratio": "n_repeat_words::DOUBLE / greatest(n_words, 1)",
+    "mean_word_chars": "word_chars::DOUBLE / greatest(n_words, 1)",
+    "symbol_ratio": "n_symbols::DOUBLE / greatest(n_words, 1)",
+    "stop_ratio": "n_stop_words::DOUBLE / greatest(n_words, 1)",
+    "dup_line_ratio": "n_dup_lines::DOUBLE / greatest(n_lines, 1)",
+}
+_BROKEN = ", ".join(f"CASE WHEN {_METRICS[m]} {op} {bound} THEN '{name}' END" for name, m, op, bound in THRESHOLDS)
+_STOPS = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+
+SQL["op10_quality_rules"] = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t))),
+r AS (SELECT doc_id, sum(least(8, coalesce(next - i, 8)))::BIGINT AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM x WHERE c > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS l FROM t),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0)::BIGINT AS word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(list_filter(w, lambda y: y IN ({_STOPS})))::BIGINT AS n_stop_words, len(l)::BIGINT AS n_lines
+  FROM t JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, array_to_string(list_filter([{_BROKEN}], lambda y: y IS NOT NULL), ',') AS broken_rules FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken_rules = '' AS kept, n_stop_words, n_lines, broken_rules FROM b"""
