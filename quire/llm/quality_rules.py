@@ -74,14 +74,14 @@ def stop_hashes(spark: SparkSession) -> list[int]:
     return list(spark.range(1).select(*[F.xxhash64(F.lit(w)).alias(f"w{i}") for i, w in enumerate(words)]).first())
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column of the metrics, `__quality`; null text counts as empty."""
+def measures(spark: SparkSession, text: str = "text") -> Column:
+    """A struct of the metrics; null text counts as empty. It is costly: use it once, or within let()."""
     t = F.coalesce(F.col(text), F.lit(""))
     spaced = reduce(lambda c, x: F.replace(c, F.lit(x), F.lit(" ")), "\t\n\x0b\f\r", t)
     words = F.filter(F.split(spaced, " "), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{WHITE}]"))
     symbols = F.regexp_count(t, F.lit("[#*$%&|<>]"))
-    stops = stop_hashes(docs.sparkSession)
+    stops = stop_hashes(spark)
 
     def with_words(w: Column) -> Column:
         return let(
@@ -104,9 +104,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         ),
     )
-    # let(), not a plain struct: the optimizer would copy a struct's fields into each use and compute them again
-    whole = F.struct(let(words, with_words).alias("w"), by_line.alias("l"), symbols.cast("long").alias("n_symbols"))
-    return docs.withColumn("__quality", let(whole, lambda x: x))
+    return F.struct(let(words, with_words).alias("w"), by_line.alias("l"), symbols.cast("long").alias("n_symbols"))
 
 
 def _ratios(q: Column) -> dict[str, Column]:
@@ -128,6 +126,10 @@ def compile_rules(q: Column, thresholds=THRESHOLDS) -> Column:
     return F.array_compact(F.array(*[F.when(compare[op](metrics[m], F.lit(bound)), F.lit(name)) for name, m, op, bound in thresholds]))
 
 
+def base_failed(q: Column) -> Column:
+    return (q["w"]["n_words"] < 20) | (100 * q["w"]["n_repeat_words"] > 30 * q["w"]["n_words"])
+
+
 def quality_rules(docs: DataFrame, id: str = "doc_id", text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """One row per document: its measures, the rules it breaks, and whether it is kept.
 
@@ -135,27 +137,28 @@ def quality_rules(docs: DataFrame, id: str = "doc_id", text: str = "text", thres
     rows are judged alike, each on its own. An empty table gives an empty result; columns besides id and text are not
     read, whatever their names.
     """
-    q = F.col("__quality")
-    rows = measure(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "__quality")
-    base = (q["w"]["n_words"] < 20) | (100 * q["w"]["n_repeat_words"] > 30 * q["w"]["n_words"])
-    broken = compile_rules(q, thresholds)
-    return rows.select(
-        "doc_id",
-        q["w"]["n_words"].alias("n_words"),
-        q["w"]["word_chars"].alias("word_chars"),
-        q["n_symbols"].alias("n_symbols"),
-        q["l"]["n_dup_lines"].alias("n_dup_lines"),
-        q["w"]["n_repeat_words"].alias("n_repeat_words"),
-        base.alias("base_failed"),
-        (~base & (F.size(broken) == 0)).alias("kept"),
-        q["w"]["n_stop_words"].alias("n_stop_words"),
-        q["l"]["n_lines"].alias("n_lines"),
-        F.array_join(broken, ",").alias("broken_rules"),
-    )
+    own = docs.select(F.col(f"`{id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    def judged(q: Column) -> Column:
+        base, broken = base_failed(q), compile_rules(q, thresholds)
+        return F.struct(
+            q["w"]["n_words"].alias("n_words"),
+            q["w"]["word_chars"].alias("word_chars"),
+            q["n_symbols"].alias("n_symbols"),
+            q["l"]["n_dup_lines"].alias("n_dup_lines"),
+            q["w"]["n_repeat_words"].alias("n_repeat_words"),
+            base.alias("base_failed"),
+            (~base & (F.size(broken) == 0)).alias("kept"),
+            q["w"]["n_stop_words"].alias("n_stop_words"),
+            q["l"]["n_lines"].alias("n_lines"),
+            F.array_join(broken, ",").alias("broken_rules"),
+        )
+
+    # let(), not a plain struct: the optimizer would copy a struct's fields into each use and compute them again
+    return own.select("doc_id", let(measures(docs.sparkSession), judged).alias("q")).select("doc_id", "q.*")
 
 
 def keep_good(docs: DataFrame, id: str = "doc_id", text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """The documents that break no rule, with all their columns as they were."""
-    q = F.col("__quality")
-    base = (q["w"]["n_words"] < 20) | (100 * q["w"]["n_repeat_words"] > 30 * q["w"]["n_words"])
-    return measure(docs, text).where(~base & (F.size(compile_rules(q, thresholds)) == 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the verdict is one expression within let(): a filter on a column of measures would compute them at each mention
+    good = let(measures(docs.sparkSession, f"`{text}`"), lambda q: ~base_failed(q) & (F.size(compile_rules(q, thresholds)) == 0))
+    return docs.where(good)

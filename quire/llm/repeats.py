@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.arrow_groups import runs, text_bytes
-from quire.llm.common import cut, joinable
 from quire.llm.shingles import mix, powers
 
 #: Bytes of a string that counts as repeated, window starts that share a sampled suffix at most, bytes of a gram.
@@ -138,6 +137,22 @@ def _sampled(own: DataFrame, length: int, reach: int) -> DataFrame:
     return own.mapInArrow(sample, "key bigint, full bigint, doc_id bigint, row bigint, place bigint")
 
 
+def _with_neighbours(batches: Iterator[pa.RecordBatch], names: list[str], told) -> Iterator[pa.RecordBatch]:
+    """told(table, a, b) for all rows in turn as rows a..b-1 of a table that holds their neighbours on both sides too."""
+    held: pa.Table | None = None  # the last row told, and the one that waits for the next batch
+    context = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]).select(names)
+        table = table if held is None else pa.concat_tables([held, table])
+        yield told(table, context, table.num_rows - 1)
+        context = min(1, table.num_rows - 1)
+        held = table.slice(table.num_rows - 1 - context)
+    if held is not None:
+        yield told(held, context, held.num_rows)
+
+
 def _judged(sampled: DataFrame) -> DataFrame:
     """The suffixes in order of key and context, each judged by its two neighbours: kind has DUP, CHECK or both.
 
@@ -160,18 +175,7 @@ def _judged(sampled: DataFrame) -> DataFrame:
             arrays = [kept.column(k).combine_chunks() for k in ("key", "doc_id", "row", "place")]
             return pa.RecordBatch.from_arrays([*arrays, pa.array(kind[take].astype(np.int32))], ["key", "doc_id", "row", "place", "kind"])
 
-        held: pa.Table | None = None  # the last row told and the one that waits for the next batch
-        context = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch]).select(names)
-            table = table if held is None else pa.concat_tables([held, table])
-            yield told(table, context, table.num_rows - 1)
-            context = min(1, table.num_rows - 1)
-            held = table.slice(table.num_rows - 1 - context)
-        if held is not None:
-            yield told(held, context, held.num_rows)
+        yield from _with_neighbours(batches, names, told)
 
     ordered = sampled.repartition("key").sortWithinPartitions("key", "full")
     return ordered.mapInArrow(judge, "key bigint, doc_id bigint, row bigint, place bigint, kind int")
@@ -274,18 +278,35 @@ def _compared(contexts: DataFrame, length: int, most: int) -> DataFrame:
     return ordered.mapInArrow(compare, "doc_id bigint, row bigint, lo bigint, hi bigint, window bigint")
 
 
+def _settled(found: DataFrame) -> DataFrame:
+    """The ranges of `found` that are sure, and of the windows those whose hash a neighbour in order of hash shares."""
+
+    def settle(batches):
+        names = ["doc_id", "row", "lo", "hi", "window"]
+
+        def told(table: pa.Table, a: int, b: int):
+            window = table.column("window").combine_chunks()
+            known = window.is_valid().to_numpy(zero_copy_only=False)
+            value = window.fill_null(0).to_numpy()
+            same = known[1:] & known[:-1] & (value[1:] == value[:-1])
+            false = np.zeros(1, bool)
+            keep = ~known | np.concatenate((false, same)) | np.concatenate((same, false))
+            kept = table.select(names[:4]).take(pa.array(np.flatnonzero(keep[a:b]) + a)).combine_chunks()
+            return pa.RecordBatch.from_arrays([c.combine_chunks() for c in kept.columns], names[:4])
+
+        yield from _with_neighbours(batches, names, told)
+
+    spread = F.coalesce("window", F.xxhash64("doc_id", "row", "lo"))
+    return found.repartition(spread).sortWithinPartitions("window").mapInArrow(settle, "doc_id bigint, row bigint, lo bigint, hi bigint")
+
+
 def repeated_ranges(own: DataFrame, length: int = LENGTH, reach: int = REACH, most: int = CONTEXTS) -> DataFrame:
     """own has doc_id, row (hash of the text) and t. Per text with repeated strings: doc_id, row, ranges (lo, hi).
 
     A range holds the starts, in bytes, of strings of `length` bytes that begin anywhere else too.
     """
-    found = cut(_compared(_contexts(own, _judged(_sampled(own, length, reach)), length), length, most))
-    sure = found.where("window is null").select("doc_id", "row", "lo", "hi")
-    many = found.where("window is not null")
-    if many.limit(1).count():
-        twice = many.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sure = sure.unionByName(many.join(twice, "window").select("doc_id", "row", "lo", "hi"))
-    return sure.groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    found = _compared(_contexts(own, _judged(_sampled(own, length, reach)), length), length, most)
+    return _settled(found).groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
 
 def _removed(n: int, ranges, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -311,8 +332,9 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
         raise ValueError("length must exceed reach by a gram, and reach must fit a byte")
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     own = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("row"), t.alias("t"))
-    ranges = cut(repeated_ranges(own, length, reach, most)).withColumnsRenamed({"doc_id": "d", "row": "r"})
-    joined = own.join(joinable(ranges, weight="1 + size(ranges)"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left").select("doc_id", "t", "ranges")
+    # one plan to the end: both joins use the texts' one exchange
+    ranges = repeated_ranges(own, length, reach, most).withColumnsRenamed({"doc_id": "d", "row": "r"})
+    joined = own.join(ranges, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left").select("doc_id", "t", "ranges")
 
     def take(batches):
         for batch in batches:

@@ -32,7 +32,10 @@ ALPHA = 1.0
 LONGEST = 64
 
 #: Characters of text that are segmented together.
-CHUNK = 1 << 19
+CHUNK = 1 << 20
+
+#: Slots of the table that tells most substrings that are no piece from pieces without a search.
+SLOTS = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,7 +86,10 @@ class Pieces:
         self.tables = {}
         for k, rows in by_length.items():
             rows.sort()
-            self.tables[k] = np.array([h for h, _ in rows], np.uint64), np.array([i for _, i in rows], np.int64)
+            known = np.array([h for h, _ in rows], np.uint64)
+            maybe = np.zeros(SLOTS, bool)
+            maybe[(known >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)] = True
+            self.tables[k] = known, np.array([i for _, i in rows], np.int32), maybe
 
 
 @cache
@@ -114,15 +120,15 @@ def _forward(p: Pieces, codes: np.ndarray, starts: np.ndarray, alpha: float) ->
     n, most = len(codes), min(p.longest, LONGEST)
     lengths = np.diff(np.append(starts, n))
     into = np.arange(n) - np.repeat(starts, lengths)
-    edge = np.full((n, most), -np.inf)
-    piece = np.zeros((n, most), np.int64)
+    edge = np.full((n, most), -np.inf, np.float32)
+    piece = np.zeros((n, most), np.int32)
     h = np.zeros(n, np.uint64)
     for k in range(1, most + 1):
         h = _rolled(codes.astype(np.uint64), k, h)
         if k not in p.tables:
             continue
-        known, ids = p.tables[k]
-        at = np.flatnonzero(into >= k - 1)
+        known, ids, maybe = p.tables[k]
+        at = np.flatnonzero(maybe[(h >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)] & (into >= k - 1))
         slot = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
         hit = known[slot] == h[at]
         edge[at[hit], k - 1] = alpha * p.logp[ids[slot[hit]]]
@@ -139,7 +145,7 @@ def _forward(p: Pieces, codes: np.ndarray, starts: np.ndarray, alpha: float) ->
     for i in range(len(bounds) - 1):
         at = order[bounds[i] : bounds[i + 1]]
         width = min(i + 1, most)
-        w = edge[at, :width]
+        w = edge[at, :width].astype(np.float64)
         # total[x] is that of the character before x within a stretch; before its first it is 0
         before = at[:, None] - np.arange(width)[None, :]
         w = w + np.where(into[before] > 0, total[before - 1], 0.0)
@@ -147,7 +153,7 @@ def _forward(p: Pieces, codes: np.ndarray, starts: np.ndarray, alpha: float) ->
         total[at] = top + np.log(np.exp(w - top[:, None]).sum(axis=1))
         edge[at, :width] = np.cumsum(np.exp(w - total[at][:, None]), axis=1)
         edge[at, width:] = 2.0
-    return edge.astype(np.float32), piece
+    return edge, piece
 
 
 def _uniform(seed: np.ndarray, ordinal: np.ndarray, step: int) -> np.ndarray:
