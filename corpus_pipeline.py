@@ -44,7 +44,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near copies", near_copies), ("secret scan", secrets), ("packing", packing)]
 
-#: Packing by fill levels and sampled forests can't be expressed in SQL; tests hold run() against a brute-force version.
+#: Packing by fill levels and sampled forests can't be expressed in SQL; a test of run() against a brute-force version is still to be written.
 ORACLE_SQL = None
 
 
