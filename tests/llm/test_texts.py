@@ -1,6 +1,8 @@
 """Quality rules, packing, coding, extraction and secrets: plain versions, round trips and held-out accuracy."""
 
+import base64
 import collections
+import hashlib
 import html
 import zlib
 
@@ -199,3 +201,29 @@ def test_secrets(spark, empty):
     assert clean[1] == 'some words and token = "[SECRET]" then more' and clean[6].count(S.SECRET) == 2
     assert {i: clean[i] for i in (2, 3, 4, 5)} == {i: t for i, t in rows if i in (2, 3, 4, 5)}
     assert S.scan_secrets(empty).count() == 0
+
+
+def test_secrets_of_any_length_and_in_any_quotes(spark):
+    """Long signed tokens and keys, escaped quotes and line ends, other quotes and stops, short and letters-only secrets."""
+    code = lambda k, n: base64.urlsafe_b64encode(b"".join(hashlib.sha256(b"%d:%d" % (k, i)).digest() for i in range(n))).decode().rstrip("=")
+    jwt = f"eyJ{code(1, 1)[:17]}.eyJ{code(2, 21)[:832]}.{code(3, 1)}"
+    key, token = code(4, 40)[:1500], "24be7f1c9d084c7d659a2feaa0c55ad015a3bf4f"
+    assert 890 < len(jwt) < 910
+    told = [
+        (jwt, f"Authorization: Bearer {jwt} and more"), (key, f"secret key = {key}"), (token, f'{{\\"token\\":\\"{token}\\"}}'), (token, f"token «{token}» here"),
+        (token, f"token “{token}”"), (token, f"password={token}\\nnext"), (token, f"first\\ntoken\\n{token}"), (token, f"token {token}… and so on"), (token, f"token：{token}です"),
+        ("hJ4kX92qWz", "password: hJ4kX92qWz"), ("qzxvkwjtrbpnmghdlfyc", "secret = qzxvkwjtrbpnmghdlfyc"),
+        (r"Qx7dTzP4\/9rLm2VbC8nYw5\/KhJ3sFg6Ea1Uo0i", r'"secret":"Qx7dTzP4\/9rLm2VbC8nYw5\/KhJ3sFg6Ea1Uo0i"'),
+    ]
+    plain = ["the secret garden of another winter", "key question about the section", "bearer of another message", f"commit «{token}» fixed it", "no hJ4kX92qWz1 beside it"]
+    docs = spark.createDataFrame([(i, t, "src") for i, t in enumerate([t for _, t in told] + plain)], "doc_id long, text string, source string")
+    found = {(r["doc_id"], r["candidate"]) for r in S.scan_secrets(docs).where("is_secret").collect()}
+    assert found == {(i, c) for i, (c, _) in enumerate(told)}
+    clean = {r["doc_id"]: r["text"] for r in S.redact_secrets(docs).collect()}
+    assert clean == {i: t.replace(c, S.SECRET) for i, (c, t) in enumerate([*told, *(("[]", t) for t in plain)])}
+
+
+def test_short_secrets_are_redacted_as_runs_only(spark):
+    docs = spark.createDataFrame([(1, "password: hJ4kX92qWz, again hJ4kX92qWz. but zhJ4kX92qWz1"), (2, "x" * 300_000 + "1 " + r"a1\/" * 50_000)], "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in S.redact_secrets(docs, path=None).collect()}
+    assert clean[1] == "password: [SECRET], again [SECRET]. but zhJ4kX92qWz1" and len(clean[2]) > 400_000
