@@ -28,9 +28,6 @@ EXPONENT = 1.0
 #: Inverse temperature of the sampled distribution; 0 makes all segmentations alike, large values the best one.
 ALPHA = 1.0
 
-#: A stretch of more characters is cut there before it is segmented.
-LONGEST = 64
-
 #: Characters of text that are segmented together.
 CHUNK = 1 << 20
 
@@ -98,16 +95,14 @@ def pieces(path: str) -> Pieces:
 
 
 def _stretches(codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """The first character of each stretch: a run of spaces with the word after it, cut every LONGEST characters.
+    """The first character of each stretch: a run of spaces with all up to the next one, of any length.
 
-    No piece lies across the start of a stretch, so stretches are segmented independently of each other.
+    Stretches are segmented independently of each other.
     """
     space = codes == ord(SPACE)
     new = np.ones(len(codes), bool)
     new[1:] = (space[1:] & ~space[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    into = np.arange(len(codes)) - np.repeat(first, np.diff(np.append(first, len(codes))))
-    return np.flatnonzero(into % LONGEST == 0)
+    return np.flatnonzero(new)
 
 
 def _forward(p: Pieces, codes: np.ndarray, starts: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +112,7 @@ def _forward(p: Pieces, codes: np.ndarray, starts: np.ndarray, alpha: float) ->
     where each piece begins, times the piece's. A character without a piece has its UTF-8 bytes as its one edge; that
     edge's piece is -1 - code.
     """
-    n, most = len(codes), min(p.longest, LONGEST)
+    n, most = len(codes), p.longest
     lengths = np.diff(np.append(starts, n))
     into = np.arange(n) - np.repeat(starts, lengths)
     edge = np.full((n, most), -np.inf, np.float32)
@@ -174,7 +169,7 @@ def encode(p: Pieces, texts: list[str], keys: list[int], alpha: float = ALPHA) -
     starts = _stretches(codes, doc)
     lengths = np.diff(np.append(starts, len(codes)))
     # equal stretches share a lattice: told by a hash of 64 bits and the length, then compared letter by letter
-    powers = np.multiply.accumulate(np.full(LONGEST, _BASE))
+    powers = np.multiply.accumulate(np.full(int(lengths.max()), _BASE))
     into = np.arange(len(codes)) - np.repeat(starts, lengths)
     h = mix(np.add.reduceat(mix(codes.astype(np.uint64) + np.uint64(1)) * powers[into], starts) + lengths.astype(np.uint64))
     _, first, lattice = np.unique(h, return_index=True, return_inverse=True)

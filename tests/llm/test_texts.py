@@ -227,3 +227,24 @@ def test_short_secrets_are_redacted_as_runs_only(spark):
     docs = spark.createDataFrame([(1, "password: hJ4kX92qWz, again hJ4kX92qWz. but zhJ4kX92qWz1"), (2, "x" * 300_000 + "1 " + r"a1\/" * 50_000)], "doc_id long, text string")
     clean = {r["doc_id"]: r["text"] for r in S.redact_secrets(docs, path=None).collect()}
     assert clean[1] == "password: [SECRET], again [SECRET]. but zhJ4kX92qWz1" and len(clean[2]) > 400_000
+
+
+def test_pieces_distribution_over_long_runs():
+    """In a run of over 64 characters without a space, pieces end at each place as often as a sum over all segmentations says."""
+    p = P.pieces(public_tokenizers.path(P.MODEL))
+    n, run = 3000, "international" * 9
+    ranked = {x.decode().replace(" ", P.SPACE): float(p.logp[i]) for i, x in enumerate(p.raw) if x and i not in set(p.byte.tolist())}
+    whole = P.SPACE + run
+    size = len(whole)
+    weight = {(a, b): np.exp(ranked[whole[a:b]]) for a in range(size) for b in range(a + 1, min(a + p.longest, size) + 1) if whole[a:b] in ranked}
+    ahead, back = np.zeros(size + 1), np.zeros(size + 1)
+    ahead[0] = back[size] = 1
+    for b in range(1, size + 1):
+        ahead[b] = sum(ahead[a] * weight.get((a, b), 0) for a in range(b))
+    for a in range(size - 1, -1, -1):
+        back[a] = sum(back[b] * weight.get((a, b), 0) for b in range(a + 1, size + 1))
+    ids, off = P.encode(p, [run] * n, list(range(n)))
+    seen = np.zeros(size + 1)
+    for a, b in zip(off[:-1], off[1:], strict=True):
+        seen[np.cumsum([len(p.raw[i].decode()) for i in ids[a:b]])] += 1
+    assert np.abs(seen[1:] / n - (ahead * back / ahead[size])[1:]).max() < 0.05
