@@ -23,6 +23,21 @@ CONTAINERS = frozenset(
     "html body main article section div nav header footer aside form ul ol dl table fieldset dialog menu figure details h1 h2 h3 h4 h5 h6".split()
 )
 
+#: Fixed values of HTML: elements whose end tags may be left out. A start tag closes the open ones listed for it, up to the nearest of the
+#: elements after them; an end tag of theirs looks no further either.
+_CELLS = frozenset({"table"})
+_ITEMS = frozenset("ul ol dl menu table td th body article section main aside nav header footer form fieldset figure details dialog blockquote".split())
+_CLOSED = {
+    "li": (frozenset({"li"}), _ITEMS), "dt": (frozenset({"dt", "dd"}), _ITEMS), "dd": (frozenset({"dt", "dd"}), _ITEMS),
+    "td": (frozenset("td th caption".split()), _CELLS), "th": (frozenset("td th caption".split()), _CELLS), "tr": (frozenset("tr td th caption colgroup".split()), _CELLS),
+    **{x: (frozenset("thead tbody tfoot tr td th caption colgroup".split()), _CELLS) for x in ("thead", "tbody", "tfoot", "colgroup", "caption")},
+    "option": (frozenset({"option"}), frozenset({"datalist", "optgroup"})), "optgroup": (frozenset({"option", "optgroup"}), frozenset({"datalist"})),
+    "rt": (frozenset({"rt", "rp"}), frozenset({"ruby"})), "rp": (frozenset({"rt", "rp"}), frozenset({"ruby"})),
+}
+OPTIONAL = frozenset({"p", *_CLOSED})
+_BLOCKS = (CONTAINERS - {"html", "body"}) | frozenset("p li dt dd address blockquote center dir figcaption hgroup hr pre summary search".split())
+_AROUND_P = CONTAINERS | frozenset("td th caption button object".split())
+
 #: Features of parts of a text, which don't tell its container from another.
 WITHIN = frozenset("a ul ol dl table figure details h1 h2 h3 h4 h5 h6".split())
 
@@ -46,50 +61,83 @@ def _names(rest: str) -> frozenset[str]:
 
 
 def segments(html: str):
-    """The page in order, as (kind, value, features): "text" with its features, "tag" and "break" with a tag's name.
+    """The page in order, as (kind, value, features): "text" with its features, "tag" and "break" with a tag's name and no features.
 
-    Features of a text are its open containers' names and name parts, and "a" within a link. Elements that are never
-    closed end with the container around them.
+    Features of a text are its open containers' names and name parts, and "a" within a link. Elements whose end tags may
+    be left out end as HTML says: at the next of their kind or, a paragraph, at the next block. Others that are never
+    closed end with the container around them. Nesting may be of any depth.
     """
-    stack: list[tuple[str, frozenset[str]]] = []
-    features: frozenset[str] = frozenset()
+    stack: list[tuple[str, frozenset[str]]] = []  # names and own features
+    opened: Counter[str] = Counter()  # of the names on the stack
+    held: Counter[str] = Counter()  # of the features on the stack
+    features: frozenset[str] | None = frozenset()  # of held; None after a change
     link = False
+
+    def close(wanted: frozenset[str], up_to: frozenset[str], all_of_them: bool = False) -> None:
+        """Closes the innermost open element of `wanted`, or all of them, that lies within the nearest of up_to."""
+        nonlocal features
+        if not any(opened[x] for x in wanted):
+            return
+        at = None
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in wanted:
+                at = k
+                if not all_of_them:
+                    break
+            elif stack[k][0] in up_to:
+                break
+        if at is None:
+            return
+        for gone, own in stack[at:]:
+            opened[gone] -= 1
+            for f in own:
+                held[f] -= 1
+                if not held[f]:
+                    del held[f]
+                    features = None
+        del stack[at:]
+
     for m in _TOKEN.finditer(html):
         text = m["text"]
         if text is not None:
+            if features is None:
+                features = frozenset(held)
             yield "text", text, features | {"a"} if link else features
             continue
         name = m["name"]
         if name is None:
             if m["unshown"]:
-                yield "break", m["unshown"].lower(), features
+                yield "break", m["unshown"].lower(), frozenset()
             continue
         name = name.lower()
-        yield ("tag" if name in INLINE else "break"), name, features
+        yield ("tag" if name in INLINE else "break"), name, frozenset()
         if m["close"]:
             if name == "a":
                 link = False
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    features = stack[-1][1] if stack else frozenset()
-                    break
-                if name not in CONTAINERS and stack[k][0] in CONTAINERS:
-                    break
+            if name in CONTAINERS:
+                close(frozenset({name}), frozenset())
+            else:
+                close(frozenset({name}), _CLOSED[name][1] if name in _CLOSED else CONTAINERS)
             continue
         if name == "a":
             link = True
         elif name not in INLINE:
             link = False
+        if name in _BLOCKS:
+            close(frozenset({"p"}), _AROUND_P)
+        if name in _CLOSED:
+            close(*_CLOSED[name], all_of_them=True)
         rest = m["rest"]
         if name in VOID or rest.endswith("/"):
             continue
-        own = _names(rest)
-        if name in CONTAINERS or own:
-            features = features | own | ({name} if name in CONTAINERS else set())
-            stack.append((name, features))
-            if len(stack) > 400:  # nothing more can be told from deeper nesting
-                del stack[200:]
+        own = _names(rest) | ({name} if name in CONTAINERS else frozenset())
+        if own or name in OPTIONAL:
+            stack.append((name, own))
+            opened[name] += 1
+            for f in own:
+                if not held[f]:
+                    features = None
+                held[f] += 1
 
 
 #: Names that sites give to containers of each kind, for the labelled pages.

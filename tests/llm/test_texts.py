@@ -248,3 +248,21 @@ def test_pieces_distribution_over_long_runs():
     for a, b in zip(off[:-1], off[1:], strict=True):
         seen[np.cumsum([len(p.raw[i].decode()) for i in ids[a:b]])] += 1
     assert np.abs(seen[1:] / n - (ahead * back / ahead[size])[1:]).max() < 0.05
+
+
+@pytest.mark.parametrize(
+    ("page", "left_out"),
+    [
+        ("<article><p class=ad>Buy<p>Real text", {"Buy"}),
+        ("<article><ul><li class=ad><div>Buy<li>Real text</ul><p>Real text", {"Buy"}),
+        ("<article><table><tr class=ad><td><div class=promo>Buy<td>Buy<tr><td>Real text</table>Real text", {"Buy"}),
+        ("<article><dl><dt class=ad>Buy<dd>Real text<p class=ad>Buy</dl>Real text", {"Buy"}),
+        ("<article><p class=ad>Buy<h2>Real text</h2><p>Real text<table><tr><td><p class=ad>Buy<td>Real text</table>", {"Buy"}),
+        ("<ul><li class=ad>Buy<ul><li>Buy</ul>Buy<li>Real text", {"Buy"}),
+        ("<aside class=ad>" + "<div>" * 1000 + "Buy" + "</div>" * 1000 + "Buy</aside>Real text", {"Buy"}),
+        ("<article>" + "<div><b id=x>" * 500 + "<div class=ad>Buy</div>Real text" + "</div>" * 500 + "Real text", {"Buy"}),
+    ],
+)
+def test_extraction_of_left_out_end_tags_and_deep_nesting(page, left_out):
+    texts = [(v, ".ad" in f) for kind, v, f in H.segments(page) if kind == "text"]
+    assert {v for v, named in texts if named} == left_out and {v for v, named in texts if not named} == {"Real text"}
