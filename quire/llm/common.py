@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: the white space of every contract here, as a regular-expression class body.
 WHITE = r"\x20\x09-\x0D"
 
+#: A key is heavy if it holds more than a HEAVY-th of all rows. So fewer than HEAVY keys are, whatever the size of the
+#: table, and a table of heavy keys alone may be broadcast.
+HEAVY = 4096
+
 #: Joins broadcast a side only after counting it; beyond this many rows they shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -17,12 +19,12 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), the context's own or a temporary one."""
+    """The folder in spark.checkpoint.dir, which all executors share, or the one set on the context; an error if there is none."""
     context = spark.sparkContext
     own = context._jsc.sc().getCheckpointDir()
     folder = spark.conf.get("spark.checkpoint.dir", None) or (own.get() if own.isDefined() else None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quire-")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if own.isEmpty():
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -34,6 +36,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def is_heavy(total: int, n: str = "n") -> Column:
+    """Whether a key with `n` of `total` rows is heavy."""
+    return F.col(n) * HEAVY > total
+
+
+def join_by_count(rows: DataFrame, keyed: DataFrame, on: list[str], total: int, how: str = "inner", n: str = "n") -> DataFrame:
+    """rows joined with keyed, which has one row a key and in `n` how many of the `total` rows have it; the column n goes.
+
+    The rows of heavy keys stay where they are and meet a broadcast table of fewer than HEAVY rows. All others meet by a
+    sort-merge join, so no task gets more than a HEAVY-th of the rows from one key. The plan is the same at every size.
+    Both sides are read twice: cut them first if they are dear.
+    """
+    heavy = F.broadcast(keyed.where(is_heavy(total, n)).drop(n))
+    light = rows.join(F.broadcast(keyed.where(is_heavy(total, n)).select(*on)), on, "left_anti")
+    return rows.join(heavy, on).unionByName(light.join(keyed.where(~is_heavy(total, n)).drop(n).hint("merge"), on, how))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: str | None = None) -> bool:
     """Whether a materialised df has at most `rows` rows, each counted as `weight` rows if that is given."""
     if df.limit(rows + 1).count() > rows:

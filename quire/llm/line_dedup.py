@@ -1,15 +1,18 @@
-"""Line dedup: hashed line keys decide, and documents get back compressed bitmaps of the lines to keep."""
+"""Line dedup: sorted line hashes are streamed, and documents get back compressed bitmaps of the lines they lose."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import ascii_lower, cut, joinable, let
+from quire.llm.common import ascii_lower, cut, is_heavy, let
 
 MIN_CHARS = 20
 MIN_DOCS = 3
 
+#: Lines are counted in so many slots of their hashes first; only lines in crowded slots are counted by key.
+SLOTS = 65536
+
 STRIP = " \t\n\x0b\f\r"
 
 
@@ -39,29 +42,43 @@ def hashed_lines(docs: DataFrame, id: str, text: str, min_chars: int = MIN_CHARS
     return rows.where("key is not null").select("doc_id", "row", "pos", F.col("key.a").alias("a"), F.col("key.b").alias("b"))
 
 
+def _heavy_keys(lines: DataFrame, total: int) -> DataFrame:
+    """a, b, docs (documents that hold the key) and last (the largest doc_id) of each heavy key: fewer than HEAVY rows.
+
+    A heavy key makes its slot heavy, so only the lines of heavy slots, fewer than HEAVY too, are counted by key. All
+    counts are added up within tasks before they are shuffled.
+    """
+    slot = F.expr(f"pmod(a, {SLOTS})")
+    crowded = lines.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).where(is_heavy(total)).select("slot")
+    inside = lines.join(F.broadcast(crowded), slot == F.col("slot"), "left_semi")
+    keys = inside.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(is_heavy(total)).select("a", "b")
+    once = lines.join(F.broadcast(cut(keys)), ["a", "b"]).select("a", "b", "doc_id", "row").distinct()
+    return once.groupBy("a", "b").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("last"))
+
+
 def drop_bitmaps(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per document that loses lines: doc_id, row, and `words`, the sparse bitmap of the lines it loses.
 
-    `words` is an array of (word, bits): 64 lines a word, words without a lost line left out. Hashes and positions are
-    all that is shuffled; the texts stay where they are.
+    `words` is an array of (word, bits): 64 lines a word, words without a lost line left out. Only hashes, ids and
+    positions are shuffled here.
 
-    A key is counted once a document, and the counts of a task are added up before they are shuffled by key, so that a
-    key that stands in a third of all documents arrives as one row a task. The keys found in min_docs documents are joined to
-    the lines: by broadcast if counted small, else by a shuffle whose hot partitions adaptive execution splits. The
-    lost lines are range-partitioned by document with a secondary sort by position and folded into bitmaps.
+    Line hashes are range-partitioned by key, sorted by key, document (the largest id first) and position, and streamed:
+    a key's first document keeps its lines, the later ones lose theirs if there are min_docs. A key that holds more than a
+    HEAVY-th of all lines would burden one task; those keys, fewer than HEAVY at any size, are counted within tasks
+    instead, and their lines meet the broadcast counts where they are.
     """
     lines = cut(hashed_lines(docs, id, text, min_chars))
-    once = lines.select("a", "b", "doc_id", "row").distinct()
-    common = (
-        once.groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
-        .where(F.col("n") >= min_docs)
-        .select("a", "b", "last")
+    heavy = cut(_heavy_keys(lines, lines.count()))
+    others = lines.join(F.broadcast(heavy.select("a", "b")), ["a", "b"], "left_anti")
+    order = [F.col("doc_id").desc_nulls_last(), F.col("row")]
+    key = Window.partitionBy("a", "b")
+    stream = others.repartitionByRange("a", "b").sortWithinPartitions("a", "b", *order, "pos").select(
+        "*", F.first("doc_id").over(key.orderBy(*order)).alias("last"), F.dense_rank().over(key.orderBy(*order)).alias("nth")
     )
-    common = joinable(cut(common))
-    lost = lines.join(common, ["a", "b"]).where(F.col("doc_id") < F.col("last")).select("doc_id", "row", "pos")
-    ordered = lost.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row", "pos")
-    bits = ordered.groupBy("doc_id", "row", F.expr("pos div 64").cast("int").alias("word")).agg(
+    judged = stream.withColumn("docs", F.max("nth").over(key)).select("doc_id", "row", "pos", "docs", "last")
+    found = judged.unionByName(lines.join(F.broadcast(heavy), ["a", "b"]).select("doc_id", "row", "pos", "docs", "last"))
+    lost = found.where((F.col("docs") >= min_docs) & (F.col("doc_id") < F.col("last"))).select("doc_id", "row", "pos").repartition("doc_id", "row")
+    bits = lost.groupBy("doc_id", "row", F.expr("pos div 64").cast("int").alias("word")).agg(
         F.expr("bit_or(shiftleft(1L, pos % 64))").alias("bits")
     )
     return bits.groupBy("doc_id", "row").agg(F.collect_list(F.struct("word", "bits")).alias("words"))
@@ -81,10 +98,9 @@ def _kept(lines: Column, words: Column) -> Column:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with `__kept` (the text without the lost lines), `__n_lines` and `__n_dropped`; no other change.
 
-    bitmaps has at most one row a document: by broadcast if counted small, else by a shuffled join.
+    bitmaps has at most one row a document, and meets the texts by one sort-merge join at every size.
     """
-    marks = cut(bitmaps).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("words").alias("__words"))
-    marks = joinable(marks, weight="1 + size(__words)")
+    marks = bitmaps.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("words").alias("__words")).hint("merge")
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     joined = docs.join(marks, (F.col(f"`{id}`") == F.col("__id")) & (F.xxhash64(t) == F.col("__row")), "left")
     lines = F.split(t, "\n")
