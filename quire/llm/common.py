@@ -12,9 +12,6 @@ WHITE = r"\x20\x09-\x0D"
 #: table, and a table of heavy keys alone may be broadcast.
 HEAVY = 4096
 
-#: Joins broadcast a side only after counting it; beyond this many rows they shuffle.
-BROADCAST_ROWS = 200_000
-
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -53,18 +50,6 @@ def join_by_count(rows: DataFrame, keyed: DataFrame, on: list[str], total: int,
     return rows.join(heavy, on).unionByName(light.join(keyed.where(~is_heavy(total, n)).drop(n).hint("merge"), on, how))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: str | None = None) -> bool:
-    """Whether a materialised df has at most `rows` rows, each counted as `weight` rows if that is given."""
-    if df.limit(rows + 1).count() > rows:
-        return False
-    return weight is None or (df.agg(F.sum(F.expr(weight))).first()[0] or 0) <= rows
-
-
-def joinable(df: DataFrame, rows: int = BROADCAST_ROWS, weight: str | None = None) -> DataFrame:
-    """A materialised df of narrow rows, marked for broadcast if counted small, else for a shuffled join."""
-    return F.broadcast(df) if small(df, rows, weight) else df
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased; no other letter changes."""
     return let(c, lambda x: F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(F.translate(x, UPPER, UPPER.lower())))
