@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Content types by suffix.
-CONTENT_TYPES = (("jpg", "image/jpeg"), ("jpeg", "image/jpeg"), ("png", "image/png"), ("gif", "image/gif"), ("webp", "image/webp"))
+#: Content types of covers by suffix; all others are octet streams.
+CONTENT_TYPES = (("jpg", "image/jpeg"), ("jpeg", "image/jpeg"), ("png", "image/png"))
 
 
 def slug(c: Column, prefix: str = "book") -> Column:
@@ -24,20 +24,26 @@ def file_safe(c: Column) -> Column:
     return F.trim(F.translate(c, '<>:"/\\|?*', ""))
 
 
+def bare(c: Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+
+
 def title_cleaned(title: Column, author: Column) -> Column:
-    """Without a trailing " - author", in any case."""
-    suffix = F.concat(F.lit(" - "), author)
-    hit = F.endswith(F.lower(title), F.lower(suffix))
-    return F.when(hit, F.rtrim(F.substring(title, F.lit(1), F.length(title) - F.length(suffix)))).otherwise(title)
+    """Trimmed, and without a trailing " - author" in any case; a null author leaves the trimmed title."""
+    t, suffix = bare(title), F.concat(F.lit(" - "), bare(author))
+    hit = F.endswith(F.lower(t), F.lower(suffix))
+    return F.when(hit, F.regexp_replace(F.substring(t, F.lit(1), F.length(t) - F.length(suffix)), r"(?U)\s+\z", "")).otherwise(t)
 
 
 def before_bracket(title: Column) -> Column:
     return F.split_part(title, F.lit(" ("), F.lit(1))
 
 
-def chapter_titled(c: Column) -> Column:
-    """The first "ch. 3", "Chapter: 3" or the like as "Chapter 3"."""
-    return F.regexp_replace(c, r"(?is)^(.*?)\b(?:ch\.?|chapter)[:-]?[ \t]*([0-9]+)", "$1Chapter $2")
+def chapter_titled(c: Column, number: Column) -> Column:
+    """The first "ch. 3", "Chapter : 3", "CHAPTER - 3" or the like as "Chapter " and the chapter's own number."""
+    own = F.concat(F.lit("$1Chapter "), number.cast("string"))
+    return F.regexp_replace(c, F.lit(r"(?isU)\A(.*?)\b(?:ch\.?|chapter)\s*[:-]?\s*\d+"), own)
 
 
 def resolved(root: Column, stored: Column) -> Column:
@@ -75,8 +81,16 @@ def play_order(c: Column) -> Column:
 
 def series_position(c: Column) -> Column:
     """A fractional position rounded down, never negative."""
-    return F.greatest(F.floor(c), F.lit(0)).cast("int")
+    return F.when(c.isNotNull(), F.greatest(F.floor(c), F.lit(0)).cast("int"))
 
 
 def first_image(html: Column) -> Column:
-    return F.regexp_extract(html, r"""(?i)<img[^>]+src=["']([^"']+)["']""", 1)
+    """The source of the first image that has one: quoted either way or not at all, wherever it stands among the attributes."""
+    value = r"""(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    tag = F.regexp_extract(html, rf"(?is)<img\b[^>]*?\ssrc\s*=\s*{value}", 0)
+    return F.coalesce(*[F.nullif(F.regexp_extract(tag, rf"(?is)\ssrc\s*=\s*{value}", k), F.lit("")) for k in (1, 2, 3)], F.lit(""))
+
+
+def cover_path(book: Column) -> Column:
+    """Where a book's cover is served."""
+    return F.concat(F.lit("/api/v1/books/"), book.cast("string"), F.lit("/cover"))

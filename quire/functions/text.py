@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import html as markup
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-#: Elements without readable text, and elements after which a sentence ends.
-SKIPPED = "script style head title meta link img video audio iframe canvas svg".split()
-BLOCKS = "p div section article header footer main aside nav h1 h2 h3 h4 h5 h6 ul ol li blockquote pre table tr".split()
+#: Elements that are skipped with all they hold, elements after which a sentence ends, and those of HTML whose start or end
+#: closes an open paragraph.
+SKIPPED = "script style head title video audio iframe canvas svg".split()
+BLOCKS = "p div h1 h2 h3 h4 h5 h6 li blockquote section article pre".split()
+CLOSE_P = (
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr "
+    "main menu nav ol p pre section summary table ul li dd dt td th tr body html"
+).split()
+
+#: A tag: an attribute's value is quoted only right behind its equals sign, as in HTML.
+TAG = r"""<[!/?A-Za-z](?:[^>=]*+=[ \t\n\f\r]*+(?:"[^"]*+"|'[^']*+'|))*+[^>=]*+(?:>|\z)"""
+
+#: Stands for the end of a block; no text holds it, as it is no character.
+END = "\ufdd0"
 
 TRIM = " \n\t\r"
 
@@ -75,6 +89,29 @@ def chunks(text: Column, policy: ChunkPolicy = ChunkPolicy()) -> Column:
     return let(one_line(text), fold)
 
 
+def chunk_spans(text: Column, policy: ChunkPolicy = ChunkPolicy()) -> Column:
+    """The chunks' places in the one-line text: (start, stop) in bytes; only white space lies between two of them."""
+
+    def placed(t: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            gap = F.call_function("locate", x, t, a["chars"] + 1) - a["chars"] - 1
+            start = a["bytes"] + gap
+            stop = start + F.octet_length(x)
+            span = F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"))
+            return F.struct(F.concat(a["spans"], F.array(span)).alias("spans"), (a["chars"] + gap + F.length(x)).alias("chars"), stop.alias("bytes"))
+
+        zero = F.struct(F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"), F.lit(0).alias("chars"), F.lit(0).alias("bytes"))
+        return F.aggregate(chunks(t, policy), zero, step, lambda a: a["spans"])
+
+    return let(one_line(text), placed)
+
+
+def sliced(text: Column, start: Column, stop: Column) -> Column:
+    """The bytes start..stop-1 of text; empty if they are not all there."""
+    part = F.call_function("substring", text.cast("binary"), (start + 1).cast("int"), (stop - start).cast("int")).cast("string")
+    return F.when((start >= 0) & (stop <= F.octet_length(text)) & (start <= stop), part).otherwise("")
+
+
 def spoken_sentences(c: Column) -> Column:
     """Sentences as they are sent to speech: split after a stop and white space, trimmed, without empty ones."""
     return F.filter(F.transform(F.split(F.trim(c), r"(?<=[.!?])[ \t\n\f\r]+"), lambda x: F.btrim(x, F.lit(" \t\n\f\r"))), lambda x: x != "")
@@ -92,16 +129,29 @@ def body(html: Column) -> Column:
     return F.when(tight != "", tight)
 
 
+@F.pandas_udf(StringType())
+def unescaped(texts: pd.Series) -> pd.Series:
+    """Character references decoded, named ones as in HTML; there is no built-in function for these."""
+    return texts.map(lambda x: markup.unescape(x) if x and "&" in x else x)
+
+
 def linear(html: Column) -> Column:
-    """Readable text of markup: a full stop and a space where a block ends, unless one is there."""
-    c = F.regexp_replace(self_closing_fixed(html), r"(?s)<!--.*?-->|<![^>]*>", "")
-    for tag in ("script", "style", "head", "title", "video", "audio", "iframe", "canvas", "svg"):
-        c = F.regexp_replace(c, rf"(?is)<{tag}(?:[ \t\n\f\r][^>]*)?>.*?</{tag}>", "")
-    c = F.regexp_replace(c, r">[ \t\n\f\r]+<", "><")
-    c = F.regexp_replace(F.regexp_replace(c, r"[\n]", " "), rf"(?i)</(?:{'|'.join(BLOCKS)})>", "\n")
-    c = F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", ""), r"\n[ \n]*", "\n")
-    c = F.regexp_replace(F.regexp_replace(c, r"^[ \n]+", ""), r"([.!? ])\n", "$1")
-    return F.replace(c, F.lit("\n"), F.lit(". "))
+    """Readable text of markup: a full stop and a space where a block ends, unless a stop or a space is there.
+
+    References are decoded, line breaks become spaces, texts of white space alone are left out. A paragraph or list
+    item without an end tag ends where HTML ends it.
+    """
+    tag, white = f"(?s){TAG}", r"(?:[\s\u0085\u00a0]|&nbsp;|&#160;|&#[xX][aA]0;)"
+    c = F.regexp_replace(self_closing_fixed(html), r"(?s)<!--.*?(?:-->|\z)", "<!>")
+    for name in SKIPPED:
+        until = r"</head\s*>|(?=<body)" if name == "head" else rf"</{name}\s*>|\z"
+        c = F.regexp_replace(c, rf"(?is)<{name}(?:\s[^>]*)?>.*?(?:{until})", "<!>")
+    c = F.regexp_replace(c, rf"(?i)(<p(?:\s[^>]*)?>[^<]*+(?:<(?!/?(?:{'|'.join(CLOSE_P)})[\s/>])[^<]*+)*+)(?=<(?!/p[\s>]))", "$1</p>")
+    c = F.regexp_replace(c, r"(?i)(<li(?:\s[^>]*)?>[^<]*+(?:<(?!/?(?:li|ul|ol|menu|dir)[\s>])[^<]*+)*+)(?=<(?!/li[\s>]))(?!<(?:ul|ol|menu|dir)[\s>])", "$1</li>")
+    c = F.regexp_replace(F.regexp_replace(c, rf"(?i)(^|>){white}+(?=<|\z)", "$1"), rf"(?i)</(?:{'|'.join(BLOCKS)})(?:\s[^>]*)?>", END)
+    c = F.replace(unescaped(F.regexp_replace(c, tag, "")), F.lit("\n"), F.lit(" "))
+    c = F.regexp_replace(F.regexp_replace(c, f"{END}+", END), rf"(?s)\A{END}|(?<=[.!? ]){END}", "")
+    return F.replace(c, F.lit(END), F.lit(". "))
 
 
 def stripped(html: Column) -> Column:
@@ -113,10 +163,14 @@ def visible_length(html: Column) -> Column:
 
 
 def entities_normalised(c: Column) -> Column:
-    """The four common references decoded, all others deleted."""
-    for a, b in (("&#39;", "'"), ("&apos;", "'"), ("&quot;", '"'), ("&amp;", "&")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return F.regexp_replace(c, r"&[A-Za-z0-9#]+;", "")
+    """Four common references replaced, all other decimal and named ones deleted, in one pass: what comes of it is not read again."""
+    kept = (("&#39;", "\ufdd1", "'"), ("&apos;", "\ufdd1", "'"), ("&quot;", "\ufdd2", '"'), ("&amp;", "\ufdd3", "&"))
+    for name, mark, _ in kept:
+        c = F.replace(c, F.lit(name), F.lit(mark))
+    c = F.regexp_replace(c, r"&#[0-9]+;|&[a-zA-Z]+;", "")
+    for _, mark, sign in kept[1:]:
+        c = F.replace(c, F.lit(mark), F.lit(sign))
+    return c
 
 
 def search_form(c: Column) -> Column:
@@ -132,3 +186,59 @@ def search_offsets(c: Column) -> Column:
     """For each character of search_form(c) its 1-based character position in c."""
     letters = F.split(c, "")
     return let(letters, lambda x: F.filter(F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1))), lambda i: F.get(x, i - 1).rlike("^[A-Za-z0-9]$")))
+
+
+# --- the reader's side: pages of a chapter's markup, and snippets saved from them ---
+
+
+def client_form(snippet: Column) -> Column:
+    """A snippet as the reader compares it: four references replaced one after the other, then letters and digits in lower case."""
+    for name, sign in (("&nbsp;", " "), ("&amp;", "&"), ("&#39;", "'"), ("&quot;", '"')):
+        snippet = F.replace(snippet, F.lit(name), F.lit(sign))
+    return search_form(snippet)
+
+
+def client_offset(html: Column, snippet: Column) -> Column:
+    """The byte offset in markup at which the snippet begins, tags not counted as text; 0 if it is not there."""
+    parts = F.regexp_extract_all(html, F.lit(r"(?s)[^<]+|<[^>]*(?:>|\z)"), 0)
+    text = lambda x: ~F.startswith(x, F.lit("<"))
+    place = F.call_function("locate", client_form(snippet), search_form(F.array_join(F.filter(parts, text), "")))
+
+    def found(p: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            here = F.when(text(x), F.length(search_form(x))).otherwise(0)
+            hit = a["at"].isNull() & (a["left"] > 0) & (a["left"] <= here)
+            at = F.when(hit, a["bytes"] + F.octet_length(F.left(x, F.get(search_offsets(x), a["left"] - 1) - 1)))
+            return F.struct((a["left"] - here).alias("left"), (a["bytes"] + F.octet_length(x)).alias("bytes"), F.coalesce(a["at"], at).alias("at"))
+
+        zero = F.struct(p.alias("left"), F.lit(0).alias("bytes"), F.lit(None).cast("int").alias("at"))
+        return F.aggregate(parts, zero, step, lambda a: F.coalesce(a["at"], F.lit(0)))
+
+    return let(place, found)
+
+
+def page_slice(html: Column, offset: Column, top: Column) -> Column:
+    """The page at a byte offset: what follows it if it is aligned at the top, else what precedes it."""
+    return F.when(top, sliced(html, offset, F.octet_length(html))).otherwise(sliced(html, F.lit(0), offset))
+
+
+def saved_snippet(html: Column, offset: Column, most: int = 1000, least: int = 50) -> Column:
+    """What is saved as the reader's place: the markup from offset on, without a tag cut off at its start; null if too short.
+
+    A tag is cut off if a > comes before the next <.
+    """
+    part = F.substring(html, offset + 1, F.lit(most))
+
+    def whole(p: Column) -> Column:
+        shut, opened = F.call_function("locate", F.lit(">"), p), F.call_function("locate", F.lit("<"), p)
+        kept = F.when((shut > 0) & ((opened == 0) | (shut < opened)), F.substring(p, shut + 1, F.length(p))).otherwise(p)
+        return F.when(F.octet_length(kept) > least, kept)
+
+    return let(part, whole)
+
+
+def turned(start: Column, stop: Column, length: Column, forward: Column) -> Column:
+    """The page after or before the one that shows start..stop: (offset, top), null at the chapter's end or start."""
+    ahead = F.when(stop < length, F.struct(stop.alias("offset"), F.lit(True).alias("top")))
+    back = F.when(start > 0, F.struct(start.alias("offset"), F.lit(False).alias("top")))
+    return F.when(forward, ahead).otherwise(back)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.names import before_bracket, cover_path
+
 
 def matching(table: DataFrame, wanted: dict) -> DataFrame:
     """Rows equal to all wanted values; all rows if none are wanted. Null equals nothing."""
@@ -54,9 +56,48 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str], partial: bool
 
 
 def rename_series(manifest: DataFrame, series_id: str, name: str) -> DataFrame:
+    """manifest with the series' new name; an error if there is no such series."""
+    if not manifest.where(F.col("series_id") == series_id).limit(1).count():
+        raise LookupError(f"no series {series_id}")
     return manifest.withColumn("series_name", F.when(F.col("series_id") == series_id, F.lit(name)).otherwise(F.col("series_name")))
 
 
+def save_books(books: DataFrame, series: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(books, manifest) with new books put in by id; a series that is not there yet is added, others stay as they are."""
+    first = manifest(new).join(series.select("series_id"), "series_id", "left_anti")
+    return upsert(books, new, ["id"]), series.unionByName(first)
+
+
+def cards(series: DataFrame) -> DataFrame:
+    """What the library page shows of each series: name, path and the cover of its first book."""
+    return series.select(F.col("series_name").alias("name"), F.concat(F.lit("/series/"), "series_id").alias("path"), cover_path(F.col("first_book_id")).alias("pic_path"))
+
+
+def owned(rows: DataFrame, owner: Column, asking: Column) -> DataFrame:
+    """Rows whose owner is the user that asks; a null is neither."""
+    return rows.where(owner == asking)
+
+
+def token_users(asked: DataFrame, tokens: DataFrame, fresh: Column) -> DataFrame:
+    """asked (token, ...) with user_id of the token's user; null for unknown and expired tokens. tokens has a row per token."""
+    valid = tokens.where(fresh).select("token", "user_id")
+    return asked.join(valid, "token", "left")
+
+
+def catalogued(books: DataFrame, catalogue: DataFrame, id: str, entry: str) -> DataFrame:
+    """books (id, title, author) with the catalogue's entry: by title and author, else by the title up to a bracket alone; and found_by.
+
+    Letter case doesn't matter. Of several entries the least is taken.
+    """
+    known = catalogue.select(F.lower("title").alias("__t"), F.lower("author").alias("__a"), F.col(entry).alias("__e"))
+    exact = known.groupBy("__t", "__a").agg(F.min("__e").alias("__exact"))
+    loose = known.groupBy("__t").agg(F.min("__e").alias("__loose"))
+    found = books.join(exact, (F.lower("title") == F.col("__t")) & (F.lower("author") == F.col("__a")), "left").drop("__t", "__a")
+    found = found.join(loose, F.lower(F.trim(before_bracket(F.col("title")))) == F.col("__t"), "left").drop("__t")
+    by = F.when(F.col("__exact").isNotNull(), "title and author").when(F.col("__loose").isNotNull(), "search").otherwise("none")
+    return found.select(*books.columns, F.coalesce("__exact", "__loose").alias(entry), by.alias("found_by"))
+
+
 def drop_empty_series(manifest: DataFrame, books: DataFrame, unwanted: Column) -> DataFrame:
     """manifest without the unwanted series that have no book."""
     used = books.select("series_id").distinct().withColumn("__used", F.lit(True))

@@ -2,32 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import ChunkPolicy, end_trimmed, entities_normalised, let, search_form, search_offsets, stripped
+from quire.functions.text import ChunkPolicy, chunk_spans, end_trimmed, entities_normalised, let, linear, search_form, search_offsets
 
 
-def located(pairs: DataFrame, policy: ChunkPolicy = ChunkPolicy()) -> DataFrame:
-    """pairs (text, snippet, ...) with `status` and `position`, the 1-based character where the snippet begins in text.
-
-    Tags of the snippet are removed, references decoded, and punctuation, spaces and case ignored on both sides. Status
-    is "too short" under policy.snippet bytes, "not found", or "found".
-    """
-    plain = end_trimmed(entities_normalised(stripped(F.col("snippet"))))
-    place = F.call_function("locate", search_form(plain), search_form(F.col("text")))
-    short = F.octet_length("snippet") < policy.snippet
-    found = let(place, lambda p: F.when((p > 0) & (search_form(plain) != ""), F.get(search_offsets(F.col("text")), p - 1)))
-    rows = pairs.withColumn("position", F.when(~short, found))
-    status = F.when(short, "too short").when(F.col("position").isNull(), "not found").otherwise("found")
-    return rows.withColumn("status", status)
+def chunk_of(spans: Column, offset: Column) -> Column:
+    """The number of the first span (start, stop) that holds the offset; 0 where none does."""
+    hit = F.filter(F.transform(spans, lambda s, i: F.when((s["start"] <= offset) & (offset < s["stop"]), i)), lambda i: i.isNotNull())
+    return F.coalesce(F.get(hit, F.lit(0)), F.lit(0))
 
 
-def chunk_at(positions: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """positions (keys, position) with the chunk whose span [start, stop) holds it; chunk 0 where none does.
+def located(pairs: DataFrame, policy: ChunkPolicy = ChunkPolicy()) -> DataFrame:
+    """pairs (text, snippet, ...) with `status`, `position` and `chunk`; text is linear, the snippet may have markup.
 
-    spans has keys, chunk, start, stop. The join is on the keys, so a text's positions meet its own spans only.
+    The snippet is made linear and its stops and spaces at the end are cut off. Status is "too short" if policy.snippet
+    bytes of that are not left, "not found", or "found". References, punctuation, spaces and case are ignored on both
+    sides. position is the 1-based character in the text, its references replaced, at which the snippet begins, chunk
+    the number of the text's chunk that holds it; both are null unless it is found.
     """
-    joined = positions.join(spans, [*keys], "left").where(F.col("chunk").isNull() | ((F.col("position") >= F.col("start")) & (F.col("position") < F.col("stop"))))
-    hits = joined.groupBy(*positions.columns).agg(F.min("chunk").alias("__hit"))
-    return positions.join(hits, positions.columns, "left").select(*positions.columns, F.coalesce("__hit", F.lit(0)).alias("chunk"))
+    rows = pairs.withColumn("__plain", end_trimmed(linear(F.col("snippet")))).withColumn("__text", entities_normalised(F.col("text")))
+    place = F.call_function("locate", search_form(entities_normalised(F.col("__plain"))), search_form(F.col("__text")))
+    short = F.octet_length("__plain") < policy.snippet
+    found = let(place, lambda p: F.when(p > 0, F.get(search_offsets(F.col("__text")), p - 1)))
+    rows = rows.withColumn("position", F.when(~short, found))
+    status = F.when(short, "too short").when(F.col("position").isNull(), "not found").otherwise("found")
+    offset = F.octet_length(F.left("__text", F.col("position") - 1))
+    chunk = F.when(F.col("position").isNotNull(), let(offset, lambda o: chunk_of(chunk_spans(F.col("text"), policy), o)))
+    return rows.withColumn("status", status).withColumn("chunk", chunk.cast("int")).drop("__plain", "__text")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.names import content_type
 from quire.functions.text import linear
 from quire.operators import validation
 from quire.plans.bindings import chapters
 from quire.sources import archives as A
+from quire.sources import repair as R
 
 QUERIES, SQL = {}, {}
 
@@ -24,41 +26,83 @@ def query(sql: str | None = None):
 
 
 def entries(spark: SparkSession, d: str) -> DataFrame:
+    """The entries of a book per conversation, unzipped once. By the last digit of their number some are broken: 3 cut in half,
+    4 no container at all, 5 without contents, 6 without the first chapter's file; 7 lacks the pointer to its package."""
     html = F.concat(F.lit("<p>"), F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p>"))
     rows = chapters(spark, d).select("book", "chapter", F.concat(F.lit("Turn "), F.col("chapter").cast("string")).alias("title"), html.alias("html"))
-    return A.zip_entries(A.build_books(rows).select(F.col("book").cast("string").alias("path"), "content"))
+    kind, whole = F.col("book") % 10, F.col("content")
+    half = F.call_function("substring", whole, F.lit(1), (F.octet_length(whole) / 2).cast("int"))
+    content = F.when(kind == 3, half).when(kind == 4, F.lit("no container").cast("binary")).otherwise(whole)
+    found = A.zip_entries(A.build_books(rows).select(F.col("book").cast("string").alias("path"), content.alias("content")))
+    kind, name = F.col("path").cast("long") % 10, F.coalesce("name", F.lit(""))
+    gone = ((kind == 5) & F.endswith(name, F.lit(".ncx"))) | ((kind == 6) & F.endswith(name, F.lit("/c0.xhtml")))
+    moved = F.when((kind == 7) & F.endswith(name, F.lit("container.xml")), "META-INF/other.xml").otherwise(F.col("name"))
+    return A.kept(found.where(~gone).withColumn("name", moved))
 
 
-@query("SELECT conv_id::VARCHAR AS path, true AS ok, '' AS failed FROM conversations GROUP BY conv_id")
+BOOKS = """books AS (SELECT conv_id::VARCHAR AS path, conv_id % 10 AS kind FROM conversations GROUP BY conv_id),
+turns AS (SELECT conv_id::VARCHAR AS path, conv_id % 10 AS kind, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS n, replace(text, chr(10), ' ') AS text FROM conversations)"""
+
+
+@query(f"WITH {BOOKS} SELECT path, kind NOT IN (3, 4) AS ok, CASE WHEN kind IN (3, 4) THEN 'entries,entry size,names,ratio,total size' ELSE '' END AS failed FROM books")
 def zip_report(spark, d):
     return validation.verdicts(validation.container_checks(entries(spark, d)))
 
 
-@query("""SELECT conv_id::VARCHAR AS path, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS position, 'c' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS item_id,
-  'OEBPS/text/c' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) || '.xhtml' AS name, 'ok' AS status FROM conversations""")
+@query(f"""WITH {BOOKS} SELECT path, n AS position, 'c' || n AS item_id, 'OEBPS/text/c' || n || '.xhtml' AS name, CASE WHEN kind = 6 AND n = 0 THEN 'no such file' ELSE 'ok' END AS status FROM turns WHERE kind NOT IN (3, 4)""")
 def opf_spine(spark, d):
     e = entries(spark, d)
     return A.spine(A.packages(e), e)
 
 
-@query("""SELECT conv_id::VARCHAR AS path, (row_number() OVER w - 1)::INT AS position, (row_number() OVER w)::INT AS play_order, (row_number() OVER w + 1)::INT AS number, 'Turn ' || turn AS title,
-  'OEBPS/text/c' || (row_number() OVER w - 1) || '.xhtml' AS name FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+@query(f"""WITH {BOOKS} SELECT path, n AS position, n + 1 AS play_order, n + 2 AS number, 'Turn ' || turn AS title, 'OEBPS/text/c' || n || '.xhtml' AS name FROM turns WHERE kind NOT IN (3, 4, 5)""")
 def ncx_nav(spark, d):
     return A.navigation(entries(spark, d))
 
 
-@query("SELECT conv_id::VARCHAR AS path, 'ok' AS status FROM conversations GROUP BY conv_id")
+@query(f"WITH {BOOKS} SELECT path, CASE WHEN kind IN (3, 4) THEN 'unreadable' WHEN kind IN (5, 6) THEN 'missing file' ELSE 'ok' END AS status FROM books")
 def book_integrity(spark, d):
     return A.integrity(entries(spark, d))
 
 
-@query("""SELECT conv_id::VARCHAR AS path, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS chapter, length(replace(replace(replace(text, chr(10), ' '), '&', '&amp;'), '<', '&lt;'))::INT + 7 +
-  length('<html><head><title>Turn ' || turn || '</title></head><body></body></html>')::INT AS n FROM conversations""")
+@query(f"""WITH {BOOKS} SELECT path, n AS chapter, length(replace(replace(text, '&', '&amp;'), '<', '&lt;'))::INT + 7 + length('<html><head><title>Turn ' || turn || '</title></head><body></body></html>')::INT AS n
+  FROM turns WHERE kind NOT IN (3, 4) AND NOT (kind = 6 AND n = 0)""")
 def chapter_markup(spark, d):
     return A.chapter_html(entries(spark, d)).select("path", "chapter", F.length("html").alias("n"))
 
 
-@query(None)
+@query(f"""WITH {BOOKS} SELECT path, n AS chapter, CASE WHEN trim(text) = '' THEN '' WHEN regexp_matches(text, '[.!? ]$') THEN text ELSE text || '. ' END AS text
+  FROM turns WHERE kind NOT IN (3, 4) AND NOT (kind = 6 AND n = 0)""")
 def chapter_linear(spark, d):
     """Containers all the way to readable text."""
     return A.chapter_html(entries(spark, d)).select("path", "chapter", linear(F.col("html")).alias("text"))
+
+
+@query(f"WITH {BOOKS} SELECT path, 'Book ' || path AS title, 'Author ' || path AS author, 'Series' AS series, 1 AS series_order FROM books WHERE kind NOT IN (3, 4) UNION ALL SELECT path, NULL, NULL, NULL, NULL FROM books WHERE kind IN (3, 4)")
+def book_titles(spark, d):
+    return A.titles(entries(spark, d))
+
+
+@query(f"WITH {BOOKS} SELECT path, 'OEBPS/cover.png' AS name, 'image/png' AS kind FROM books WHERE kind NOT IN (3, 4)")
+def book_covers(spark, d):
+    return A.covers(entries(spark, d)).select("path", "name", content_type(F.col("name")).alias("kind"))
+
+
+@query(f"WITH {BOOKS} SELECT path, n AS position, 'Chapter ' || (n + 1) AS label, 'text/c' || n || '.xhtml' AS href, NULL::VARCHAR AS error FROM turns WHERE kind NOT IN (3, 4)")
+def toc_points(spark, d):
+    e = entries(spark, d)
+    return R.contents_points(A.packages(e), e)
+
+
+@query(f"WITH {BOOKS} SELECT path, CASE WHEN kind IN (3, 4) THEN 'unreadable' WHEN kind = 6 THEN 'missing file' ELSE 'ok' END AS status FROM books")
+def toc_repair(spark, d):
+    """Contents generated, containers written and read again: those that lacked nothing else are sound now."""
+    e = entries(spark, d)
+    unread = e.where("name is null")
+    again = A.kept(A.zip_entries(R.written(R.repaired(e))))
+    return A.integrity(again.unionByName(unread))
+
+
+@query(f"WITH {BOOKS} SELECT path, 'Error in integrity: ' || path || ': ' || CASE WHEN kind = 6 THEN 'missing file' ELSE 'unreadable' END AS reason FROM books WHERE kind IN (3, 4, 6)")
+def quarantine(spark, d):
+    return R.quarantined(entries(spark, d))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import ChunkPolicy, chunks, one_line
 from quire.operators.cursors import chapter_max, latest, ordinals
+from quire.sources.folders import shared_dir
 
 #: Chunk sizes for conversations, whose turns are shorter than chapters.
 TURNS = ChunkPolicy(target=200, most=300)
@@ -17,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.substring("text", 1, 40).alias("title"))
-    order = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return docs.select(F.col("doc_id").alias("id"), "title", F.col("lang").alias("author_id"), F.col("source").alias("series_id"), order.alias("series_order"), F.col("doc_id").alias("saved"))
+    """Documents as books; the number of one is its place in its series."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(
+        F.col("doc_id").alias("id"), F.col("text").alias("title"), F.col("lang").alias("author_id"), F.col("source").alias("series_id"), F.col("doc_id").alias("series_order"), F.col("doc_id").alias("saved")
+    )
 
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,13 +52,15 @@ def maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chapter_max(text_chunks(spark, sf_dir))
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cursors that lie in their book, with ordinals."""
-    return ordinals(cursors(spark, sf_dir), maxima(spark, sf_dir))
-
+def window(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(requests, cache): the cursors that lie in their book, with ordinals, and a buffer with gaps.
 
-def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A buffer with gaps: of each reader's book all ordinals but every seventh, from the fourth on."""
-    totals = maxima(spark, sf_dir).groupBy("book").agg(F.sum(F.col("max_chunk") + 1).cast("long").alias("total"))
-    rows = cursors(spark, sf_dir).select("user_id", "book").join(totals, "book")
-    return rows.select("user_id", "book", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)).alias("ordinal")).where("ordinal % 7 <> 3")
+    The buffer holds of each reader's book all ordinals but every seventh, from the fourth on. Cursors and the chunked
+    texts' maxima, which both are made from, are computed once and kept in the shared folder.
+    """
+    shared_dir(spark)
+    own, most = cursors(spark, sf_dir).checkpoint(), maxima(spark, sf_dir).checkpoint()
+    totals = most.groupBy("book").agg(F.sum(F.col("max_chunk") + 1).cast("long").alias("total"))
+    rows = own.select("user_id", "book").join(totals, "book")
+    cache = rows.select("user_id", "book", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)).alias("ordinal")).where("ordinal % 7 <> 3")
+    return ordinals(own, most), cache

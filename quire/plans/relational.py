@@ -49,13 +49,12 @@ def latest_cursor(spark, d):
 
 
 @query(with_(LOG) + """SELECT w.user_id, w.book, coalesce(c.chapter, 0)::INT AS chapter, coalesce(c.chunk, 0)::INT AS chunk
-  FROM (SELECT DISTINCT e.user_id, k.conv_id AS book FROM events e JOIN conversations k ON k.turn = 0 AND k.conv_id % 10 = e.user_id % 10) w
+  FROM (SELECT user_id, book FROM cursor_log UNION SELECT user_id, book + 1 FROM cursor_log) w
   LEFT JOIN cursors c ON c.user_id = w.user_id AND c.book = w.book""")
 def cursor_default_zero(spark, d):
-    users = B.table(spark, d, "events").select("user_id").distinct()
-    first = B.table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("book"))
-    wanted = users.join(first, F.col("user_id") % 10 == F.col("book") % 10)
-    return C.with_default(wanted, B.cursors(spark, d))
+    """Each reader's books, and the one after each of them, which may not have been opened yet."""
+    seen = B.cursor_log(spark, d).select("user_id", F.explode(F.array("book", F.col("book") + 1)).alias("book")).distinct()
+    return C.with_default(seen, B.cursors(spark, d))
 
 
 @query(with_(CHUNKS, LOG) + "SELECT user_id, book, chapter, chunk, chunk_text FROM cursors JOIN chunks USING (book, chapter, chunk)")
@@ -108,12 +107,12 @@ MISSING = """gaps AS (SELECT r.user_id, r.book, r.ordinal AS start, r.total, s.o
 
 @query(with_(CHUNKS, LOG, ORDINALS, CACHE, HELD) + "SELECT user_id, book, start, ordinal FROM held WHERE island = start")
 def contiguous_window(spark, d):
-    return P.contiguous(B.requests(spark, d), B.cache(spark, d), 10).select("user_id", "book", "start", "ordinal")
+    return P.contiguous(*B.window(spark, d), 10).select("user_id", "book", "start", "ordinal")
 
 
 @query(with_(CHUNKS, LOG, ORDINALS, CACHE, MISSING) + "SELECT user_id, book, start, ordinal FROM gaps")
 def missing_cursors(spark, d):
-    return P.missing(B.requests(spark, d), B.cache(spark, d), 10).select("user_id", "book", "start", "ordinal")
+    return P.missing(*B.window(spark, d), 10).select("user_id", "book", "start", "ordinal")
 
 
 @query(with_(CHUNKS, LOG, ORDINALS, CACHE, MISSING, """queue AS (SELECT user_id, book, ordinal FROM gaps UNION SELECT g.user_id, g.book, s.ordinal
@@ -121,19 +120,20 @@ def missing_cursors(spark, d):
 SELECT q.user_id, q.book, q.ordinal, (row_number() OVER (PARTITION BY q.user_id, q.book ORDER BY q.ordinal) - 1)::INT AS place
   FROM queue q ANTI JOIN cache c ON c.user_id = q.user_id AND c.book = q.book AND c.ordinal = q.ordinal""")
 def prefetch_queue(spark, d):
-    return P.fetch_queue(B.requests(spark, d), B.cache(spark, d), 10).select("user_id", "book", "ordinal", "place")
+    return P.fetch_queue(*B.window(spark, d), 10).select("user_id", "book", "ordinal", "place")
 
 
 @query(with_(CHUNKS, LOG, ORDINALS, CACHE) + """SELECT c.user_id, c.book, c.ordinal FROM cache c LEFT JOIN requests r ON r.user_id = c.user_id AND r.book = c.book
   WHERE r.ordinal IS NULL OR c.ordinal >= greatest(r.ordinal - 5, 0)""")
 def trim_cache(spark, d):
-    return P.trimmed(B.cache(spark, d), B.requests(spark, d), 5).select("user_id", "book", "ordinal")
+    requests, cache = B.window(spark, d)
+    return P.trimmed(cache, requests, 5).select("user_id", "book", "ordinal")
 
 
 @query(with_(CHUNKS, LOG, ORDINALS, CACHE) + """SELECT r.user_id, r.book, r.ordinal, count(c.ordinal) FILTER (c.ordinal > r.ordinal) AS n_ahead
   FROM requests r LEFT JOIN cache c ON c.user_id = r.user_id AND c.book = r.book GROUP BY ALL""")
 def cursors_ahead(spark, d):
-    return P.ahead(B.requests(spark, d), B.cache(spark, d))
+    return P.ahead(*B.window(spark, d))
 
 
 @query(with_(LOG) + """SELECT event_id, user_id, chapter, coalesce(lag(chapter) OVER (PARTITION BY user_id ORDER BY ts, event_id) <> chapter, false) AS changed FROM cursor_log""")
@@ -197,6 +197,56 @@ def series_rename(spark, d):
     return L.rename_series(L.manifest(B.books(spark, d)), "src3", "The Third")
 
 
+@query(with_(BOOKS) + "SELECT '/series/' || series_id AS path, series_name AS name, '/api/v1/books/' || first_book_id || '/cover' AS pic_path FROM manifest")
+def library_cards(spark, d):
+    return L.cards(L.manifest(B.books(spark, d)))
+
+
+@query(with_(BOOKS) + "SELECT series_id, series_name, first_book_id FROM manifest UNION ALL SELECT 'new', 'new', -1")
+def save_book(spark, d):
+    """A book of a series that is not there yet: the series comes with it."""
+    books = B.books(spark, d)
+    new = books.limit(1).select(F.lit(-1).cast("long").alias("id"), F.lit("T").alias("title"), F.lit("en").alias("author_id"), F.lit("new").alias("series_id"), F.lit(0).cast("long").alias("series_order"), F.lit(0).cast("long").alias("saved"))
+    return L.save_books(books, L.manifest(books), new)[1]
+
+
+@query(with_(BOOKS) + "SELECT id, series_id FROM books WHERE id <> 17")
+def delete_book(spark, d):
+    return L.without(B.books(spark, d), {"id": 17}).select("id", "series_id")
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id = event_id % 100")
+def own_rows(spark, d):
+    """Rows whose user is the one that asks."""
+    return L.owned(B.table(spark, d, "events").withColumn("asking", F.col("event_id") % 100), F.col("user_id"), F.col("asking")).select("event_id", "user_id")
+
+
+@query("""WITH t AS (SELECT 't' || c_custkey AS token, c_custkey AS user_id, c_acctbal > 0 AS fresh FROM customer), w AS (SELECT o_orderkey, 't' || o_custkey AS token FROM orders)
+SELECT o_orderkey, CASE WHEN fresh THEN user_id END AS user_id FROM w LEFT JOIN t USING (token)""")
+def token_user(spark, d):
+    customer = B.table(spark, d, "customer")
+    tokens = customer.select(F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("token"), F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") > 0).alias("fresh"))
+    asked = B.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("t"), F.col("o_custkey").cast("string")).alias("token"))
+    return L.token_users(asked, tokens, F.col("fresh")).select("o_orderkey", "user_id")
+
+
+@query(with_(CHUNKS) + "SELECT book, min(chapter) AS first_chapter FROM chunks GROUP BY book")
+def first_chapter(spark, d):
+    return B.text_chunks(spark, d).groupBy("book").agg(F.min("chapter").alias("first_chapter"))
+
+
+@query("""WITH c AS (SELECT lower(p_name) AS t, lower(p_brand) AS a, min(p_partkey) AS id FROM part WHERE p_partkey % 3 <> 0 GROUP BY ALL),
+n AS (SELECT lower(p_name) AS t, min(p_partkey) AS id FROM part WHERE p_partkey % 3 <> 0 GROUP BY ALL)
+SELECT p_partkey, coalesce(c.id, n.id) AS match, CASE WHEN c.id IS NOT NULL THEN 'title and author' WHEN n.id IS NOT NULL THEN 'search' ELSE 'none' END AS found_by
+  FROM part p LEFT JOIN c ON p.p_partkey % 3 <> 0 AND c.t = lower(p.p_name) AND c.a = lower(p.p_brand) LEFT JOIN n ON n.t = lower(p.p_name)""")
+def catalogue_match(spark, d):
+    """Parts stand for books and, but every third, for the catalogue; titles carry a series in brackets, which the search leaves out."""
+    part = B.table(spark, d, "part")
+    catalogue = part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("entry"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"))
+    books = part.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" (Series, #1)"))).otherwise(F.col("p_name")).alias("title"), F.col("p_brand").alias("author"))
+    return L.catalogued(books, catalogue, "p_partkey", "entry").select("p_partkey", F.col("entry").alias("match"), "found_by")
+
+
 @query("SELECT doc_id, lang, source FROM documents WHERE NOT coalesce(lang = 'de' AND source = 'src1', false)")
 def delete_by_filter(spark, d):
     return L.without(B.table(spark, d, "documents").select("doc_id", "lang", "source"), {"lang": "de", "source": "src1"})

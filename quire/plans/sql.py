@@ -52,9 +52,8 @@ CACHE = """
 cache AS (SELECT u.user_id, book, ordinal FROM (SELECT user_id, book FROM cursors) u JOIN spine USING (book) WHERE ordinal % 7 <> 3)"""
 
 BOOKS = """
-books AS (SELECT doc_id AS id, substring(text, 1, 40) AS title, lang AS author_id, source AS series_id,
-  row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS series_order, doc_id AS saved FROM documents),
-manifest AS (SELECT series_id, series_id AS series_name, arg_min(id, series_order) AS first_book_id FROM books GROUP BY series_id)"""
+books AS (SELECT doc_id AS id, text AS title, lang AS author_id, source AS series_id, doc_id AS series_order, doc_id AS saved FROM documents),
+manifest AS (SELECT series_id, series_id AS series_name, min(id) AS first_book_id FROM books GROUP BY series_id)"""
 
 
 def with_(*parts: str) -> str:

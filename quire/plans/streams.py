@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.plans.bindings import table
 from quire.plans.sql import LOG, with_
+from quire.sources.folders import shared_dir
 from quire.streaming import positions as S
 
 QUERIES, SQL = {}, {}
@@ -26,9 +26,8 @@ def query(sql: str | None = None):
 
 
 def shared(spark: SparkSession) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quire-")
-    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder that all executors see."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def log_stream(spark: SparkSession, d: str) -> DataFrame:

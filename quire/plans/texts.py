@@ -11,6 +11,9 @@ from quire.operators import markup, search, validation
 from quire.plans.bindings import table
 from quire.plans.sql import TRIM, chunk_list, words
 
+#: Parts that the rows of a shared id are dealt into.
+SALTS = 32
+
 QUERIES, SQL = {}, {}
 
 
@@ -60,29 +63,62 @@ def normalize_text(spark, d):
     return docs(spark, d).select("doc_id", T.search_form(F.col("text")).alias("form"))
 
 
-@query(r"""SELECT page_id, regexp_replace(replace(replace(replace(replace(html, '&#39;', ''''), '&apos;', ''''), '&quot;', '"'), '&amp;', '&'), '&[A-Za-z0-9#]+;', '', 'g') AS text FROM pages""")
-def entity_normalize(spark, d):
-    return pages(spark, d).select("page_id", T.entities_normalised(F.col("html")).alias("text"))
+REFERENCES = r"""array_to_string(list_transform(regexp_extract_all({}, '&#[0-9]+;|&[a-zA-Z]+;|[^&]+|&'), lambda x:
+  CASE WHEN x IN ('&#39;', '&apos;') THEN '''' WHEN x = '&quot;' THEN '"' WHEN x = '&amp;' THEN '&' WHEN regexp_matches(x, '^&.+;$') THEN '' ELSE x END), '')"""
+ODD_REFERENCES = "&amp;lt; &frac12; &apos;x&#39; &#x27; &a&b;mp;"
 
 
-PLAIN = "regexp_replace(snippet, '[ .!?]+$', '')"
+@query(f"SELECT page_id, {REFERENCES.format(f"html || '{ODD_REFERENCES}'")} AS text FROM pages")
+def entity_normalize(spark, d):
+    return pages(spark, d).select("page_id", T.entities_normalised(F.concat("html", F.lit(ODD_REFERENCES))).alias("text"))
 
 
-@query(f"""WITH p AS (SELECT doc_id, source, text, substring(text, 60, 70) AS snippet FROM documents UNION ALL SELECT doc_id, source, text, 'A snippet that stands in none of the texts, however it is read' FROM documents WHERE doc_id % 10 = 0),
-f AS (SELECT doc_id, snippet, text, lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS t, lower(regexp_replace({PLAIN}, '[^A-Za-z0-9]', '', 'g')) AS s FROM p),
-g AS (SELECT *, CASE WHEN s = '' THEN 0 ELSE instr(t, s) END AS pos FROM f)
-SELECT doc_id, snippet, CASE WHEN strlen(snippet) < 50 THEN 'too short' WHEN pos = 0 THEN 'not found' ELSE 'found' END AS status,
-  CASE WHEN strlen(snippet) >= 50 AND pos > 0 THEN (list_filter(range(1, length(text) + 1), lambda i: regexp_matches(text[i], '^[A-Za-z0-9]$')))[pos] END::INT AS position FROM g""")
-def locate_snippet(spark, d):
-    rows = docs(spark, d).select("doc_id", "text", F.substring("text", 60, 70).alias("snippet"))
-    none = docs(spark, d).where("doc_id % 10 = 0").select("doc_id", "text", F.lit("A snippet that stands in none of the texts, however it is read").alias("snippet"))
-    return search.located(rows.unionByName(none)).select("doc_id", "snippet", "status", "position")
+PLAIN = "regexp_replace(replace(snippet, chr(10), ' '), '[ .!?]+$', '')"
+ABSENT = "A snippet that stands in none of the texts, however it is read"
+FORM = "lower(regexp_replace({}, '[^A-Za-z0-9]', '', 'g'))"
+SOLID = r"regexp_replace({}, '[ \n\t\r]', '', 'g')"
 
 
-@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?i)<(script|style)([ \t\n\f\r][^>]*)?[ \t\n\f\r]*/>', '<\1\2></\1>', 'g'), '(?s)<!--.*?-->|<![^>]*>', '', 'g') AS h FROM pages),
-b AS (SELECT page_id, """ + "regexp_replace(" * 9 + "h" + "".join(rf", '(?is)<{t}(?:[ \t\n\f\r][^>]*)?>.*?</{t}>', '', 'g')" for t in ("script", "style", "head", "title", "video", "audio", "iframe", "canvas", "svg")) + r""" AS h FROM a),
-c AS (SELECT page_id, regexp_replace(replace(regexp_replace(h, '>[ \t\n\f\r]+<', '><', 'g'), chr(10), ' '), '(?i)</(?:""" + "|".join(T.BLOCKS) + r""")>', chr(10), 'g') AS h FROM b)
-SELECT page_id, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<[^>]*>', '', 'g'), '\n[ \n]*', chr(10), 'g'), '^[ \n]+', ''), '([.!? ])\n', '\1', 'g'), chr(10), '. ') AS text FROM c""")
+@query(f"""WITH p AS (SELECT doc_id, text, unnest([{{'place': 'middle', 'snippet': substring(text, length(text) // 2 + 1, 90)}}, {{'place': 'end', 'snippet': right(text, 90)}}, {{'place': 'none', 'snippet': '{ABSENT}'}}], recursive := true) FROM documents),
+f AS (SELECT doc_id, place, text, {REFERENCES.format('text')} AS n, {PLAIN} AS plain FROM p),
+g AS (SELECT *, {FORM.format('n')} AS t, {FORM.format(REFERENCES.format('plain'))} AS s FROM f),
+h AS (SELECT *, CASE WHEN strlen(plain) < 50 OR t = '' THEN 0 WHEN s = '' THEN 1 ELSE instr(t, s) END AS pos FROM g),
+i AS (SELECT *, CASE WHEN pos > 0 THEN (list_filter(range(1, length(n) + 1), lambda i: regexp_matches(n[i], '^[A-Za-z0-9]$')))[pos] END::INT AS position FROM h),
+c AS (SELECT doc_id, {chunk_list('x', 500, 700)} AS l FROM (SELECT doc_id, replace(text, chr(10), ' ') AS x FROM documents)),
+e AS (SELECT doc_id, list_transform(range(1, len(l) + 1), lambda k: list_sum(list_transform(l[1:k], lambda y: length({SOLID.format('y')})))) AS ends FROM c)
+SELECT doc_id, place, CASE WHEN strlen(plain) < 50 THEN 'too short' WHEN pos = 0 THEN 'not found' ELSE 'found' END AS status, position,
+  CASE WHEN position IS NOT NULL THEN len(list_filter(ends, lambda x: x <= length({SOLID.format('n[1:position - 1]')}))) END::INT AS chunk FROM i JOIN e USING (doc_id)""")
+def locate_snippet(spark, d):
+    """Snippets from the middle and the end of every text, given as markup, and one that no text has."""
+    text = F.col("text")
+    marked = lambda c: F.concat(F.lit("<p>"), F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p>"))
+    given = {"middle": marked(F.substring(text, F.floor(F.length(text) / 2).cast("int") + 1, F.lit(90))), "end": marked(F.right(text, F.lit(90))), "none": F.lit(ABSENT)}
+    rows = docs(spark, d).select("doc_id", "text", F.inline(F.array(*[F.struct(F.lit(k).alias("place"), c.alias("snippet")) for k, c in given.items()])))
+    return search.located(rows).select("doc_id", "place", "status", "position", "chunk")
+
+
+#: Written apart from the library's own: what the SQL takes for skipped elements, sentence ends and tags that close a paragraph.
+SQL_SKIPPED = ("script", "style", "head", "title", "video", "audio", "iframe", "canvas", "svg")
+SQL_ENDS = "p|div|h[1-6]|li|blockquote|section|article|pre"
+SQL_SHUT = "'(?i)^</?(?:p|div|h[1-6]|li|ul|ol|nav|header|footer|main|aside|section|article|table|form|blockquote|pre|body|html)[ />]'"
+SQL_REFERENCES = (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def sql_decoded(x: str) -> str:
+    for name, sign in SQL_REFERENCES:
+        x = f"replace({x}, '{name}', '{sign}')"
+    return x
+
+
+@query(rf"""WITH a AS (SELECT page_id, {"regexp_replace(" * len(SQL_SKIPPED)}regexp_replace(html, '(?s)<!--.*?-->', '<!>', 'g'){"".join(f", '(?is)<{t}(?: [^>]*)?>.*?</{t}>', '<!>', 'g')" for t in SQL_SKIPPED)} AS h FROM pages),
+k AS (SELECT page_id, regexp_extract_all(h, '<[^>]*>|[^<]+') AS k FROM a),
+t AS (SELECT page_id, unnest(k) AS x, generate_subscripts(k, 1) AS i FROM k),
+u AS (SELECT page_id, i, x, coalesce(last_value(CASE WHEN regexp_matches(x, '(?i)^<p[ >]') THEN 1 WHEN regexp_matches(x, {SQL_SHUT}) THEN 0 END IGNORE NULLS)
+  OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM t),
+v AS (SELECT page_id, i, CASE WHEN x LIKE '<%' THEN CASE WHEN regexp_matches(x, '(?i)^</(?:{SQL_ENDS})[ >]') OR (open = 1 AND regexp_matches(x, {SQL_SHUT})) THEN chr(1) ELSE '' END
+  WHEN regexp_matches(x, '^\s+$') THEN '' ELSE replace({sql_decoded('x')}, chr(10), ' ') END AS part FROM u),
+w AS (SELECT page_id, string_agg(part, '' ORDER BY i) AS s FROM v GROUP BY page_id)
+SELECT page_id, replace(regexp_replace(regexp_replace(regexp_replace(s, '\x01+', chr(1), 'g'), '^\x01', ''), '([.!? ])\x01', '\1', 'g'), chr(1), '. ') AS text FROM w""")
 def linearize_pages(spark, d):
     return pages(spark, d).select("page_id", T.linear(F.col("html")).alias("text"))
 
@@ -119,17 +155,20 @@ def strip_tags(spark, d):
     return pages(spark, d).select("page_id", T.stripped(F.col("html")).alias("text"))
 
 
-@query("SELECT doc_id, trim(lower(regexp_replace(substring(text, 1, 40), '[^A-Za-z0-9]+', '-', 'g')), '-') AS slug FROM documents WHERE regexp_matches(substring(text, 1, 40), '[A-Za-z0-9]')")
+@query("SELECT doc_id, trim(lower(regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g')), '-') AS slug FROM documents WHERE regexp_matches(text, '[A-Za-z0-9]')")
 def slugify(spark, d):
-    title = F.substring("text", 1, 40)
-    return docs(spark, d).where(title.rlike("[A-Za-z0-9]")).select("doc_id", N.slug(title).alias("slug"))
+    """Whole texts stand for titles; those without a letter or digit get a hash, which SQL can't tell, and are tested apart."""
+    return docs(spark, d).where(F.col("text").rlike("[A-Za-z0-9]")).select("doc_id", N.slug(F.col("text")).alias("slug"))
 
 
 @query("SELECT s_suppkey, lower(regexp_replace(s_name, '[^A-Za-z]', '', 'g')) AS key, count(*) OVER (PARTITION BY lower(regexp_replace(s_name, '[^A-Za-z]', '', 'g'))) AS sharing FROM supplier")
 def letters_only_id(spark, d):
     """Ids of letters alone, and how many names share each: they collide."""
     rows = table(spark, d, "supplier").select("s_suppkey", N.letters_only(F.col("s_name")).alias("key"))
-    return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("sharing")), "key").select("s_suppkey", "key", "sharing")
+    # most may share one id, so the counts go out to salted rows
+    salt, salts = F.pmod(F.xxhash64("s_suppkey"), F.lit(SALTS)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("sharing")).withColumn("salt", salts)
+    return rows.withColumn("salt", salt).join(counts, ["key", "salt"]).select("s_suppkey", "key", "sharing")
 
 
 @query("SELECT page_id, trim(translate(url, '<>:\"/\\|?*', '')) AS safe FROM pages")
@@ -137,10 +176,13 @@ def sanitize(spark, d):
     return pages(spark, d).select("page_id", N.file_safe(F.col("url")).alias("safe"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || ' - ' || upper(p_brand) || 'x' END AS title FROM part""")
+@query("""WITH g AS (SELECT p_partkey, '  ' || p_name || CASE p_partkey % 3 WHEN 0 THEN '  - ' || upper(p_brand) || ' ' WHEN 1 THEN ' - ' || p_brand || 'x' ELSE '-' || p_brand END AS t, CASE WHEN p_partkey % 7 > 0 THEN ' ' || lower(p_brand) || ' ' END AS a FROM part)
+SELECT p_partkey, CASE WHEN a IS NOT NULL AND suffix(lower(trim(t)), lower(' - ' || trim(a))) THEN rtrim(substring(trim(t), 1, length(trim(t)) - length(trim(a)) - 3)) ELSE trim(t) END AS title FROM g""")
 def clean_title(spark, d):
-    title = F.concat("p_name", F.lit(" - "), F.upper("p_brand"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise("x"))
-    return table(spark, d, "part").select("p_partkey", N.title_cleaned(title, F.col("p_brand")).alias("title"))
+    key = F.col("p_partkey")
+    end = F.when(key % 3 == 0, F.concat(F.lit("  - "), F.upper("p_brand"), F.lit(" "))).when(key % 3 == 1, F.concat(F.lit(" - "), "p_brand", F.lit("x"))).otherwise(F.concat(F.lit("-"), "p_brand"))
+    author = F.when(key % 7 > 0, F.concat(F.lit(" "), F.lower("p_brand"), F.lit(" ")))
+    return table(spark, d, "part").select("p_partkey", N.title_cleaned(F.concat(F.lit("  "), "p_name", end), author).alias("title"))
 
 
 @query("SELECT p_partkey, split_part(p_name || ' (' || p_type || ')', ' (', 1) AS title FROM part")
@@ -148,10 +190,15 @@ def title_before_bracket(spark, d):
     return table(spark, d, "part").select("p_partkey", N.before_bracket(F.concat("p_name", F.lit(" ("), "p_type", F.lit(")"))).alias("title"))
 
 
-@query("SELECT p_partkey, 'The Chapter ' || p_size || ' of ' || p_name || ' ch. 9' AS title FROM part")
+MARKS = ("ch.", "Chapter : ", "CHAPTER - ", "chapter", "Ch ", "chapters ", "batch 7 ")
+
+
+@query(f"""WITH g AS (SELECT p_partkey, p_partkey % 50 AS n, 'Of ' || ([{', '.join(f"'{m}'" for m in MARKS)}])[p_partkey % 7 + 1] || p_size || ' and ' || p_name || ' ch. 9' AS t FROM part)
+SELECT p_partkey, CASE p_partkey % 7 WHEN 5 THEN replace(t, ' ch. 9', ' Chapter ' || n) WHEN 6 THEN replace(t, ' ch. 9', ' Chapter ' || n) ELSE 'Of Chapter ' || n || substring(t, strpos(t, ' and ')) END AS title FROM g""")
 def chapter_title(spark, d):
-    given = F.concat(F.lit("The CHAPTER: "), F.col("p_size").cast("string"), F.lit(" of "), "p_name", F.lit(" ch. 9"))
-    return table(spark, d, "part").select("p_partkey", N.chapter_titled(given).alias("title"))
+    mark = F.element_at(F.array(*[F.lit(m) for m in MARKS]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    given = F.concat(F.lit("Of "), mark, F.col("p_size").cast("string"), F.lit(" and "), "p_name", F.lit(" ch. 9"))
+    return table(spark, d, "part").select("p_partkey", N.chapter_titled(given, F.col("p_partkey") % 50).alias("title"))
 
 
 PATH = "regexp_replace(url, '^https?://', '')"
@@ -170,9 +217,9 @@ def path_normalize(spark, d):
     return pages(spark, d).select("page_id", N.path_normalised(F.concat(F.regexp_replace("url", "^https?://", ""), F.lit("/./x/../end"))).alias("path"))
 
 
-@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/webp' ELSE 'application/octet-stream' END AS kind, split_part(url, '#', 1) AS href FROM pages""")
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/jpeg' ELSE 'application/octet-stream' END AS kind, split_part(url, '#', 1) AS href FROM pages""")
 def content_type(spark, d):
-    suffix = F.element_at(F.array(*[F.lit(x) for x in (".JPG", ".png", ".webp", ".html")]), (F.col("page_id") % 4 + 1).cast("int"))
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (".JPG", ".png", ".jPeg", ".webp")]), (F.col("page_id") % 4 + 1).cast("int"))
     return pages(spark, d).select("page_id", N.content_type(F.concat("url", suffix)).alias("kind"), N.without_fragment(F.concat("url", F.lit("#part"))).alias("href"))
 
 
@@ -189,3 +236,59 @@ SELECT path, u.chk AS "check", u.figure <= u.most AS passed, u.figure FROM (SELE
 def validation_report(spark, d):
     entries = docs(spark, d).select(F.col("source").alias("path"), F.col("text").alias("name"), F.octet_length("text").alias("size"), F.length("text").alias("csize"))
     return validation.container_checks(entries, 40, 130_000, 20_000, 1.1)
+
+
+@query(f"""WITH c AS (SELECT doc_id, replace(text, chr(10), ' ') AS x, {chunk_list('x', 500, 700)} AS l FROM (SELECT doc_id, text, replace(text, chr(10), ' ') AS x FROM documents))
+SELECT doc_id, (i - 1)::INT AS chunk, l[i] AS chunk_text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM c)""")
+def chunk_slices(spark, d):
+    """Chunks cut out of the text's bytes by their spans."""
+    rows = docs(spark, d).select("doc_id", T.one_line(F.col("text")).alias("t"))
+    spans = rows.select("doc_id", "t", F.posexplode(T.chunk_spans(F.col("t"))).alias("chunk", "s"))
+    return spans.select("doc_id", "chunk", T.sliced(F.col("t"), F.col("s.start"), F.col("s.stop")).alias("chunk_text"))
+
+
+@query("SELECT page_id, html FROM pages")
+def html_unescape(spark, d):
+    """References made of each sign, decoded again."""
+    coded = F.col("html")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&#62;"), ('"', "&quot;"), ("é", "&eacute;")):
+        coded = F.replace(coded, F.lit(sign), F.lit(name))
+    return pages(spark, d).select("page_id", T.unescaped(coded).alias("html"))
+
+
+@query(None)
+def reader_offset(spark, d):
+    """The heading looked for in the page's markup; held against plain Python in the tests."""
+    return pages(spark, d).select("page_id", T.client_offset(F.col("html"), F.regexp_extract("html", r"(?s)<h1>(.*?)</h1>", 1)).alias("offset"))
+
+
+@query("""WITH p AS (SELECT page_id, html, (page_id * 37) % (length(html) + 20) AS o FROM pages), s AS (SELECT *, html[o + 1:o + 1000] AS s FROM p),
+k AS (SELECT *, CASE WHEN strpos(s, '>') > 0 AND (strpos(s, '<') = 0 OR strpos(s, '>') < strpos(s, '<')) THEN s[strpos(s, '>') + 1:] ELSE s END AS k FROM s)
+SELECT page_id, CASE WHEN strlen(k) > 50 THEN k END AS snippet FROM k""")
+def save_snippet(spark, d):
+    offset = (F.col("page_id") * 37) % (F.length("html") + 20)
+    return pages(spark, d).select("page_id", T.saved_snippet(F.col("html"), offset.cast("int")).alias("snippet"))
+
+
+@query("""WITH p AS (SELECT page_id, strlen(html) AS n, (page_id * 37) % strlen(html) AS o FROM pages)
+SELECT page_id, n - o AS "after", o AS "before", CASE WHEN o + 500 < n THEN o + 500 END AS next, CASE WHEN o > 0 THEN o END AS previous FROM p""")
+def pager(spark, d):
+    """A page of 500 bytes: how much follows and precedes its start, and where the next and the previous one begin."""
+    n = F.octet_length("html").cast("long")
+    o = (F.col("page_id") * 37) % n
+    turn = lambda forward: T.turned(o, F.least(o + 500, n), n, F.lit(forward))["offset"]
+    return pages(spark, d).select("page_id", (n - o).alias("after"), o.alias("before"), turn(True).alias("next"), turn(False).alias("previous"))
+
+
+@query(r"""SELECT page_id, len(regexp_extract_all(html, '<li>'))::INT AS items, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS heading, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS advert FROM pages""")
+def selector_extract(spark, d):
+    html, first = F.col("html"), lambda c: F.coalesce(F.get(c, F.lit(0))["inner"], F.lit(""))
+    return pages(spark, d).select(
+        "page_id", F.size(markup.selected(html, "li")).alias("items"), first(markup.selected(html, "h1")).alias("heading"), first(markup.selected(html, "div.ad")).alias("advert")
+    )
+
+
+@query("SELECT doc_id, base64(encode(text)) AS coded, text AS again FROM documents")
+def base64_round_trip(spark, d):
+    coded = F.base64(F.col("text").cast("binary"))
+    return docs(spark, d).select("doc_id", F.regexp_replace(coded, r"[\r\n]", "").alias("coded"), F.unbase64(coded).cast("string").alias("again"))

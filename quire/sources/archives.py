@@ -1,4 +1,4 @@
-"""Book containers: zip entries as rows, package and contents files parsed, containers built and repaired."""
+"""Book containers: zip entries as rows, package and contents files parsed, containers built."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.names import path_normalised, play_order, without_fragment
+from quire.functions.names import first_image, path_normalised, play_order, series_position, without_fragment
+from quire.operators.validation import MOST_ENTRIES, MOST_ENTRY, MOST_RATIO, MOST_TOTAL
+from quire.sources.folders import shared_dir
 
 ENTRIES = "path string, ord int, name string, size bigint, csize bigint, data binary, error string"
 
@@ -29,43 +31,78 @@ def listed(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.when(suffix.isin(*BOOK_SUFFIXES), "book").when(suffix.isin(*CONVERTIBLE), "needs conversion").otherwise("skipped").alias("status"))
 
 
-def zip_entries(containers: DataFrame) -> DataFrame:
-    """containers (path, content) to a row per entry in archive order; an unreadable container is one row with an error."""
+def zip_entries(containers: DataFrame, most_entries=MOST_ENTRIES, most_total=MOST_TOTAL, most_entry=MOST_ENTRY, most_ratio=MOST_RATIO) -> DataFrame:
+    """containers (path, content) to a row per entry in archive order.
+
+    Headers are read first, and only what keeps the limits is inflated: in a container with too many entries or bytes
+    none is, else each entry but those too large or packed too tightly. Entries that are left out, damaged, encrypted or
+    packed in an unknown way have no data but an error; a container that can't be opened is one row with an error.
+    """
 
     def unpack(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
+                rows, held = [], 0
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for n, i in enumerate(z.infolist()):
-                            rows.append((path, n, i.filename, i.file_size, i.compress_size, z.read(i), None))
-                except (zipfile.BadZipFile, zipfile.LargeZipFile, ValueError, OSError) as e:
-                    rows = [(path, None, None, None, None, None, str(e))]
+                    opened = zipfile.ZipFile(io.BytesIO(content or b""))
+                    listed = opened.infolist()
+                except Exception as e:  # whatever a damaged directory raises
+                    yield _entry_rows([(path, None, None, None, None, None, str(e) or type(e).__name__)])
+                    continue
+                over = len(listed) > most_entries or sum(i.file_size for i in listed) > most_total
+                for n, i in enumerate(listed):
+                    data, error = None, None
+                    if over or i.file_size > most_entry or (i.compress_size and i.file_size > most_ratio * i.compress_size):
+                        error = "over the limits"
+                    else:
+                        try:
+                            data = opened.read(i)  # at most the size that the header states
+                        except Exception as e:
+                            error = str(e) or type(e).__name__
+                    rows.append((path, n, i.filename, i.file_size, i.compress_size, data, error))
+                    held += len(data or b"")
+                    if held > 8 << 20 or len(rows) > 1000:
+                        yield _entry_rows(rows)
+                        rows, held = [], 0
                 if rows:
-                    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-                    names = ["path", "ord", "name", "size", "csize", "data", "error"]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield _entry_rows(rows)
 
     return containers.select("path", "content").mapInArrow(unpack, ENTRIES)
 
 
+def _entry_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+    names = ["path", "ord", "name", "size", "csize", "data", "error"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
 def read_books(spark: SparkSession, root: str) -> DataFrame:
     """The entries of all books under root."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.epub").load(root)
     return zip_entries(files)
 
 
+def kept(entries: DataFrame) -> DataFrame:
+    """Entries unzipped once and kept in the shared folder, for all that is read from them."""
+    shared_dir(entries.sparkSession)
+    return entries.checkpoint()
+
+
 def packages(entries: DataFrame) -> DataFrame:
-    """(path, opf_name, opf): the package file that the container names, else the first *.opf; null opf_name if none."""
-    text = F.col("data").cast("string")
-    rooted = F.regexp_extract(text, r"full-path\s*=\s*[\"']([^\"']+\.opf)[\"']", 1)
-    named = entries.where(F.endswith("name", F.lit("META-INF/container.xml"))).select("path", F.when(rooted != "", rooted).alias("opf_name"))
+    """(path, opf_name, opf): the package file that the container names, else the first *.opf; null opf_name if none.
+
+    A rootfile counts if its media type is that of packages or its path ends in .opf. Only package files are parsed.
+    """
+    roots = F.regexp_extract_all(F.col("data").cast("string"), F.lit(r"(?s)<rootfile\b[^>]*>"), 0)
+    full = lambda x: F.regexp_extract(x, r"full-path\s*=\s*[\"']([^\"']+)[\"']", 1)
+    meant = F.filter(roots, lambda x: (full(x) != "") & (F.contains(x, F.lit("application/oebps-package+xml")) | F.endswith(F.lower(full(x)), F.lit(".opf"))))
+    rooted = full(F.get(meant, F.lit(0)))
+    named = entries.where(F.endswith("name", F.lit("META-INF/container.xml"))).groupBy("path").agg(F.first(F.when(rooted != "", rooted)).alias("opf_name"))
     first = entries.where(F.endswith(F.lower("name"), F.lit(".opf"))).groupBy("path").agg(F.min(F.struct("ord", "name"))["name"].alias("__first"))
     chosen = entries.select("path").distinct().join(named, "path", "left").join(first, "path", "left")
     chosen = chosen.select("path", F.coalesce("opf_name", "__first").alias("opf_name"))
-    bodies = entries.select("path", F.col("name").alias("opf_name"), F.from_xml(text, PACKAGE).alias("opf"))
-    return chosen.join(bodies, ["path", "opf_name"], "left")
+    found = chosen.join(entries.select("path", F.col("name").alias("opf_name"), "data"), ["path", "opf_name"], "left")
+    return found.select("path", "opf_name", F.from_xml(F.col("data").cast("string"), PACKAGE).alias("opf"))
 
 
 def _beside(name: Column, href: Column) -> Column:
@@ -95,8 +132,8 @@ def navigation(entries: DataFrame) -> DataFrame:
     Points are cut at their start tags, so that one lacking a part doesn't shift those after it.
     """
     toc = entries.where(F.endswith(F.lower("name"), F.lit(".ncx"))).select("path", F.col("name").alias("toc"), F.col("data").cast("string").alias("t"))
-    points = F.slice(F.split("t", r"<navPoint\b"), 2, 1_000_000)
-    rows = toc.select("path", "toc", F.posexplode(points).alias("position", "p"))
+    points = F.split("t", r"<navPoint\b")
+    rows = toc.select("path", "toc", F.posexplode(points).alias("position", "p")).where("position > 0").withColumn("position", F.col("position") - 1)
     pick = lambda pattern: F.regexp_extract("p", pattern, 1)
     order = play_order(pick(r"^[^>]*playOrder\s*=\s*[\"']([^\"']*)[\"']"))
     title = F.trim(pick(r"(?s)<text>(.*?)</text>"))
@@ -149,7 +186,7 @@ def covers(entries: DataFrame) -> DataFrame:
     named = meta.join(items.where(image), ["path", "item_id"]).select("path", F.lit(2).alias("rank"), "name")
     guide = packed.select("path", "opf_name", F.explode("opf.guide.reference").alias("g")).where("g._type = 'cover'")
     page = guide.select("path", _beside(F.col("opf_name"), F.col("g._href")).alias("page"))
-    shown = F.regexp_extract(F.col("data").cast("string"), r"""(?i)<img[^>]+src=["']([^"']+)["']""", 1)
+    shown = first_image(F.col("data").cast("string"))
     shown = page.join(entries, (page["path"] == entries["path"]) & (page["page"] == entries["name"])).select(page["path"], F.lit(3).alias("rank"), _beside(F.col("page"), shown).alias("name"))
     guessed = items.where(image & F.contains(F.lower("name"), F.lit("cover"))).select("path", F.lit(4).alias("rank"), "name")
     found = marked.unionByName(named).unionByName(shown).unionByName(guessed)
@@ -158,8 +195,13 @@ def covers(entries: DataFrame) -> DataFrame:
 
 
 def titles(entries: DataFrame) -> DataFrame:
-    """(path, title, author) from the package: the first of each, null if there is none."""
-    return packages(entries).select("path", F.get("opf.metadata.dc:title", F.lit(0)).alias("title"), F.get("opf.metadata.dc:creator", F.lit(0)).alias("author"))
+    """(path, title, author, series, series_order) from the package: the first title and author, and the library's series marks; null where there is none."""
+    packed = packages(entries)
+    meta = lambda name: F.get(F.filter("opf.metadata.meta", lambda m: m["_name"] == name), F.lit(0))["_content"]
+    return packed.select(
+        "path", F.get("opf.metadata.dc:title", F.lit(0)).alias("title"), F.get("opf.metadata.dc:creator", F.lit(0)).alias("author"),
+        meta("calibre:series").alias("series"), series_position(meta("calibre:series_index").try_cast("double")).alias("series_order"),
+    )
 
 
 def build_books(chapters: DataFrame) -> DataFrame:
@@ -175,7 +217,14 @@ def build_books(chapters: DataFrame) -> DataFrame:
             add("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
             items = "".join(f'<item id="c{i}" href="text/c{i}.xhtml" media-type="application/xhtml+xml"/>' for i in range(len(rows)))
             refs = "".join(f'<itemref idref="c{i}"/>' for i in range(len(rows)))
-            add("OEBPS/content.opf", f'<package><metadata/><manifest><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>{items}</manifest><spine toc="ncx">{refs}</spine></package>')
+            book = escape(str(table.column("book")[0].as_py()))
+            meta = (
+                f'<metadata><dc:title>Book {book}</dc:title><dc:creator>Author {book}</dc:creator><meta name="cover" content="cover"/>'
+                '<meta name="calibre:series" content="Series"/><meta name="calibre:series_index" content="1.5"/></metadata>'
+            )
+            items += '<item id="cover" href="cover.png" media-type="image/png"/>'
+            add("OEBPS/cover.png", "no picture")
+            add("OEBPS/content.opf", f'<package xmlns:dc="http://purl.org/dc/elements/1.1/">{meta}<manifest><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>{items}</manifest><spine toc="ncx">{refs}</spine></package>')
             points = "".join(
                 f'<navPoint playOrder="{i + 1}"><navLabel><text>{escape(r["title"] or "")}</text></navLabel><content src="text/c{i}.xhtml"/></navPoint>' for i, r in enumerate(rows)
             )

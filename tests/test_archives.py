@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import validation as V
 from quire.sources import archives as A
+from quire.sources import repair as R
 
 
 def container(files: dict[str, str]) -> bytes:
@@ -75,6 +76,70 @@ def test_parts(entries):
     assert A.chapter_html(e).first()["html"].startswith("<html>")
 
 
+def damaged() -> dict[str, bytes]:
+    """Containers with one entry that can't be read: packed data damaged, encrypted, packed in an unknown way, and one far too large."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("good.txt", "good " * 50)
+        z.writestr("bad.txt", "some text that is packed, " * 50)
+    whole = out.getvalue()
+    with zipfile.ZipFile(io.BytesIO(whole)) as z:
+        i = z.getinfo("bad.txt")
+    data = i.header_offset + 30 + len("bad.txt")
+    hurt = bytearray(whole)
+    hurt[data : data + 8] = b"\xff" * 8
+    at = whole.rindex(b"PK\x01\x02")  # the second entry in the directory
+    locked, strange = bytearray(whole), bytearray(whole)
+    locked[at + 8] |= 1
+    locked[i.header_offset + 6] |= 1
+    strange[at + 10] = strange[i.header_offset + 8] = 99
+    bomb = io.BytesIO()
+    with zipfile.ZipFile(bomb, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("good.txt", "good " * 50)
+        z.writestr("bad.txt", b"\0" * (60 << 20))
+    return {"hurt": bytes(hurt), "locked": bytes(locked), "strange": bytes(strange), "bomb": bomb.getvalue(), "cut": whole[:50], "empty": b""}
+
+
+def test_damaged_entries_are_rows_with_an_error(entries):
+    rows = {(r["path"], r["name"]): (r["data"], r["error"]) for r in entries(**damaged()).collect()}
+    for path in ("hurt", "locked", "strange", "bomb"):
+        assert bytes(rows[(path, "good.txt")][0]).startswith(b"good") and rows[(path, "good.txt")][1] is None
+        assert rows[(path, "bad.txt")][0] is None and rows[(path, "bad.txt")][1]
+    assert rows[("bomb", "bad.txt")][1] == "over the limits"
+    assert rows[("cut", None)][1] and rows[("empty", None)][1]
+    assert {r["status"] for r in A.integrity(entries(**damaged())).collect()} == {"unreadable"}
+
+
+def test_repair(spark, entries):
+    nav = '<html><body><nav epub:type="toc"><ol><li><a href="text/a.xhtml">The <b>first</b></a></li><li><a href="text/b.xhtml">B &amp; co</a></li></ol></nav></body></html>'
+    lacking = {"remove": ["OEBPS/toc.ncx"], "replace": [('<item id="ncx" href="toc.ncx"/>', ""), (' toc="ncx"', "")]}
+    with_nav = book(remove=["OEBPS/toc.ncx"], replace=[('<item id="ncx" href="toc.ncx"/>', '<item id="nav.x" href="nav.xhtml"/>')]) | {"OEBPS/nav.xhtml": nav}
+    long = {k: v.replace("The <b>first</b>", "x" * 100) for k, v in with_nav.items()}
+    e = entries(spine=book(**lacking), nav=with_nav, long=long, unknown=book(replace=[('idref="b"', 'idref="zz"')]), broken=b"no zip")
+    again = A.zip_entries(R.written(R.repaired(e)))
+    status = {r["path"]: r["status"] for r in A.integrity(again).collect()}
+    assert status == {"spine": "ok", "nav": "ok", "long": "toc missing", "unknown": "unknown item"}
+    titles = {(r["path"], r["title"]) for r in A.navigation(again).collect()}
+    assert {("spine", "Chapter 1"), ("spine", "Chapter 2"), ("nav", "The first"), ("nav", "B &amp;amp; co")} <= titles
+    assert {r["path"] for r in R.quarantined(e).collect()} == {"long", "unknown", "broken"}
+    package = "<package><manifest><item id='ncx' href='x'/></manifest><spine page='l' toc='old'></spine></package>"
+    row = spark.createDataFrame([(package,)], "x string").select(R.package_patched(F.col("x"))).first()[0]
+    assert row.count("id='ncx'") == 1 and '<spine toc="ncx">' in row
+
+
+def test_titles_and_covers(entries):
+    meta = '<package xmlns:dc="x"><metadata><dc:title>T</dc:title><dc:creator>A</dc:creator><meta name="calibre:series" content="S"/><meta name="calibre:series_index" content="2.5"/><meta name="cover" content="pic"/></metadata><manifest><item id="pic" href="pic.jpg" media-type="image/jpeg"/>'
+    e = entries(full=book(replace=[("<package><manifest>", meta)]) | {"OEBPS/pic.jpg": "j"}, bare=book())
+    rows = {r["path"]: tuple(r)[1:] for r in A.titles(e).collect()}
+    assert rows == {"full": ("T", "A", "S", 2), "bare": (None, None, None, None)}
+    assert [tuple(r) for r in A.covers(e).collect()] == [("full", "OEBPS/pic.jpg")]
+
+
+def test_package_of_any_name(entries):
+    files = {k.replace("content.opf", "package.xml"): v for k, v in book(replace=[('full-path="OEBPS/content.opf"', 'full-path="OEBPS/package.xml" media-type="application/oebps-package+xml"')]).items()}
+    assert A.integrity(entries(x=files)).first()["status"] == "ok"
+
+
 def test_limits(spark):
     rows = [("many", f"f{i}", 1, 1) for i in range(2001)] + [("big", "a", 51 << 20, 51 << 20), ("ratio", "a", 1000, 5), ("up", "../evil", 1, 1), ("root", "/x", 1, 1), ("ok", "a", 9, 0)]
     table = spark.createDataFrame(rows, "path string, name string, size long, csize long")
