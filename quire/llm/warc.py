@@ -5,27 +5,34 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from quire.llm.common import cut, shared_dir
 
 #: Payloads of at least this many bytes are written once.
 REVISIT_BYTES = 1000
 
-#: Compressed size at which a file is closed and the next begun.
-FILE_BYTES = 256 << 20
-
 #: A shard holds a 200th of all payload bytes, but at least and at most so many.
 SHARD_PART, SHARD_LEAST, SHARD_MOST = 200, 32 << 20, 1 << 30
 
+#: A file is closed and the next begun at a compressed size of so many parts of a shard, several files a shard.
+FILE_PART, FILE_LEAST = 16, 4 << 20
+
+#: Compressed bytes that a task reads back.
+READ_BYTES = 16 << 20
+
 #: Cells of the histogram by which keys are cut into shards; all that is collected in a round.
 CELLS = 4096
 
@@ -47,9 +54,12 @@ def key_of(urn: str) -> int | None:
     return None if number == 0 else low - (1 << 64) if low >> 63 else low
 
 
+_BREAK = re.compile("\r\n|\r|\n")
+
+
 def _head(lines: list[tuple[str, str]], first: str) -> bytes:
     """A header block; line breaks in values, which would begin a new field, become spaces."""
-    return "\r\n".join([first, *(f"{k}: {' '.join(v.splitlines())}" for k, v in lines), "", ""]).encode()
+    return "\r\n".join([first, *(f"{k}: {_BREAK.sub(' ', v)}" for k, v in lines), "", ""]).encode()
 
 
 def response(key: int | None, url: str | None, payload: bytes, refers_to: int | None = None) -> bytes:
@@ -136,7 +146,7 @@ def first_copies(pages: DataFrame) -> DataFrame:
 
 
 def write_warc(
-    pages: DataFrame, to: str, id: str = "page_id", url: str = "url", html: str = "html", file_bytes: int = FILE_BYTES, shard_bytes: int | None = None
+    pages: DataFrame, to: str, id: str = "page_id", url: str = "url", html: str = "html", file_bytes: int | None = None, shard_bytes: int | None = None
 ) -> DataFrame:
     """Writes a record per row under the folder `to` and returns the manifest: file, records, bytes, sha256.
 
@@ -158,15 +168,22 @@ def write_warc(
     if shard_bytes is None:
         total = sized.agg(F.sum("bytes")).first()[0] or 0
         shard_bytes = min(max(total // SHARD_PART, SHARD_LEAST), SHARD_MOST)
+    file_bytes = file_bytes or max(shard_bytes // FILE_PART, FILE_LEAST)
     bounds = shard_bounds(sized.select("key", (F.col("bytes") + 600).alias("bytes")), shard_bytes)
 
     # revisit marks travel beside the rows and meet them in the sorted shard: no second shuffle of the texts
     marks = first_copies(sized).distinct()
     both = own.select("key", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
     both = both.unionByName(marks.select("key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to"))
-    cuts = F.array(*[F.lit(x).cast("long") for x in bounds]) if bounds else F.array().cast("array<bigint>")
-    shard = F.coalesce(F.size(F.filter(cuts, lambda x: x <= F.col("key"))), F.lit(0))
-    placed = both.withColumn("shard", shard).repartition(max(1, len(bounds) + 1), "shard")
+    # a shard is a partition: its number is looked up among the bounds, one number a shard, and dealt out as it is
+    sent = spark.sparkContext.broadcast(np.array(bounds, np.int64))
+
+    @F.pandas_udf(IntegerType())
+    def shard_of(keys: pd.Series) -> pd.Series:
+        known = keys.notna()
+        return pd.Series(np.searchsorted(sent.value, keys.where(known, 0).astype("int64"), side="right") * known.to_numpy()).astype("int32")
+
+    placed = both.withColumn("shard", shard_of("key")).repartitionById(max(1, len(bounds) + 1), "shard")
     ordered = placed.sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "kind", "html", "url", "digest")
 
     def write(batches):
@@ -260,7 +277,7 @@ def read_warc(spark: SparkSession, at: str, payloads: bool = False) -> DataFrame
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names[: len(columns)])
 
-    each = files.repartition(max(1, files.count()), "file")
+    each = files.repartition(max(1, -(-(files.agg(F.sum("bytes")).first()[0] or 0) // READ_BYTES)))
     return each.select("file").mapInArrow(read, schema + (", html string" if payloads else ""))
 
 
