@@ -39,25 +39,46 @@ _BLOCKS = (CONTAINERS - {"html", "body"}) | frozenset("p li dt dd address blockq
 _AROUND_P = CONTAINERS | frozenset("td th caption button object".split())
 
 #: Features of parts of a text, which don't tell its container from another.
-WITHIN = frozenset("a ul ol dl table figure details h1 h2 h3 h4 h5 h6".split())
+WITHIN = frozenset("a div section ul ol dl table figure details h1 h2 h3 h4 h5 h6".split())
+
+#: What follows a tag's name: a quote opens a value only right behind an equals sign, as in HTML; elsewhere it is a letter like others.
+_REST = r"""(?:[^>=]*+=\s*+(?:"[^"]*+"|'[^']*+'|))*+[^>=]*+"""
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<unshown>{'|'.join(UNSHOWN)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</(?P=unshown)\s*>|\Z)|\Z)"
+    rf"|<(?P<unshown>{'|'.join(UNSHOWN)})(?![A-Za-z0-9:-]){_REST}(?:>.*?(?:</(?P=unshown)\s*>|\Z)|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    rf"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>{_REST})(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[a-z]+")
 
+#: Words that say how a box is laid out and nothing of what it holds; what stands before one names it.
+LAYOUT = frozenset(
+    "area bar block body bottom box boxes btn button cell col column container footer group header holder inner item items layout left link links list "
+    "module outer panel right row section sections slot top unit widget wrap wrapper".split()
+)
+
 
 def _names(rest: str) -> frozenset[str]:
-    """The lower-case parts of an element's class, id and role, as features of what it holds."""
+    """What the names in an element's class, id and role call it: a feature of what it holds.
+
+    A name of several words is called by its last, as in English: "search-engines" are engines and no search. Words of
+    layout at its end are passed over: an "ad-slot" is an ad.
+    """
     if "=" not in rest:
         return frozenset()
-    return frozenset("." + x for v in _NAMED.findall(rest) for x in _PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower()))
+    found = set()
+    for value in _NAMED.findall(rest):
+        for name in value.strip("\"'").split():
+            words = _PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+            while len(words) > 1 and words[-1] in LAYOUT:
+                words.pop()
+            if words:
+                found.add("." + words[-1])
+    return frozenset(found)
 
 
 def segments(html: str):
@@ -174,6 +195,8 @@ def labelled_page(seed: int) -> str:
         tag = {"menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind)
         tag = tag if tag and r.random() < 0.6 else r.choice(["div", "div", "section"])
         attributes = named(kind) if tag in ("div", "section") or r.random() < 0.4 else ""
+        if kind == "menu" and r.random() < 0.2:  # nothing but its links tells what it is
+            return f"<div>{links(r.randint(3, 8))}</div>"
         inner = r.choice([links(r.randint(2, 8)), f"<p>{words(4, 40)}</p>", words(4, 25), f"<h3>{words(1, 4)}</h3>{links(3)}"])
         if kind == "form":
             inner = f"<label>{words(1, 3)}</label><input name=q><button>{words(1, 2)}</button>" + r.choice(["", f"<p>{words(5, 20)}</p>"])
@@ -198,8 +221,12 @@ def labelled_page(seed: int) -> str:
     for kind in ("advert", "share", "aside", "notice", "form", "menu"):
         if r.random() < 0.35:
             body.insert(r.randint(1, len(body)), junk(kind))
-    tag = r.choice(["article", "article", "main", "div", "section"])
-    content = f"<{tag}{named('content') if tag in ('div', 'section') or r.random() < 0.3 else ''}>{''.join(body)}</{tag}>"
+    tag = r.choice(["article", "article", "main", "div", "div", "section"])
+    content = f"<{tag}{named('content') if r.random() < (0.6 if tag in ('div', 'section') else 0.3) else ''}>{''.join(body)}</{tag}>"
+    if r.random() < 0.1:  # no container at all
+        content = "".join(body)
+    for _ in range(r.choice([0, 0, 1, 3])):
+        content = f"<div>{content}</div>"
     before = [junk(k) for k in ("menu", "header", "notice", "advert", "form", "aside") if r.random() < 0.5]
     after = [junk(k) for k in ("comment", "aside", "share", "advert", "form", "footer", "menu") if r.random() < 0.5]
     r.shuffle(before)
@@ -275,8 +302,11 @@ def extract(html: str, weights) -> str:
     bias, word, tag = weights
     scores: dict[frozenset[str], float] = {}
     parts, sums = [], []
+    seen: set[str] = set()  # tags since the last words: several of a name running, such as wrappers, count once
     for kind, value, features in segments(html):
         if kind == "text":
+            if not value.isspace():
+                seen.clear()
             n = len(value.split())
             if features not in scores:
                 scores[features] = bias + sum(word.get(f, 0.0) for f in features)
@@ -285,7 +315,8 @@ def extract(html: str, weights) -> str:
             sums.append(n * min(max(s, WORD_LEAST), WORD_MOST))
         else:
             parts.append((kind, value, False, features))
-            sums.append(tag.get(value, 0.0))
+            sums.append(0.0 if value in seen else tag.get(value, 0.0))
+            seen.add(value)
     best, span, total, start = 0.0, (0, 0), 0.0, 0
     for i, s in enumerate(sums):
         if total <= 0:
@@ -294,11 +325,12 @@ def extract(html: str, weights) -> str:
         if total > best:
             best, span = total, (start, i + 1)
     low, high = span
-    held = {f - WITHIN for _, _, good, f in parts[low:high] if good}
+    box = lambda f: frozenset(x for x in f if x in word and x not in WITHIN)
+    held = {box(f) for _, _, good, f in parts[low:high] if good}
     for way in (range(low - 1, -1, -1), range(high, len(parts))):
         for i in way:
             if parts[i][2] and parts[i][1].strip():
-                if parts[i][3] - WITHIN not in held:
+                if box(parts[i][3]) not in held:
                     break
                 low, high = min(low, i), max(high, i + 1)
     out: list[str] = []
