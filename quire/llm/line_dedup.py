@@ -135,7 +135,11 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", min_char
 
 
 def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
-    """docs with the lost lines taken out of the text, and the length column brought up to date if there is one."""
+    """docs with the lost lines taken out of the text, and the length column brought up to date if there is one.
+
+    Every row stays; a null text stays null. Nulls, ties, repeated rows and empty tables are as in line_dedup. Columns
+    of any other name stay as they are.
+    """
     done = apply_bitmaps(docs, drop_bitmaps(docs, id, text), id, text)
     hit = F.col("__n_dropped") > 0
     out = {text: F.when(hit, F.col("__kept")).otherwise(F.col(f"`{text}`"))}

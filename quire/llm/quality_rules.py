@@ -21,7 +21,6 @@ STOP_WORDS = (
 THRESHOLDS = (
     ("too_short", "n_words", "<", 20),
     ("repeated_windows", "repeat_ratio", ">", 0.30),
-    ("too_long", "n_words", ">", 10_000_000),
     ("short_words", "mean_word_chars", "<", 2.0),
     ("long_words", "mean_word_chars", ">", 14.0),
     ("symbols", "symbol_ratio", ">", 0.10),
@@ -158,7 +157,11 @@ def quality_rules(docs: DataFrame, id: str = "doc_id", text: str = "text", thres
 
 
 def keep_good(docs: DataFrame, id: str = "doc_id", text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
-    """The documents that break no rule, with all their columns as they were."""
+    """The documents that break no rule, with all their columns as they were, whatever these are called.
+
+    Null, empty and wordless texts go, as they have too few words; repeated rows are judged one by one; a null id makes
+    no difference; an empty table stays empty; a measure at its threshold breaks no rule.
+    """
     # the verdict is one expression within let(): a filter on a column of measures would compute them at each mention
     good = let(measures(docs.sparkSession, f"`{text}`"), lambda q: ~base_failed(q) & (F.size(compile_rules(q, thresholds)) == 0))
     return docs.where(good)

@@ -3,8 +3,9 @@
 import base64
 import collections
 import hashlib
-import html
+import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -165,20 +166,53 @@ def test_extraction_on_held_out_pages():
         ("<article><p>Kept text stands here</p><script>var a='<p>no</p>'", "Kept text stands here"),
         ("<article><p>Before the remark</p><!-- <p>no</p>", "Before the remark"),
         ("<nav>only</nav>", ""),
+        ("<article><h1>T</h1><div id='search-engines'><p>How they work.</p></div><p class=author-note>By me.</p><div class=ad-slot>Buy</div></article>", "T How they work. By me."),
+        ('<article><p title=5">Middle</p><p class="a > b">End</p></article>', "Middle End"),
+        ("<article><p>First</p>" + "<div>" * 20 + "<p>" + "a long body " * 500 + "</p>" + "</div>" * 20 + "<p>Last</p></article>", "First " + "a long body " * 500 + "Last"),
+        ("<div><a href=x>One</a> <a href=y>Two</a></div><div><h1>Title</h1><p>Plain words in an unnamed box.</p></div>", "Title Plain words in an unnamed box."),
     ],
 )
 def test_extraction(page, text):
     assert H.extract(page, H.trained()) == text
 
 
+class Article(HTMLParser):
+    """The text of article elements by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.depth, self.out = 0, []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.out.append("" if tag in H.INLINE else " ")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.out.append("" if tag in H.INLINE else " ")
+
+    def handle_data(self, data):
+        self.out.append(data if self.depth else "")
+
+
 def test_extraction_of_pages(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    """All of the pages' articles, read by another parser, and nothing else."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     rows = {r["page_id"]: r for r in H.main_text(pages).collect()}
     for p in pages.collect():
-        inner = p["html"].partition("<article>")[2].partition("</article>")[0]
-        plain = html.unescape("".join(" " if k == "break" else v if k == "text" else "" for k, v, _ in H.segments(inner)))
-        assert rows[p["page_id"]]["text"] == " ".join(plain.split())
-    assert H.main_text(spark.createDataFrame([(1, None, None)], "page_id long, url string, html string")).first()["text"] == ""
+        assert rows[p["page_id"]]["text"] == " ".join("".join(Article(p["html"]).out).split())
+        assert rows[p["page_id"]]["n_chars"] == len(rows[p["page_id"]]["text"])
+
+
+def test_extraction_of_odd_tables(spark):
+    long = "<article>" + "<p>some words in a paragraph</p>" * 40_000 + "</article>"
+    rows = [(1, None, None, "x", 3), (2, "u", "", "x", 3), (2, "u", "<p>Two words</p>", "x", 3), (2, "u", "<p>Two words</p>", "x", 3), (None, None, long, "x", 3)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = sorted((r["page_id"] or 0, r["n_chars"]) for r in H.main_text(table).collect())
+    assert got == [(0, 40_000 * 26 - 1), (1, 0), (2, 0), (2, 9), (2, 9)]
+    assert H.main_text(table.limit(0)).count() == 0
 
 
 def test_secrets_on_held_out_findings(spark):
@@ -187,6 +221,28 @@ def test_secrets_on_held_out_findings(spark):
     assert held.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0] > 0.94
 
 
+def test_planted_secrets_of_documents(spark):
+    """All quoted tokens that stand in the documents are found, and nothing else is a secret."""
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    planted = {(r["doc_id"], x) for r in documents.collect() for x in re.findall(r'token = "([0-9a-f]{40})"', r["text"] or "")}
+    found = {(r["doc_id"], r["candidate"]) for r in S.scan_secrets(documents).where("is_secret").collect()}
+    assert len(planted) > 100 and len(planted - found) <= 0.02 * len(planted) and len(found - planted) <= 0.02 * len(found)
+
+
+def test_secrets_of_odd_tables(spark, odd, empty):
+    token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    text = f'the token = "{token}" of it'
+    rows = [(1, text, 5, "x"), (1, text, 5, "x"), (None, text, 5, "x"), (2, None, None, "x"), (3, "", 0, "x"), (4, "z" * 500_000 + " " + text, 1, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, candidate string")
+    assert S.scan_secrets(table, path=None).where("is_secret").count() == 4
+    clean = S.redact_secrets(table)
+    assert clean.columns == table.columns
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[-27:], r["n_chars"]) for r in clean.collect()) == [
+        (0, 'he token = "[SECRET]" of it', 28), (1, 'he token = "[SECRET]" of it', 28), (1, 'he token = "[SECRET]" of it', 28), (2, "", None), (3, "", 0), (4, 'he token = "[SECRET]" of it', 500_029),
+    ]
+    assert S.redact_secrets(odd, path=None).count() == 6 and S.redact_secrets(empty).count() == 0
+
+
 def test_secrets(spark, empty):
     token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
     rows = [
