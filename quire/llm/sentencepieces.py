@@ -28,20 +28,22 @@ EXPONENT = 1.0
 #: Inverse temperature of the sampled distribution; 0 makes all segmentations alike, large values the best one.
 ALPHA = 1.0
 
-#: Characters of text that are segmented together.
+#: Characters of text that are segmented together; a longer text is worked on in parts, a longer stretch alone.
 CHUNK = 1 << 20
 
-#: Slots of the table that tells most substrings that are no piece from pieces without a search.
-SLOTS = 1 << 18
+#: Slots of the tables by which a substring's hash leads to its piece.
+SLOTS = 1 << 17
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _rolled(codes: np.ndarray, width: int, before: np.ndarray) -> np.ndarray:
-    """From the hashes of the last width - 1 characters up to each position, those of the last `width`."""
-    out = codes.copy()
-    out[1:] += before[:-1] * _BASE
-    return out * np.uint64(0xD6E8FEB86659FD93) if width else out
+def _rolled(codes: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The hashes of strings that end in these characters, from the hashes of what stands before those; 0 for nothing."""
+    return (codes + before * _BASE) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
 
 
 def _codes(text: str) -> np.ndarray:
@@ -74,19 +76,23 @@ class Pieces:
         by_length: dict[int, list[tuple[int, int]]] = {}
         for rank, (i, text, _) in enumerate(plain):
             self.logp[i] = -EXPONENT * np.log(rank + 1.0)
-            codes = _codes(text)
-            h = np.zeros(len(codes), np.uint64)
-            for k in range(1, len(codes) + 1):
-                h = _rolled(codes.astype(np.uint64), k, h)
-            by_length.setdefault(len(codes), []).append((int(h[-1]), i))
+            codes, h = _codes(text).astype(np.uint64), np.zeros(1, np.uint64)
+            for k in range(len(codes)):
+                h = _rolled(codes[k : k + 1], h)
+            by_length.setdefault(len(codes), []).append((int(h[0]), i))
         self.longest = max(by_length)
         self.tables = {}
         for k, rows in by_length.items():
             rows.sort()
-            known = np.array([h for h, _ in rows], np.uint64)
-            maybe = np.zeros(SLOTS, bool)
-            maybe[(known >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)] = True
-            self.tables[k] = known, np.array([i for _, i in rows], np.int32), maybe
+            known = np.array([h for h, _ in rows] + [0], np.uint64)  # one more, for empty slots to point to
+            slot, level = _slot(known[:-1]), []
+            rest = np.arange(len(rows), dtype=np.int32)
+            while len(rest):  # of pieces in one slot, each stands in a table of its own
+                _, one = np.unique(slot[rest], return_index=True)
+                level.append(np.full(SLOTS, len(rows), np.int32))
+                level[-1][slot[rest[one]]] = rest[one]
+                rest = np.delete(rest, one)
+            self.tables[k] = known, np.array([i for _, i in rows], np.int32), level
 
 
 @cache
@@ -105,50 +111,80 @@ def _stretches(codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _forward(p: Pieces, codes: np.ndarray, starts: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each character, per length of a piece that ends there: its cumulative probability, and the piece.
+def _forward(p: Pieces, codes: np.ndarray, starts: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each character the first of its edges, one per piece that ends there; and the edges' cumulative probabilities, pieces and lengths.
 
     Forward filtering, all stretches abreast: the probability of all segmentations up to a character sums those up to
-    where each piece begins, times the piece's. A character without a piece has its UTF-8 bytes as its one edge; that
-    edge's piece is -1 - code.
+    where each piece begins, times the piece's. A character without a piece has its UTF-8 bytes as an edge; that edge's
+    piece is -1 - code. The last edge of a character has a cumulative probability above 1.
     """
-    n, most = len(codes), p.longest
+    n = len(codes)
     lengths = np.diff(np.append(starts, n))
     into = np.arange(n) - np.repeat(starts, lengths)
-    edge = np.full((n, most), -np.inf, np.float32)
-    piece = np.zeros((n, most), np.int32)
-    h = np.zeros(n, np.uint64)
-    for k in range(1, most + 1):
-        h = _rolled(codes.astype(np.uint64), k, h)
+    found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []  # length, ends, pieces, log probabilities
+    degree = np.zeros(n, np.int64)
+    h, wide, act = np.zeros(n, np.uint64), codes.astype(np.uint64), np.arange(n)
+    for k in range(1, p.longest + 1):
+        if k > 1:  # the characters that have k - 1 before them in their stretch
+            act = act[into[act] >= k - 1]
+        own = _rolled(wide[act], h[act - 1] if k > 1 else np.zeros(n, np.uint64))
+        h[act] = own
         if k not in p.tables:
             continue
-        known, ids, maybe = p.tables[k]
-        at = np.flatnonzero(maybe[(h >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)] & (into >= k - 1))
-        slot = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
-        hit = known[slot] == h[at]
-        edge[at[hit], k - 1] = alpha * p.logp[ids[slot[hit]]]
-        piece[at[hit], k - 1] = ids[slot[hit]]
-    bare = np.flatnonzero(np.isinf(edge[:, 0]))
-    for code in np.unique(codes[bare]):
-        letter = SPACE if code == ord(GIVEN) else chr(code)
-        cost = alpha * float(sum(p.logp[p.byte[b]] for b in letter.encode()))
-        own = bare[codes[bare] == code]
-        edge[own, 0], piece[own, 0] = cost, -1 - int(ord(letter))
-    total = np.zeros(n + 1)
+        known, ids, levels = p.tables[k]
+        slot, rest, some, row = _slot(own), None, [], []
+        for level in levels:
+            to = level[slot if rest is None else slot[rest]]
+            full, same = to < len(ids), known[to] == (own if rest is None else own[rest])
+            hit, miss = np.flatnonzero(same & full), np.flatnonzero(~same & full)
+            some.append(hit if rest is None else rest[hit])
+            row.append(to[hit])
+            rest = miss if rest is None else rest[miss]  # those whose slot holds another piece
+        some, row = np.concatenate(some), np.concatenate(row)
+        at, piece = act[some], ids[row]
+        found.append((k, at, piece, alpha * p.logp[piece]))
+        degree[at] += 1
+    alone = np.ones(n, bool)
+    if found and found[0][0] == 1:
+        alone[found[0][1]] = False
+    bare = np.flatnonzero(alone)
+    letters, which = np.unique(codes[bare], return_inverse=True)
+    spelled = [SPACE if c == ord(GIVEN) else chr(c) for c in letters]
+    cost = np.array([alpha * float(sum(p.logp[p.byte[b]] for b in x.encode())) for x in spelled])
+    if len(bare):
+        found.insert(0, (1, bare, np.array([-1 - ord(x) for x in spelled], np.int32)[which], cost[which]))
+        degree[bare] += 1
+
+    # characters in order of their place in their stretch, edges in order of characters, then of length
     order = np.argsort(into, kind="stable")
+    sizes = degree[order]
+    first = np.empty(n, np.int64)
+    first[order] = np.cumsum(sizes) - sizes
+    edges = int(sizes.sum())
+    weight, pieces_, long, before = np.empty(edges), np.empty(edges, np.int32), np.empty(edges, np.uint8), np.empty(edges, np.int64)
+    place = np.arange(n) + np.repeat(np.arange(len(starts)), lengths) + 1  # total has a place before each stretch too, where it is 0
+    free = first.copy()
+    for k, at, piece, logp in found:
+        e = free[at]
+        weight[e], pieces_[e], long[e], before[e] = logp, piece, k, place[at] - k
+        free[at] += 1
+    total, cum = np.zeros(n + len(starts)), np.empty(edges, np.float32)
     bounds = np.searchsorted(into[order], np.arange(int(into.max(initial=0)) + 2))
-    for i in range(len(bounds) - 1):
-        at = order[bounds[i] : bounds[i + 1]]
-        width = min(i + 1, most)
-        w = edge[at, :width].astype(np.float64)
-        # total[x] is that of the character before x within a stretch; before its first it is 0
-        before = at[:, None] - np.arange(width)[None, :]
-        w = w + np.where(into[before] > 0, total[before - 1], 0.0)
-        top = w.max(axis=1)
-        total[at] = top + np.log(np.exp(w - top[:, None]).sum(axis=1))
-        edge[at, :width] = np.cumsum(np.exp(w - total[at][:, None]), axis=1)
-        edge[at, width:] = 2.0
-    return edge, piece
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        at, count = order[a:b], sizes[a:b]
+        low, high = int(first[at[0]]), int(first[at[-1]] + count[-1])
+        w, begin = weight[low:high] + total[before[low:high]], first[at] - low
+        top = np.maximum.reduceat(w, begin)
+        np.exp(np.subtract(w, np.repeat(top, count), out=w), out=w)
+        run, rest = np.zeros(b - a), np.arange(b - a)
+        for j in range(int(count.max())):  # sums within each character alone, so that they don't depend on the others
+            rest = rest[count[rest] > j]
+            run[rest] += w[begin[rest] + j]
+            w[begin[rest] + j] = run[rest]
+        total[place[at]] = top + np.log(run)
+        cum[low:high] = w / np.repeat(run, count)
+        cum[low + begin + count - 1] = 2.0
+    return first, cum, pieces_, long
 
 
 def _uniform(seed: np.ndarray, ordinal: np.ndarray, step: int) -> np.ndarray:
@@ -168,34 +204,59 @@ def encode(p: Pieces, texts: list[str], keys: list[int], alpha: float = ALPHA) -
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
     starts = _stretches(codes, doc)
     lengths = np.diff(np.append(starts, len(codes)))
-    # equal stretches share a lattice: told by a hash of 64 bits and the length, then compared letter by letter
-    powers = np.multiply.accumulate(np.full(int(lengths.max()), _BASE))
-    into = np.arange(len(codes)) - np.repeat(starts, lengths)
-    h = mix(np.add.reduceat(mix(codes.astype(np.uint64) + np.uint64(1)) * powers[into], starts) + lengths.astype(np.uint64))
-    _, first, lattice = np.unique(h, return_index=True, return_inverse=True)
-    taken = lengths[first]
-    ends = np.cumsum(taken)
-    own = codes[np.repeat(starts[first] - (ends - taken), taken) + np.arange(ends[-1])]
-    same = own[np.repeat((ends - taken)[lattice] - starts, lengths) + np.arange(len(codes))] == codes
-    if not (same.all() and (taken[lattice] == lengths).all()):
-        raise ValueError("two stretches share a hash; change the base")
-    cum, piece = _forward(p, own, ends - taken, alpha)
-
     of = doc[starts]
     ordinal = np.arange(len(starts)) - np.searchsorted(of, of)
     seed = mix(np.array([(k if k is not None else -1) & (1 << 64) - 1 for k in keys], np.uint64) + _BASE)[of]
+    # stretches are drawn on their own, so a long text's can be worked on in parts
+    cuts = np.append(np.unique(np.searchsorted(starts, np.arange(0, len(codes), CHUNK))), len(starts))
+    flat, owner = [], []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            ids, steps = _drawn(p, codes, starts[a:b], lengths[a:b], seed[a:b], ordinal[a:b], alpha)
+            flat.append(ids)
+            owner.append(np.repeat(of[a:b], steps))
+    flat, owner = np.concatenate(flat), np.concatenate(owner)
+    raw = np.flatnonzero(flat < 0)
+    if len(raw):
+        spelled = [chr(-1 - int(x)).encode() for x in flat[raw]]
+        n = np.ones(len(flat), np.int64)
+        n[raw] = [len(x) for x in spelled]
+        place = np.cumsum(n) - n
+        flat, owner = np.repeat(flat, n), np.repeat(owner, n)
+        letters = np.frombuffer(b"".join(spelled), np.uint8)
+        at = np.repeat(place[raw] - (np.cumsum(n[raw]) - n[raw]), n[raw]) + np.arange(len(letters))
+        flat[at] = p.byte[letters]
+    return flat.astype(np.int32), np.searchsorted(owner, np.arange(len(texts) + 1))
+
+
+def _drawn(p: Pieces, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: np.ndarray, ordinal: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces drawn for each stretch, in order, and their number by stretch; equal stretches share a lattice.
+
+    Stretches are told apart by a hash of 64 bits and the length, then compared letter by letter.
+    """
+    into = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    letters = codes[np.repeat(starts, lengths) + into]
+    powers = np.multiply.accumulate(np.full(int(lengths.max()), _BASE))
+    h = mix(np.add.reduceat(mix(letters.astype(np.uint64) + np.uint64(1)) * powers[into], np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
+    _, one, lattice = np.unique(h, return_index=True, return_inverse=True)
+    if (lengths[one][lattice] != lengths).any() or (letters != codes[np.repeat(starts[one][lattice], lengths) + into]).any():
+        raise ValueError("two stretches share a hash; change the base")
+    taken = lengths[one]
+    ends = np.cumsum(taken)
+    own = codes[np.repeat(starts[one] - (ends - taken), taken) + np.arange(ends[-1])]
+    first, cum, piece, long = _forward(p, own, ends - taken, alpha)
     node, left, active = ends[lattice] - 1, lengths.copy(), np.arange(len(starts))
     drawn: list[tuple[np.ndarray, np.ndarray]] = []
     while len(active):
         u = _uniform(seed[active], ordinal[active], len(drawn))
-        at = node[active]
-        k = np.minimum((u[:, None] >= cum[at]).sum(axis=1), np.minimum(left[active], cum.shape[1]) - 1)
-        # rounding may point past the last edge there is: take the one before
-        while (none := (piece[at, k] == 0) & (k > 0)).any():
-            k = np.where(none, k - 1, k)
-        drawn.append((active, piece[at, k]))
-        node[active] -= k + 1
-        left[active] -= k + 1
+        e = first[node[active]]
+        up = np.arange(len(e))
+        while len(up := up[u[up] >= cum[e[up]]]):
+            e[up] += 1
+        drawn.append((active, piece[e]))
+        k = long[e].astype(np.int64)
+        node[active] -= k
+        left[active] -= k
         active = active[left[active] > 0]
     steps = np.zeros(len(starts), np.int64)
     for where, _ in drawn:
@@ -204,18 +265,7 @@ def encode(p: Pieces, texts: list[str], keys: list[int], alpha: float = ALPHA) -
     flat = np.zeros(int(steps.sum()), np.int64)
     for step, (where, ids) in enumerate(drawn):
         flat[begin[where] + steps[where] - 1 - step] = ids
-    owner = np.repeat(of, steps)
-    raw = np.flatnonzero(flat < 0)
-    if len(raw):
-        spelled = [chr(-1 - int(x)).encode() for x in flat[raw]]
-        n = np.ones(len(flat), np.int64)
-        n[raw] = [len(x) for x in spelled]
-        place = np.cumsum(n) - n
-        flat, owner = np.repeat(flat, n), np.repeat(owner, n)
-        letters = np.frombuffer(b"".join(spelled), np.uint8)
-        at = np.repeat(place[raw] - (np.cumsum(n[raw]) - n[raw]), n[raw]) + np.arange(len(letters))
-        flat[at] = p.byte[letters]
-    return flat.astype(np.int32), np.searchsorted(owner, np.arange(len(texts) + 1))
+    return flat, steps
 
 
 def decode(p: Pieces, ids: np.ndarray) -> bytes:

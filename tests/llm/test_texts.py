@@ -128,10 +128,10 @@ def test_pieces_distribution():
             names[(k, int(h))] = int(i)
 
     def piece(s):
-        h = np.zeros(len(s), np.uint64)
-        for k in range(1, len(s) + 1):
-            h = P._rolled(P._codes(s).astype(np.uint64), k, h)
-        return names.get((len(s), int(h[-1])))
+        h = np.zeros(1, np.uint64)
+        for c in P._codes(s).astype(np.uint64):
+            h = P._rolled(c[None], h)
+        return names.get((len(s), int(h[0])))
 
     def all_of(s):
         if not s:
