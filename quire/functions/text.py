@@ -185,7 +185,8 @@ def end_trimmed(c: Column) -> Column:
 def search_offsets(c: Column) -> Column:
     """For each character of search_form(c) its 1-based character position in c."""
     letters = F.split(c, "")
-    return let(letters, lambda x: F.filter(F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1))), lambda i: F.get(x, i - 1).rlike("^[A-Za-z0-9]$")))
+    known = lambda x: ((x >= "a") & (x <= "z")) | ((x >= "0") & (x <= "9")) | ((x >= "A") & (x <= "Z"))  # noqa: E731  one letter each, compared by bytes
+    return F.filter(F.transform(letters, lambda x, i: F.when(known(x), i + 1)), lambda i: i.isNotNull())
 
 
 # --- the reader's side: pages of a chapter's markup, and snippets saved from them ---
