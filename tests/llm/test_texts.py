@@ -337,3 +337,12 @@ def test_pieces_distribution_over_long_runs():
 def test_extraction_of_left_out_end_tags_and_deep_nesting(page, left_out):
     texts = [(v, ".ad" in f) for kind, v, f in H.segments(page) if kind == "text"]
     assert {v for v, named in texts if named} == left_out and {v for v, named in texts if not named} == {"Real text"}
+
+
+def test_longest_of_words():
+    """The pattern finds what an alternation of the words, longest first, finds."""
+    words = ("the", "there", "thermal", "her", "a.b", "a", "ab")
+    plain = "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
+    for text in ("thethere", "thermathermal", "xa.bab", "hertherth", "", "the a a.c"):
+        assert re.findall(S.longest_of(words), text) == re.findall(plain, text)
+    assert S.longest_of(()) == ""
