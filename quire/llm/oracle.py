@@ -70,3 +70,26 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform
   FROM t JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, array_to_string(list_filter([{_BROKEN}], lambda y: y IS NOT NULL), ',') AS broken_rules FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken_rules = '' AS kept, n_stop_words, n_lines, broken_rules FROM b"""
+
+#: CRC-32 of a text of ASCII: a table of 256 entries by the rule, and a fold over the bytes.
+CRC = """crc_table AS MATERIALIZED (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i))"""
+CRC_OF = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split({key}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+SQL["op11_periodic_runs"] = rf"""
+WITH {CRC},
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {CRC_OF.format(key="doc_id::VARCHAR")} AS h FROM documents, crc_table),
+s AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM s),
+l AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE w[:a] || list_transform(range(a, n), lambda i: w[1 + a + (i - a) % p]) END AS w FROM p),
+u AS MATERIALIZED (SELECT doc_id, n, unnest(w) AS x, unnest(range(n)) AS i FROM l),
+e AS (SELECT u.doc_id, v.i - u.i AS q, u.i AS i FROM u JOIN u v ON u.doc_id = v.doc_id AND u.x = v.x AND u.i < v.i AND 3 * (v.i - u.i) <= u.n),
+g AS (SELECT doc_id, q, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g, i FROM e),
+m AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM g GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(24, 3 * q)),
+r AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM m GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY (length::DECIMAL(38, 10) / period) DESC, start, period) AS k FROM r),
+t AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s FROM r GROUP BY doc_id),
+c AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY i) AS c FROM u WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = u.doc_id AND u.i >= r.start + r.period AND u.i < r.start + r.length) GROUP BY u.doc_id)
+SELECT l.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+  sha256(coalesce(s, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+  FROM l LEFT JOIN t ON t.doc_id = l.doc_id LEFT JOIN b ON b.doc_id = l.doc_id AND b.k = 1 LEFT JOIN c ON c.doc_id = l.doc_id"""

@@ -11,6 +11,7 @@ from quire.llm.html_content import main_text
 from quire.llm.line_dedup import line_dedup
 from quire.llm.minhash import near_duplicates
 from quire.llm.packing import pack
+from quire.llm.periodic_runs import looped, periodic_runs, run_digests
 from quire.llm.quality_rules import quality_rules
 from quire.llm.repeats import remove_repeats
 from quire.llm.secrets import scan_secrets
@@ -65,6 +66,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(looped(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_packing": op2_packing,
@@ -76,4 +81,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_periodic_runs": op11_periodic_runs,
 }
