@@ -93,3 +93,28 @@ c AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY i) AS c FROM u WHERE NOT EXIST
 SELECT l.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
   sha256(coalesce(s, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
   FROM l LEFT JOIN t ON t.doc_id = l.doc_id LEFT JOIN b ON b.doc_id = l.doc_id AND b.k = 1 LEFT JOIN c ON c.doc_id = l.doc_id"""
+
+SQL["op13_conversation_repair"] = rf"""
+WITH RECURSIVE {CRC},
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC_OF.format(key="(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS h FROM conversations, crc_table),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE h <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS k FROM d),
+f AS MATERIALIZED (SELECT conv_id, turn, role, text, k, left(role, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM o),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, max(k) AS n FROM f GROUP BY conv_id),
+j AS (SELECT conv_id, count(*) FILTER (p || i NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT conv_id, i, lag(i) OVER (PARTITION BY conv_id ORDER BY k) AS p FROM f) WHERE p IS NOT NULL GROUP BY conv_id),
+ins AS (SELECT * FROM (VALUES (0, 0, 0), (0, 1, 2), (0, 2, 3), (1, 0, 1), (1, 1, 2), (1, 2, 3), (2, 0, 2), (2, 1, 3), (2, 2, 2), (3, 0, 3), (3, 1, 2), (3, 2, 3)) AS v(src, times, mid)),
+act AS (SELECT * FROM (VALUES ('D', '', 0, 0, 2), ('D', '', 1, 1, 2), ('D', '', 2, 2, 2), ('D', '', 3, 3, 2), ('R', '', 0, 2, 1), ('R', '', 1, 2, 1), ('R', '', 2, 3, 1), ('R', '', 3, 2, 1), ('K', 's', 0, 1, 0), ('K', 'u', 0, 2, 0), ('K', 'u', 1, 2, 0), ('K', 'u', 3, 2, 0), ('K', 'a', 2, 3, 0)) AS v(op, i, mid, dst, cost)),
+m AS MATERIALIZED (SELECT src, dst, repeat('I', times) || op AS code, op, i, 5 * times + cost AS cost FROM ins JOIN act USING (mid)),
+b AS (SELECT conv_id, 0::BIGINT AS k, 0 AS state, {{'c': 0::BIGINT, 'a': ''}} AS best FROM c
+  UNION ALL SELECT b.conv_id, b.k + 1, m.dst, min({{'c': b.best.c + m.cost + CASE WHEN f.fault = 'truncated' AND op <> 'D' THEN 5 ELSE 0 END, 'a': b.best.a || m.code}})
+  FROM b JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.k = b.k + 1 JOIN m ON m.src = b.state AND (op = 'D' OR f.fault NOT IN ('blank', 'duplicate')) AND (op <> 'K' OR m.i = f.i) GROUP BY ALL),
+e AS (SELECT c.conv_id, min({{'c': b.best.c + CASE state WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END, 'a': b.best.a || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END}}) AS e FROM b JOIN c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND b.k = c.n GROUP BY c.conv_id),
+x AS (SELECT conv_id, unnest(string_split(e.a, '')) AS op, generate_subscripts(string_split(e.a, ''), 1) AS p FROM e WHERE e.a <> ''),
+y AS (SELECT *, count(*) FILTER (op <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS k FROM x),
+z AS (SELECT y.conv_id, y.op, y.p, CASE WHEN y.op = 'I' THEN '' ELSE f.text END AS text, f.role, y.op = 'K' AND f.i = 's' AS sys FROM y LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM y.conv_id AND f.k = y.k WHERE y.op <> 'D'),
+w AS (SELECT conv_id, p, text, CASE WHEN op = 'K' THEN role WHEN count(*) FILTER (NOT sys) OVER (PARTITION BY conv_id ORDER BY p) % 2 = 1 THEN 'user' ELSE 'assistant' END AS role FROM z),
+s AS (SELECT conv_id, string_agg(role || ':' || text, chr(10) ORDER BY p) AS s FROM w GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.e.c, 0) AS cost, coalesce(e.e.a, '') AS audit, sha256(coalesce(s, '')) AS repaired_sha256
+  FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN j ON j.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM a.conv_id"""

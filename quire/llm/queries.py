@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.llm.exact_dedup import exact_dedup
 from quire.llm.html_content import main_text
 from quire.llm.line_dedup import line_dedup
 from quire.llm.minhash import near_duplicates
+from quire.llm.mixing import mix
 from quire.llm.packing import pack
 from quire.llm.periodic_runs import looped, periodic_runs, run_digests
 from quire.llm.quality_rules import quality_rules
+from quire.llm.repair_turns import damaged, repair_digests
 from quire.llm.repeats import remove_repeats
 from quire.llm.secrets import scan_secrets
 from quire.llm.sentencepieces import decode_pieces, sample_pieces
@@ -70,6 +73,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(looped(table(spark, sf_dir, "documents"))))
 
 
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = mix(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair_digests(damaged(turns), turns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_packing": op2_packing,
@@ -82,4 +95,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_source_mixing": op12_source_mixing,
+    "op13_conversation_repair": op13_conversation_repair,
 }
