@@ -22,6 +22,9 @@ CLOSE_P = (
 #: A tag: an attribute's value is quoted only right behind its equals sign, as in HTML.
 TAG = r"""<[!/?A-Za-z](?:[^>=]*+=[ \t\n\f\r]*+(?:"[^"]*+"|'[^']*+'|))*+[^>=]*+(?:>|\z)"""
 
+#: Fixed values of HTML: elements whose content is text, tags and all; in the first references are decoded, in the others not even that.
+DECODED, PLAIN = ("textarea",), ("noscript", "xmp", "noembed", "noframes")
+
 #: Stands for the end of a block; no text holds it, as it is no character.
 END = "\ufdd0"
 
@@ -135,23 +138,42 @@ def unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: markup.unescape(x) if x and "&" in x else x)
 
 
+#: Stand for a < and an & in content that is text; no text holds them.
+LESS, AND = "\ufdd4", "\ufdd5"
+
+
+def raw_marked(html: Column) -> Column:
+    """Markup with other signs for < and & within elements whose content is text, so that nothing takes them for tags and references."""
+
+    def all_marked(c: Column) -> Column:
+        for name in (*DECODED, *PLAIN):
+            c = F.regexp_replace(c, rf"(?is)((?:<{name}(?:\s[^>]*)?>|(?!\A)\G)[^<]*+)<(?!/{name}[\s/>])", "$1" + LESS)
+        for name in PLAIN:
+            c = F.regexp_replace(c, rf"(?is)((?:<{name}(?:\s[^>]*)?>|(?!\A)\G)[^<&]*+)&", "$1" + AND)
+        return c
+
+    return F.when(html.rlike(rf"(?i)<(?:{'|'.join((*DECODED, *PLAIN))})[\s>]"), all_marked(html)).otherwise(html)
+
+
 def linear(html: Column) -> Column:
     """Readable text of markup: a full stop and a space where a block ends, unless a stop or a space is there.
 
     References are decoded, line breaks become spaces, texts of white space alone are left out. A paragraph or list
-    item without an end tag ends where HTML ends it.
+    item without an end tag ends where HTML ends it. What is text by HTML's rules, as within textarea and noscript, stays as it is.
     """
     tag, white = f"(?s){TAG}", r"(?:[\s\u0085\u00a0]|&nbsp;|&#160;|&#[xX][aA]0;)"
     c = F.regexp_replace(self_closing_fixed(html), r"(?s)<!--.*?(?:-->|\z)", "<!>")
     for name in SKIPPED:
         until = r"</head\s*>|(?=<body)" if name == "head" else rf"</{name}\s*>|\z"
         c = F.regexp_replace(c, rf"(?is)<{name}(?:\s[^>]*)?>.*?(?:{until})", "<!>")
+    c = raw_marked(c)
     c = F.regexp_replace(c, rf"(?i)(<p(?:\s[^>]*)?>[^<]*+(?:<(?!/?(?:{'|'.join(CLOSE_P)})[\s/>])[^<]*+)*+)(?=<(?!/p[\s>]))", "$1</p>")
     c = F.regexp_replace(c, r"(?i)(<li(?:\s[^>]*)?>[^<]*+(?:<(?!/?(?:li|ul|ol|menu|dir)[\s>])[^<]*+)*+)(?=<(?!/li[\s>]))(?!<(?:ul|ol|menu|dir)[\s>])", "$1</li>")
     c = F.regexp_replace(F.regexp_replace(c, rf"(?i)(^|>){white}+(?=<|\z)", "$1"), rf"(?i)</(?:{'|'.join(BLOCKS)})(?:\s[^>]*)?>", END)
     c = F.replace(unescaped(F.regexp_replace(c, tag, "")), F.lit("\n"), F.lit(" "))
     c = F.regexp_replace(F.regexp_replace(c, f"{END}+", END), rf"(?s)\A{END}|(?<=[.!? ]){END}", "")
-    return F.replace(c, F.lit(END), F.lit(". "))
+    c = F.replace(c, F.lit(END), F.lit(". "))
+    return F.replace(F.replace(c, F.lit(LESS), F.lit("<")), F.lit(AND), F.lit("&"))
 
 
 def stripped(html: Column) -> Column:

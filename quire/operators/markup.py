@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,28 +16,3 @@ def links(pages: DataFrame, html: str = "html", starts: str = "") -> DataFrame:
 def inner(html: Column, tag: str) -> Column:
     """The markup within the first element of that name."""
     return F.regexp_extract(html, rf"(?is)<{tag}(?:[ \t\n\f\r][^>]*)?>(.*?)</{tag}>", 1)
-
-
-def _attribute(tag: Column, name: str) -> Column:
-    """An attribute's value in a start tag, quoted or not; null if it isn't there."""
-    hit = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1)
-    return F.when(hit != "", F.regexp_replace(hit, r"""^["']|["']$""", ""))
-
-
-def selected(html: Column, selector: str) -> Column:
-    """The elements that a selector names, in order: an array of (tag, inner), inner up to the next end tag of the name.
-
-    Selectors are a name, with an id (a#x), a class (a.x) or an attribute that must equal a value (a[rel=x]).
-    """
-    name, sign, rest = re.fullmatch(r"([A-Za-z][A-Za-z0-9]*)([#.[]?)(.*?)\]?", selector).groups()
-    found = F.regexp_extract_all(html, F.lit(rf"(?is)<{name}(?:\s[^>]*)?>.*?</{name}\s*>"), 0)
-    start = lambda x: F.regexp_extract(x, r"(?s)^<[^>]*>", 0)
-    if sign == "#":
-        found = F.filter(found, lambda x: F.coalesce(_attribute(start(x), "id") == rest, F.lit(False)))
-    elif sign == ".":
-        found = F.filter(found, lambda x: F.coalesce(F.array_contains(F.split(_attribute(start(x), "class"), r"\s+"), rest), F.lit(False)))
-    elif sign == "[":
-        key, _, value = rest.partition("=")
-        found = F.filter(found, lambda x: F.coalesce(_attribute(start(x), key) == value.strip("\"'"), F.lit(False)))
-    body = lambda x: F.regexp_replace(x, rf"(?is)^<[^>]*>|</{name}\s*>$", "")
-    return F.transform(found, lambda x: F.struct(start(x).alias("tag"), body(x).alias("inner")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import ChunkPolicy, chunk_spans, end_trimmed, entities_normalised, let, linear, search_form, search_offsets
+from quire.functions.text import ChunkPolicy, chunk_spans, end_trimmed, entities_normalised, let, linear, search_form
 
 
 def chunk_of(spans: Column, offset: Column) -> Column:
@@ -14,20 +14,41 @@ def chunk_of(spans: Column, offset: Column) -> Column:
     return F.coalesce(F.get(hit, F.lit(0)), F.lit(0))
 
 
-def located(pairs: DataFrame, policy: ChunkPolicy = ChunkPolicy()) -> DataFrame:
-    """pairs (text, snippet, ...) with `status`, `position` and `chunk`; text is linear, the snippet may have markup.
+def loosely(snippet: Column) -> Column:
+    """A pattern of the snippet's letters and digits in either case, with anything else between them; of any one where it has none."""
+    form = search_form(entities_normalised(snippet))
+    return F.when(form == "", F.lit("[A-Za-z0-9]")).otherwise(F.concat(F.lit("(?i)"), F.regexp_replace(form, "(.)(?=.)", "$1[^A-Za-z0-9]*+")))
+
+
+def located_all(rows: DataFrame, snippets: dict[str, Column], policy: ChunkPolicy = ChunkPolicy()) -> DataFrame:
+    """rows (text, ...) once for each of the snippets, with `place` (its name), `status`, `position` and `chunk`.
 
-    The snippet is made linear and its stops and spaces at the end are cut off. Status is "too short" if policy.snippet
-    bytes of that are not left, "not found", or "found". References, punctuation, spaces and case are ignored on both
-    sides. position is the 1-based character in the text, its references replaced, at which the snippet begins, chunk
-    the number of the text's chunk that holds it; both are null unless it is found.
+    The text is linear, a snippet may have markup. It is made linear and its stops and spaces at the end are cut off.
+    Status is "too short" if policy.snippet bytes of that are not left, "not found", or "found". References,
+    punctuation, spaces and case are ignored on both sides. position is the 1-based character in the text, its
+    references replaced, at which the snippet begins, chunk the number of the text's chunk that holds it; both are null
+    unless it is found. A text is cut into chunks once for all its snippets, and only if one is found.
     """
-    rows = pairs.withColumn("__plain", end_trimmed(linear(F.col("snippet")))).withColumn("__text", entities_normalised(F.col("text")))
-    place = F.call_function("locate", search_form(entities_normalised(F.col("__plain"))), search_form(F.col("__text")))
-    short = F.octet_length("__plain") < policy.snippet
-    found = let(place, lambda p: F.when(p > 0, F.get(search_offsets(F.col("__text")), p - 1)))
-    rows = rows.withColumn("position", F.when(~short, found))
-    status = F.when(short, "too short").when(F.col("position").isNull(), "not found").otherwise("found")
-    offset = F.octet_length(F.left("__text", F.col("position") - 1))
-    chunk = F.when(F.col("position").isNotNull(), let(offset, lambda o: chunk_of(chunk_spans(F.col("text"), policy), o)))
-    return rows.withColumn("status", status).withColumn("chunk", chunk.cast("int")).drop("__plain", "__text")
+    plain = {k: F.col(f"__plain{n}") for n, k in enumerate(snippets)}
+    ready = rows.select("*", entities_normalised(F.col("text")).alias("__text"), *[end_trimmed(linear(c)).alias(f"__plain{n}") for n, c in enumerate(snippets.values())])
+    short = lambda p: F.coalesce(F.octet_length(p) < policy.snippet, F.lit(True))
+    place = lambda p: F.when(~short(p), F.nullif(F.regexp_instr("__text", loosely(p)), F.lit(0)))
+    hits = F.array(*[F.struct(F.lit(k).alias("place"), short(p).alias("short"), place(p).alias("position")) for k, p in plain.items()])
+    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+
+    def told(h: Column, spans: Column) -> Column:
+        status = F.when(h["short"], "too short").when(h["position"].isNull(), "not found").otherwise("found")
+        offset = F.octet_length(F.left("__text", h["position"] - 1))
+        chunk = F.when(h["position"].isNotNull(), let(offset, lambda o: chunk_of(spans, o))).cast("int")
+        return F.struct(h["place"].alias("place"), status.alias("status"), h["position"].alias("position"), chunk.alias("chunk"))
+
+    def found(h: Column) -> Column:
+        spans = F.when(F.exists(h, lambda x: x["position"].isNotNull()), chunk_spans(F.col("text"), policy)).otherwise(none)
+        return let(spans, lambda s: F.transform(h, lambda x: told(x, s)))
+
+    return ready.select(*rows.columns, F.inline(let(hits, found)))
+
+
+def located(pairs: DataFrame, policy: ChunkPolicy = ChunkPolicy()) -> DataFrame:
+    """pairs (text, snippet, ...) with `status`, `position` and `chunk` of the one snippet; see located_all()."""
+    return located_all(pairs, {"": F.col("snippet")}, policy).drop("place")

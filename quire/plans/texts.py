@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import names as N
 from quire.functions import text as T
+from quire.operators import elements as E
 from quire.operators import markup, search, validation
 from quire.plans.bindings import table
 from quire.plans.sql import TRIM, chunk_list, words
@@ -93,8 +94,7 @@ def locate_snippet(spark, d):
     text = F.col("text")
     marked = lambda c: F.concat(F.lit("<p>"), F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p>"))
     given = {"middle": marked(F.substring(text, F.floor(F.length(text) / 2).cast("int") + 1, F.lit(90))), "end": marked(F.right(text, F.lit(90))), "none": F.lit(ABSENT)}
-    rows = docs(spark, d).select("doc_id", "text", F.inline(F.array(*[F.struct(F.lit(k).alias("place"), c.alias("snippet")) for k, c in given.items()])))
-    return search.located(rows).select("doc_id", "place", "status", "position", "chunk")
+    return search.located_all(docs(spark, d).select("doc_id", "text"), given).select("doc_id", "place", "status", "position", "chunk")
 
 
 #: Written apart from the library's own: what the SQL takes for skipped elements, sentence ends and tags that close a paragraph.
@@ -282,10 +282,11 @@ def pager(spark, d):
 
 @query(r"""SELECT page_id, len(regexp_extract_all(html, '<li>'))::INT AS items, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS heading, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS advert FROM pages""")
 def selector_extract(spark, d):
-    html, first = F.col("html"), lambda c: F.coalesce(F.get(c, F.lit(0))["inner"], F.lit(""))
-    return pages(spark, d).select(
-        "page_id", F.size(markup.selected(html, "li")).alias("items"), first(markup.selected(html, "h1")).alias("heading"), first(markup.selected(html, "div.ad")).alias("advert")
-    )
+    rows = E.elements(pages(spark, d))
+    first = lambda selector, name: E.with_markup(E.first_of(E.chosen(rows, selector)), pages(spark, d)).select("page_id", F.col("inner").alias(name))
+    items = E.chosen(rows, "li").groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias("items"))
+    joined = pages(spark, d).select("page_id").join(items, "page_id", "left").join(first("h1", "heading"), "page_id", "left").join(first("div.ad", "advert"), "page_id", "left")
+    return joined.select("page_id", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("heading", F.lit("")).alias("heading"), F.coalesce("advert", F.lit("")).alias("advert"))
 
 
 @query("SELECT doc_id, base64(encode(text)) AS coded, text AS again FROM documents")

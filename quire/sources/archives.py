@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.names import first_image, path_normalised, play_order, series_position, without_fragment
+from quire.functions.text import unescaped
 from quire.operators.validation import MOST_ENTRIES, MOST_ENTRY, MOST_RATIO, MOST_TOTAL
 from quire.sources.folders import shared_dir
 
@@ -31,6 +32,18 @@ def listed(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.when(suffix.isin(*BOOK_SUFFIXES), "book").when(suffix.isin(*CONVERTIBLE), "needs conversion").otherwise("skipped").alias("status"))
 
 
+def bounded(opened: zipfile.ZipFile, entry: zipfile.ZipInfo, most: int) -> bytes:
+    """An entry's data, inflated in pieces. It is an error if it hasn't as many bytes as the directory says, or more than `most`: no more than that is ever inflated."""
+    pieces, left = [], min(entry.file_size, most) + 1
+    with opened.open(entry) as source:
+        while left and (piece := source.read(min(left, 1 << 20))):
+            pieces.append(piece)
+            left -= len(piece)
+    if left != 1:
+        raise ValueError("not as much data as its size says")
+    return b"".join(pieces)
+
+
 def zip_entries(containers: DataFrame, most_entries=MOST_ENTRIES, most_total=MOST_TOTAL, most_entry=MOST_ENTRY, most_ratio=MOST_RATIO) -> DataFrame:
     """containers (path, content) to a row per entry in archive order.
 
@@ -56,7 +69,7 @@ def zip_entries(containers: DataFrame, most_entries=MOST_ENTRIES, most_total=MOS
                         error = "over the limits"
                     else:
                         try:
-                            data = opened.read(i)  # at most the size that the header states
+                            data = bounded(opened, i, most_entry)
                         except Exception as e:
                             error = str(e) or type(e).__name__
                     rows.append((path, n, i.filename, i.file_size, i.compress_size, data, error))
@@ -136,8 +149,8 @@ def navigation(entries: DataFrame) -> DataFrame:
     rows = toc.select("path", "toc", F.posexplode(points).alias("position", "p")).where("position > 0").withColumn("position", F.col("position") - 1)
     pick = lambda pattern: F.regexp_extract("p", pattern, 1)
     order = play_order(pick(r"^[^>]*playOrder\s*=\s*[\"']([^\"']*)[\"']"))
-    title = F.trim(pick(r"(?s)<text>(.*?)</text>"))
-    target = pick(r"<content\b[^>]*\bsrc\s*=\s*[\"']([^\"']*)[\"']")
+    title = F.trim(unescaped(F.regexp_replace(pick(r"(?s)<text\b[^>]*>(.*?)</text>"), r"(?s)<[^>]*>", "")))
+    target = unescaped(pick(r"<content\b[^>]*\bsrc\s*=\s*[\"']([^\"']*)[\"']"))
     return rows.select("path", "position", order.alias("play_order"), (order + 1).alias("number"), title.alias("title"), _beside(F.col("toc"), F.url_decode(target)).alias("name"))
 
 

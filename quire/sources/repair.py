@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import unescaped
 from quire.sources.archives import integrity, kept, packages
 
 #: The media type of a contents file, its name space, and the greatest length of a label in bytes.
@@ -36,8 +37,8 @@ def contents_points(packed: DataFrame, entries: DataFrame) -> DataFrame:
     inner = F.regexp_extract("x", r"(?s)<nav\b[^>]*epub:type\s*=\s*[\"']toc[\"'][^>]*>(.*?)</nav>", 1)
     links = F.regexp_extract_all(inner, F.lit(r"(?s)<a\b[^>]*>.*?</a>"), 0)
     linked = navs.select("path", F.posexplode(links).alias("position", "a"))
-    label = F.trim(F.regexp_replace(F.regexp_replace("a", r"(?s)<[^>]*>", ""), r"\s+", " "))
-    from_nav = linked.select("path", "position", label.alias("label"), F.url_decode(F.trim(F.regexp_extract("a", r"href\s*=\s*[\"']([^\"']*)[\"']", 1))).alias("href"), F.lit(True).alias("known"))
+    label = F.trim(F.regexp_replace(unescaped(F.regexp_replace("a", r"(?s)<[^>]*>", "")), r"\s+", " "))
+    from_nav = linked.select("path", "position", label.alias("label"), F.url_decode(F.trim(unescaped(F.regexp_extract("a", r"href\s*=\s*[\"']([^\"']*)[\"']", 1)))).alias("href"), F.lit(True).alias("known"))
     refs = packed.select("path", F.posexplode("opf.spine.itemref").alias("position", "r")).select("path", "position", F.col("r._idref").alias("item"))
     refs = refs.join(navs.select("path"), "path", "left_anti").join(items.dropDuplicates(["path", "item"]).select("path", "item", "href"), ["path", "item"], "left")
     number = F.concat(F.lit("Chapter "), (F.col("position") + 1).cast("string"))
@@ -64,8 +65,8 @@ def package_patched(opf: Column, href: str = "toc.ncx") -> Column:
     manifest = F.regexp_extract(opf, r"(?s)<manifest\b.*?</manifest>", 0)
     item = f'<item id="ncx" href="{href}" media-type="{NCX_MEDIA}"/>'
     with_item = F.when(manifest.rlike(r"<item\b[^>]*\bid\s*=\s*[\"']ncx[\"']"), opf).otherwise(F.regexp_replace(opf, r"</manifest>", item + "</manifest>"))
-    named = F.regexp_replace(with_item, r"<spine\b[^>]*\btoc\s*=[^>]*>", '<spine toc="ncx">')
-    return F.regexp_replace(named, r"<spine\b(?![^>]*\btoc\s*=)([^>]*)>", '<spine$1 toc="ncx">')
+    named = F.regexp_replace(with_item, r"(<spine\b[^>]*?\btoc\s*=\s*)(?:\"[^\"]*\"|'[^']*'|[^\s/>]+)", '$1"ncx"')
+    return F.regexp_replace(named, r"<spine\b(?![^>]*\btoc\s*=)([^>]*?)\s*(/?)>", '<spine$1 toc="ncx"$2>')
 
 
 def repaired(entries: DataFrame) -> DataFrame:

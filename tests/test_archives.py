@@ -1,6 +1,9 @@
 """Containers made here, whole and broken."""
 
 import io
+import pathlib
+import subprocess
+import sys
 import zipfile
 
 import pytest
@@ -120,12 +123,53 @@ def test_repair(spark, entries):
     status = {r["path"]: r["status"] for r in A.integrity(again).collect()}
     assert status == {"spine": "ok", "nav": "ok", "long": "toc missing", "unknown": "unknown item"}
     titles = {(r["path"], r["title"]) for r in A.navigation(again).collect()}
-    assert {("spine", "Chapter 1"), ("spine", "Chapter 2"), ("nav", "The first"), ("nav", "B &amp;amp; co")} <= titles
+    assert {("spine", "Chapter 1"), ("spine", "Chapter 2"), ("nav", "The first"), ("nav", "B & co")} <= titles
     assert {r["path"] for r in R.quarantined(e).collect()} == {"long", "unknown", "broken"}
     package = "<package><manifest><item id='ncx' href='x'/></manifest><spine page='l' toc='old'></spine></package>"
     row = spark.createDataFrame([(package,)], "x string").select(R.package_patched(F.col("x"))).first()[0]
-    assert row.count("id='ncx'") == 1 and '<spine toc="ncx">' in row
-
+    assert row.count("id='ncx'") == 1 and '<spine page=\'l\' toc="ncx"></spine>' in row
+    patched = lambda x: spark.createDataFrame([(x,)], "x string").select(R.package_patched(F.col("x"))).first()[0]
+    for spine, wanted in (('<spine toc="x"/>', '<spine toc="ncx"/>'), ("<spine/>", '<spine toc="ncx"/>'), ("<spine toc=old a='b'>", "<spine toc=\"ncx\" a='b'>"), ("<spine>", '<spine toc="ncx">')):
+        assert wanted in patched(f"<package><manifest></manifest>{spine}")
+
+
+def test_references_in_labels_and_targets(entries):
+    e = entries(x=book(replace=[("One", "  A &amp; <b>B</b> &lt;&eacute;&gt; "), ("text/b.xhtml", "text/b&amp;c.xhtml")]))
+    assert [(r["title"], r["name"]) for r in A.navigation(e).orderBy("position").collect()] == [("A & B <é>", "OEBPS/text/a.xhtml"), ("Two", "OEBPS/text/b&c.xhtml")]
+    long = entries(x=book(replace=[("One", "&amp;" * 30)]))  # 30 bytes, not 150
+    assert A.integrity(long).first()["status"] == "ok"
+
+
+#: A container whose directory says of 200 MB that they are 1000 bytes, and one that says of 1000 bytes that they are 40 MB, each read in its own process.
+LIAR = """
+import io, resource, struct, sys, zipfile, zlib
+sys.path.insert(0, {path!r})
+from quire.sources.archives import bounded
+said, real = {said}, {real}
+out = io.BytesIO()
+with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+    with z.open("a", "w") as f:
+        for _ in range(real // 1000):
+            f.write(bytes(1000))
+whole = bytearray(out.getvalue())
+at = whole.rindex(b"PK\x01\x02")
+whole[at + 24 : at + 28] = struct.pack("<I", said)
+opened = zipfile.ZipFile(io.BytesIO(bytes(whole)))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+try:
+    bounded(opened, opened.infolist()[0], 50 << 20)
+    print("read")
+except Exception as e:
+    print(type(e).__name__)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+@pytest.mark.parametrize(("said", "real"), [(1000, 200_000_000), (40_000_000, 1000), (4_000_000_000, 80_000_000)])
+def test_a_false_size_costs_no_memory(said, real):
+    code = LIAR.format(path=str(pathlib.Path(__file__).parents[1]), said=said, real=real)
+    told, megabytes = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert told != "read" and int(megabytes) < 64
 
 def test_titles_and_covers(entries):
     meta = '<package xmlns:dc="x"><metadata><dc:title>T</dc:title><dc:creator>A</dc:creator><meta name="calibre:series" content="S"/><meta name="calibre:series_index" content="2.5"/><meta name="cover" content="pic"/></metadata><manifest><item id="pic" href="pic.jpg" media-type="image/jpeg"/>'
