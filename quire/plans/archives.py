@@ -10,7 +10,9 @@ from quire.functions.text import linear
 from quire.operators import validation
 from quire.plans.bindings import chapters
 from quire.sources import archives as A
+from quire.sources import book_files as B
 from quire.sources import repair as R
+from quire.sources.folders import run_folder
 
 QUERIES, SQL = {}, {}
 
@@ -25,21 +27,34 @@ def query(sql: str | None = None):
     return add
 
 
-def entries(spark: SparkSession, d: str) -> DataFrame:
-    """The entries of a book per conversation, unzipped once. By the last digit of their number some are broken: 3 cut in half,
-    4 no container at all, 5 without contents, 6 without the first chapter's file; 7 lacks the pointer to its package."""
+def containers(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content): a book per conversation. By the last digit of their number some are broken: 3 cut in half, 4 no container at all."""
     html = F.concat(F.lit("<p>"), F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</p>"))
     rows = chapters(spark, d).select("book", "chapter", F.concat(F.lit("Turn "), F.col("chapter").cast("string")).alias("title"), html.alias("html"))
     kind, whole = F.col("book") % 10, F.col("content")
     half = F.call_function("substring", whole, F.lit(1), (F.octet_length(whole) / 2).cast("int"))
     content = F.when(kind == 3, half).when(kind == 4, F.lit("no container").cast("binary")).otherwise(whole)
-    found = A.zip_entries(A.build_books(rows).select(F.col("book").cast("string").alias("path"), content.alias("content")))
+    return A.build_books(rows).select(F.col("book").cast("string").alias("path"), content.alias("content"))
+
+
+def entries(spark: SparkSession, d: str) -> DataFrame:
+    """The entries of those books, unzipped once. Some more are broken: 5 without contents, 6 without the first chapter's file; 7 lacks the pointer to its package."""
+    found = A.zip_entries(containers(spark, d))
     kind, name = F.col("path").cast("long") % 10, F.coalesce("name", F.lit(""))
     gone = ((kind == 5) & F.endswith(name, F.lit(".ncx"))) | ((kind == 6) & F.endswith(name, F.lit("/c0.xhtml")))
     moved = F.when((kind == 7) & F.endswith(name, F.lit("container.xml")), "META-INF/other.xml").otherwise(F.col("name"))
     return A.kept(found.where(~gone).withColumn("name", moved))
 
 
+def shelf(spark: SparkSession, d: str) -> str:
+    """A new folder in which the books lie as files, in a folder per last digit. What ends in 8 isn't called a book, but a file to be converted, and what ends in 9 neither."""
+    root = run_folder(spark, "shelf")
+    kind = F.col("path").cast("long") % 10
+    suffix = F.when(kind == 8, ".PDF").when(kind == 9, ".txt").otherwise(".epub")
+    B.write_books(containers(spark, d).withColumn("path", F.concat(kind.cast("string"), F.lit("/"), "path", suffix)), root)
+    return root
+
+
 BOOKS = """books AS (SELECT conv_id::VARCHAR AS path, conv_id % 10 AS kind FROM conversations GROUP BY conv_id),
 turns AS (SELECT conv_id::VARCHAR AS path, conv_id % 10 AS kind, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS n, replace(text, chr(10), ' ') AS text FROM conversations)"""
 
@@ -106,3 +121,29 @@ def toc_repair(spark, d):
 @query(f"WITH {BOOKS} SELECT path, 'Error in integrity: ' || path || ': ' || CASE WHEN kind = 6 THEN 'missing file' ELSE 'unreadable' END AS reason FROM books WHERE kind IN (3, 4, 6)")
 def quarantine(spark, d):
     return R.quarantined(entries(spark, d))
+
+
+@query("SELECT DISTINCT conv_id % 10 || '/' || conv_id || CASE conv_id % 10 WHEN 8 THEN '.PDF' WHEN 9 THEN '.txt' ELSE '.epub' END AS path, CASE conv_id % 10 WHEN 8 THEN 'needs conversion' WHEN 9 THEN 'skipped' ELSE 'book' END AS status FROM conversations")
+def library_listing(spark, d):
+    """Which of the files in a library's folders are books."""
+    found = B.listed(spark, shelf(spark, d))
+    return found.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("path"), "status")
+
+
+SHELF = BOOKS + """,
+files AS (SELECT kind || '/' || path || '.epub' AS file, path, kind FROM books WHERE kind < 8), lines AS (SELECT file, turns.* FROM turns JOIN files USING (path))"""
+
+
+@query(f"""WITH {SHELF} SELECT file AS path, n AS position, 'c' || n AS item_id, 'OEBPS/text/c' || n || '.xhtml' AS name, 'ok' AS status FROM lines WHERE kind NOT IN (3, 4)""")
+def spine_of_files(spark, d):
+    """The reading order of books in files: directories are read, and of the entries only the pointers and the packages."""
+    root = shelf(spark, d)
+    opf = B.read_books(spark, root, names="*.opf,META-INF/container.xml")
+    return A.spine(A.packages(opf), B.read_books(spark, root, data=False))
+
+
+@query(f"""WITH {SHELF} SELECT file AS path, 'OEBPS/text/c' || n || '.xhtml' AS name, (n + 5)::INT AS ord FROM lines WHERE kind NOT IN (3, 4) AND n < 2""")
+def first_chapters_of_files(spark, d):
+    """The entries of the first two chapters, found by filters that reach the reader; the rest is never inflated."""
+    found = B.read_books(spark, shelf(spark, d)).where(F.startswith("name", F.lit("OEBPS/text/")) & (F.col("ord") < 7)).where("name in ('OEBPS/text/c0.xhtml', 'OEBPS/text/c1.xhtml')")
+    return found.where(F.contains(F.col("data").cast("string"), F.lit("<body>"))).select("path", "name", "ord")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.names import first_image, path_normalised, play_order, series_position, without_fragment
@@ -25,13 +26,6 @@ guide STRUCT<reference: ARRAY<STRUCT<_type: STRING, _href: STRING>>>"""
 BOOK_SUFFIXES, CONVERTIBLE = ("epub",), ("pdf", "mobi", "azw", "azw3", "kfx")
 
 
-def listed(spark: SparkSession, root: str) -> DataFrame:
-    """(path, status) of all files under root: book, needs conversion, or skipped, by suffix in any case."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return files.select("path", F.when(suffix.isin(*BOOK_SUFFIXES), "book").when(suffix.isin(*CONVERTIBLE), "needs conversion").otherwise("skipped").alias("status"))
-
-
 def bounded(opened: zipfile.ZipFile, entry: zipfile.ZipInfo, most: int) -> bytes:
     """An entry's data, inflated in pieces. It is an error if it hasn't as many bytes as the directory says, or more than `most`: no more than that is ever inflated."""
     pieces, left = [], min(entry.file_size, most) + 1
@@ -44,57 +38,60 @@ def bounded(opened: zipfile.ZipFile, entry: zipfile.ZipInfo, most: int) -> bytes
     return b"".join(pieces)
 
 
-def zip_entries(containers: DataFrame, most_entries=MOST_ENTRIES, most_total=MOST_TOTAL, most_entry=MOST_ENTRY, most_ratio=MOST_RATIO) -> DataFrame:
-    """containers (path, content) to a row per entry in archive order.
+def unpacked(path, source, wanted=None, data=True, most_entries=MOST_ENTRIES, most_total=MOST_TOTAL, most_entry=MOST_ENTRY, most_ratio=MOST_RATIO) -> Iterator[list[tuple]]:
+    """A container's entries in archive order, as lists of rows of at most some megabytes; source is a file that can be sought in.
 
     Headers are read first, and only what keeps the limits is inflated: in a container with too many entries or bytes
     none is, else each entry but those too large or packed too tightly. Entries that are left out, damaged, encrypted or
-    packed in an unknown way have no data but an error; a container that can't be opened is one row with an error.
+    packed in an unknown way have no data but an error; a container that can't be opened is one row with an error. Of
+    entries that aren't wanted there is no row, and without `data` nothing is inflated.
     """
+    try:
+        opened = zipfile.ZipFile(source)
+        listed = opened.infolist()
+    except Exception as e:  # whatever a damaged directory raises
+        yield [(path, None, None, None, None, None, str(e) or type(e).__name__)]
+        return
+    over = len(listed) > most_entries or sum(i.file_size for i in listed) > most_total
+    rows, held = [], 0
+    for n, i in enumerate(listed):
+        if wanted and not wanted({"path": path, "ord": n, "name": i.filename, "size": i.file_size, "csize": i.compress_size}):
+            continue
+        content, error = None, None
+        if over or i.file_size > most_entry or (i.compress_size and i.file_size > most_ratio * i.compress_size):
+            error = "over the limits"
+        elif data:
+            try:
+                content = bounded(opened, i, most_entry)
+            except Exception as e:
+                error = str(e) or type(e).__name__
+        rows.append((path, n, i.filename, i.file_size, i.compress_size, content, error))
+        held += len(content or b"")
+        if held > 8 << 20 or len(rows) > 1000:
+            yield rows
+            rows, held = [], 0
+    if rows:
+        yield rows
+
+
+def zip_entries(containers: DataFrame, most_entries=MOST_ENTRIES, most_total=MOST_TOTAL, most_entry=MOST_ENTRY, most_ratio=MOST_RATIO) -> DataFrame:
+    """containers (path, content) to a row per entry in archive order; see unpacked()."""
 
     def unpack(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows, held = [], 0
-                try:
-                    opened = zipfile.ZipFile(io.BytesIO(content or b""))
-                    listed = opened.infolist()
-                except Exception as e:  # whatever a damaged directory raises
-                    yield _entry_rows([(path, None, None, None, None, None, str(e) or type(e).__name__)])
-                    continue
-                over = len(listed) > most_entries or sum(i.file_size for i in listed) > most_total
-                for n, i in enumerate(listed):
-                    data, error = None, None
-                    if over or i.file_size > most_entry or (i.compress_size and i.file_size > most_ratio * i.compress_size):
-                        error = "over the limits"
-                    else:
-                        try:
-                            data = bounded(opened, i, most_entry)
-                        except Exception as e:
-                            error = str(e) or type(e).__name__
-                    rows.append((path, n, i.filename, i.file_size, i.compress_size, data, error))
-                    held += len(data or b"")
-                    if held > 8 << 20 or len(rows) > 1000:
-                        yield _entry_rows(rows)
-                        rows, held = [], 0
-                if rows:
-                    yield _entry_rows(rows)
+                for rows in unpacked(path, io.BytesIO(content or b""), None, True, most_entries, most_total, most_entry, most_ratio):
+                    yield entry_rows(rows)
 
     return containers.select("path", "content").mapInArrow(unpack, ENTRIES)
 
 
-def _entry_rows(rows: list[tuple]) -> pa.RecordBatch:
+def entry_rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
     names = ["path", "ord", "name", "size", "csize", "data", "error"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def read_books(spark: SparkSession, root: str) -> DataFrame:
-    """The entries of all books under root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.epub").load(root)
-    return zip_entries(files)
-
-
 def kept(entries: DataFrame) -> DataFrame:
     """Entries unzipped once and kept in the shared folder, for all that is read from them."""
     shared_dir(entries.sparkSession)
