@@ -116,6 +116,28 @@ def numbered_names(rows: DataFrame, keys: list[str], order: list[str], name: str
     return rows.withColumn("unique_name", F.when(n == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), n.cast("string"), F.lit(")"))))
 
 
+def free_names(rows: DataFrame, taken: DataFrame, keys: list[str], order: list[str], name: str, suffix: str = "") -> DataFrame:
+    """rows with `unique_name`: the name, or the first "name (n)" that neither a taken name nor an earlier row has.
+
+    taken has the keys and `file`, names with the suffix. The r-th row of a name gets the r-th number that is free, 0 being
+    the bare name. A taken number with k free ones before it shifts all rows from the k-th on by one: so numbers and rows
+    are sorted together, by free numbers before them, and each row counts the taken numbers at or before its own.
+    """
+    body = F.when(F.endswith("file", F.lit(suffix)), F.left("file", F.length("file") - len(suffix)))
+    numbered = F.regexp_extract(body, r"(?s)\A(.*) \(([1-9][0-9]{0,8})\)\z", 2)
+    names = F.when(numbered != "", F.regexp_extract(body, r"(?s)\A(.*) \([1-9][0-9]*\)\z", 1))
+    both = F.array(F.struct(body.alias(name), F.lit(0).alias("n")), F.struct(names.alias(name), numbered.try_cast("int").alias("n")))
+    used = taken.select(*keys, F.inline(both)).where(F.col(name).isNotNull() & F.col("n").isNotNull()).distinct()
+    own = Window.partitionBy(*keys, name)
+    used = used.join(rows.select(*keys, name).distinct(), [*keys, name], "left_semi")
+    shifts = used.withColumn("__at", F.col("n") - (F.row_number().over(own.orderBy("n")) - 1)).select(*keys, name, "__at", F.lit(None).alias("__row"))
+    ranked = rows.withColumn("__at", F.row_number().over(own.orderBy(*order)) - 1).select(*keys, name, "__at", F.struct(*[c for c in rows.columns if c not in (*keys, name)]).alias("__row"))
+    upto = own.orderBy("__at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = shifts.unionByName(ranked, allowMissingColumns=True).withColumn("__n", F.col("__at") + F.count_if(F.col("__row").isNull()).over(upto)).where("__row is not null")
+    unique = F.concat(F.when(F.col("__n") == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), F.col("__n").cast("string"), F.lit(")"))), F.lit(suffix))
+    return placed.select(*[c if c in (*keys, name) else F.col("__row")[c].alias(c) for c in rows.columns], unique.alias("unique_name"))
+
+
 def ranked_first(rows: DataFrame, keys: list[str], preferred: Column, order: list[str], value: str) -> DataFrame:
     """Per key the value of the first preferred row, else of the first."""
     best = F.min(F.struct((~preferred).alias("rank"), *order, value))
