@@ -1,13 +1,9 @@
-"""Streams of cursors: the last position a reader saved, debounced saves, and a buffer kept in state."""
+"""Streams of cursors: the last position a reader saved, and debounced saves."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def latest_positions(log: DataFrame) -> DataFrame:
@@ -24,33 +20,18 @@ def quiet_saves(log: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return runs.select("user_id", F.col("__last.ts").alias("ts"), "__last.event_id", "__last.chapter", "__last.chunk")
 
 
-def buffered(chunks: DataFrame, keep: int) -> DataFrame:
-    """Per reader and book how many chunks are buffered after each batch: those from `keep` before the newest request on.
-
-    chunks: user_id, book, ordinal, requested (whether the reader asked for it, which moves the anchor). State holds
-    the ordinals kept, so it is bounded by what is fetched ahead of a reader.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, anchor = (set(state.get[0]), state.get[1]) if state.exists else (set(), 0)
-        for f in frames:
-            held.update(int(x) for x in f["ordinal"])
-            asked = f.loc[f["requested"], "ordinal"]
-            anchor = max(anchor, int(asked.max())) if len(asked) else anchor
-        held = {x for x in held if x >= anchor - keep}
-        state.update((sorted(held), anchor))
-        yield pd.DataFrame({"user_id": [key[0]], "book": [key[1]], "anchor": [anchor], "n_held": [len(held)]})
-
-    grouped = chunks.groupBy("user_id", "book")
-    out = "user_id bigint, book bigint, anchor bigint, n_held bigint"
-    return grouped.applyInPandasWithState(step, out, "held array<bigint>, anchor bigint", "update", GroupStateTimeout.NoTimeout)
-
-
-def run_once(stream: DataFrame, to: str, mode: str = "append", keys: list[str] | None = None, spark: SparkSession | None = None) -> None:
-    """All that is there now, into the parquet folder `to`; update output is merged by keys, later batches winning."""
+def run_once(stream: DataFrame, to: str, mode: str = "append") -> None:
+    """All that is there now, into the parquet folder `to`. In the update mode each batch has a folder of its own, so a batch that is run again replaces what it left."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{to}/_checkpoint").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{to}/data").start()
     else:
-        query = writer.foreachBatch(lambda df, n: df.withColumn("__batch", F.lit(n)).write.mode("overwrite").parquet(f"{to}/data/__b={n}")).start()
+        query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{to}/data/batch={n}")).start()
     query.awaitTermination()
+
+
+def newest(spark: SparkSession, to: str, keys: list[str]) -> DataFrame:
+    """Of what update batches left in `to` the last row of each key: one grouped maximum."""
+    rows = spark.read.parquet(f"{to}/data")
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("__last")).select(*keys, *[F.col("__last")[c].alias(c) for c in values])
