@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.cursors import chapter_starts
+
 
 def wanted(requests: DataFrame, n: int, after: int = 0) -> DataFrame:
     """The n ordinals from `after` past each request's own, within the book: user_id, book, start, ordinal."""
@@ -54,3 +56,44 @@ def ahead(requests: DataFrame, cache: DataFrame) -> DataFrame:
     """Per request the number of buffered ordinals past it."""
     joined = requests.join(cache.withColumnRenamed("ordinal", "__o"), ["user_id", "book"], "left")
     return joined.groupBy("user_id", "book", "ordinal").agg(F.count_if(F.col("__o") > F.col("ordinal")).alias("n_ahead"))
+
+
+def valid_requests(cursors: DataFrame, maxima: DataFrame) -> DataFrame:
+    """Requests (user_id, book, start, total) of cursors that stand in their book: by one join with the books' maxima.
+
+    A chunk past its chapter's last is the first of the next chapter, which must be numbered one higher. Cursors in no chapter, or past the last, are left out.
+    """
+    starts = chapter_starts(maxima)
+    follows = F.lead("chapter").over(Window.partitionBy("book").orderBy("chapter")) == F.col("chapter") + 1
+    starts = starts.withColumn("__follows", F.coalesce(follows, F.lit(False)))
+    joined = cursors.join(starts, ["book", "chapter"])
+    within = F.col("chunk") <= F.col("max_chunk")
+    start = F.when(within, F.col("start") + F.col("chunk")).when(F.col("__follows"), F.col("start") + F.col("max_chunk") + 1)
+    return joined.select("user_id", "book", start.cast("long").alias("__start"), F.col("total").cast("long").alias("total")).where("__start is not null").withColumnRenamed("__start", "start")
+
+
+def answered(requests: DataFrame, cache: DataFrame, count: int, size: int) -> DataFrame:
+    """Each request (user_id, book, start, total) answered: returned, last, queue and trimmed.
+
+    returned are the buffered ordinals from start on, up to the first gap or `count` of them, last is the last of those
+    or start. queue is what to fetch, in order and without what is buffered: the missing of the `size` from last on, and if
+    there are any what follows the last of those up to 2 * size in all; if start itself is missing also the 2 * size from
+    there on. trimmed is how many buffered ordinals lie more than size / 2 before last. Requests and the buffer are read once and
+    joined once; of a reader's buffer only a window of count + 4 * size ordinals is gathered, the rest is counted.
+    """
+    back = size // 2
+    held = requests.join(cache.select("user_id", "book", F.col("ordinal").alias("__o")), ["user_id", "book"], "left")
+    near = F.col("__o").between(F.col("start") - back, F.col("start") + count + 3 * size)
+    rows = held.groupBy("user_id", "book", "start", "total").agg(F.sort_array(F.collect_set(F.when(near, F.col("__o")))).alias("__held"), F.count_if(F.col("__o") < F.col("start") - back).alias("__far"))
+    upto = lambda first, n: F.when(first < F.col("total"), F.sequence(first, F.least(first + n, F.col("total")) - 1)).otherwise(F.array().cast("array<bigint>"))
+    lacks = lambda c: F.array_except(c, F.col("__held"))
+    wanted = upto(F.col("start"), count)
+    gap = F.array_min(lacks(wanted))
+    rows = rows.withColumn("returned", F.filter(wanted, lambda x: gap.isNull() | (x < gap)))
+    rows = rows.withColumn("last", F.coalesce(F.array_max("returned"), F.col("start")))
+    rows = rows.withColumn("__missing", lacks(upto(F.col("last"), size)))
+    ahead = F.when(F.size("__missing") > 0, upto(F.array_max("__missing"), 2 * size)).otherwise(F.array().cast("array<bigint>"))
+    first = F.when(F.size("returned") == 0, upto(F.col("start"), 2 * size)).otherwise(F.array().cast("array<bigint>"))
+    queue = F.sort_array(lacks(F.array_union(F.array_union(F.col("__missing"), ahead), first)))
+    trimmed = F.col("__far") + F.size(F.filter("__held", lambda x: x < F.col("last") - back)) if back else F.lit(0).cast("long")
+    return rows.select("user_id", "book", "start", "returned", "last", queue.alias("queue"), trimmed.cast("long").alias("trimmed"))

@@ -52,3 +52,21 @@ def located_all(rows: DataFrame, snippets: dict[str, Column], policy: ChunkPolic
 def located(pairs: DataFrame, policy: ChunkPolicy = ChunkPolicy()) -> DataFrame:
     """pairs (text, snippet, ...) with `status`, `position` and `chunk` of the one snippet; see located_all()."""
     return located_all(pairs, {"": F.col("snippet")}, policy).drop("place")
+
+
+def chunks_at(offsets: DataFrame, spans: DataFrame, by: str = "book", width: int = 4096, salts: int = 8) -> DataFrame:
+    """offsets (book, offset, ...) with the number `chunk` of their book's first span (start, stop, chunk) that holds them; 0 where none does.
+
+    Books are cut into bins of `width`: a bin's spans stand in one row, which the offsets of that bin alone meet. So
+    neither a long book nor one that everybody reads stands in one task; offsets of a bin are dealt into `salts` parts
+    besides. Empty spans hold nothing. A null book or offset, or one of no known book, gets 0.
+    """
+    own = [c for c in offsets.columns if c != "chunk"]
+    rows = offsets.select(*own).withColumn("__bin", F.floor(F.col("offset") / width)).withColumn("__salt", F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int"))
+    bins = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))
+    binned = spans.where("start < stop").select(by, F.struct("chunk", "start", "stop").alias("__s"), F.explode(bins).alias("__bin"))
+    binned = binned.groupBy(by, "__bin").agg(F.array_sort(F.collect_list("__s")).alias("__spans"))  # as many as begin within a bin and one more, unless they overlap
+    binned = binned.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    joined = rows.join(binned, [by, "__bin", "__salt"], "left")
+    held = F.filter("__spans", lambda s: (s["start"] <= F.col("offset")) & (F.col("offset") < s["stop"]))
+    return joined.select(*own, F.coalesce(F.get(held, F.lit(0))["chunk"], F.lit(0)).alias("chunk"))

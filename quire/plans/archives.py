@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.names import content_type
@@ -147,3 +147,21 @@ def first_chapters_of_files(spark, d):
     """The entries of the first two chapters, found by filters that reach the reader; the rest is never inflated."""
     found = B.read_books(spark, shelf(spark, d)).where(F.startswith("name", F.lit("OEBPS/text/")) & (F.col("ord") < 7)).where("name in ('OEBPS/text/c0.xhtml', 'OEBPS/text/c1.xhtml')")
     return found.where(F.contains(F.col("data").cast("string"), F.lit("<body>"))).select("path", "name", "ord")
+
+
+@query("""WITH t AS (SELECT conv_id::VARCHAR AS path, conv_id % 10 = 9 AS broken, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS n FROM conversations),
+p AS (SELECT *, CASE WHEN NOT broken AND n % 4 > 0 THEN n - 1 END AS parent FROM t)
+SELECT path, n AS position, (n % 4)::INT AS depth, parent, CASE WHEN NOT broken THEN CASE WHEN n % 4 > 0 THEN 0 ELSE n // 4 END END::INT AS place, 'Turn & ' || turn AS title, 'OEBPS/t' || n || '.xhtml' AS name,
+  CASE WHEN NOT broken THEN array_to_string([x for x in list_transform(range(n - n % 4, n + 1), lambda i: 'Turn & ' || (turn - n + i))], ' / ') END AS trail, CASE WHEN broken THEN 'tags don''t fit' END AS error FROM p""")
+def contents_tree(spark, d):
+    """Contents whose points lie in each other, three deep and then back at the top; every tenth file lacks its last end tag."""
+    rows = chapters(spark, d).select(F.col("book").cast("string").alias("path"), "chapter", (F.col("book") % 10 == 9).alias("hurt"))
+    n = F.row_number().over(Window.partitionBy("path").orderBy("chapter")) - 1
+    point = F.concat(F.lit("<navPoint><navLabel><text>Turn &amp; "), F.col("chapter").cast("string"), F.lit('</text></navLabel><content src="t'), F.col("n").cast("string"), F.lit('.xhtml#x"/>'))
+    shut = lambda k: F.repeat(F.lit("</navPoint>"), k)
+    rows = rows.withColumn("n", n).withColumn("x", F.struct("n", F.concat(F.when((F.col("n") % 4 == 0) & (F.col("n") > 0), shut(F.lit(4))).otherwise(""), point).alias("t")))
+    files = rows.groupBy("path", "hurt").agg(F.array_sort(F.collect_list("x")).alias("p"))
+    left = (F.size("p") - 1) % 4 + 1
+    body = F.concat(F.lit("<ncx><navMap>"), F.array_join(F.transform("p", lambda x: x["t"]), ""), shut(left - F.col("hurt").cast("int")), F.lit("</navMap></ncx>"))
+    entries = files.select("path", F.lit(0).alias("ord"), F.lit("OEBPS/toc.ncx").alias("name"), body.cast("binary").alias("data"))
+    return A.contents_tree(entries).withColumn("trail", F.array_join("trail", " / "))

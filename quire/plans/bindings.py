@@ -52,15 +52,21 @@ def maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chapter_max(text_chunks(spark, sf_dir))
 
 
+def library_state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cursors, maxima, cache): all cursors, the books' maxima and the buffer of window(), each kept in the shared folder."""
+    shared_dir(spark)
+    own, most = cursors(spark, sf_dir).checkpoint(), maxima(spark, sf_dir).checkpoint()
+    totals = most.groupBy("book").agg(F.sum(F.col("max_chunk") + 1).cast("long").alias("total"))
+    rows = own.select("user_id", "book").join(totals, "book")
+    cache = rows.select("user_id", "book", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)).alias("ordinal")).where("ordinal % 7 <> 3")
+    return own, most, cache.checkpoint()
+
+
 def window(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(requests, cache): the cursors that lie in their book, with ordinals, and a buffer with gaps.
 
     The buffer holds of each reader's book all ordinals but every seventh, from the fourth on. Cursors and the chunked
     texts' maxima, which both are made from, are computed once and kept in the shared folder.
     """
-    shared_dir(spark)
-    own, most = cursors(spark, sf_dir).checkpoint(), maxima(spark, sf_dir).checkpoint()
-    totals = most.groupBy("book").agg(F.sum(F.col("max_chunk") + 1).cast("long").alias("total"))
-    rows = own.select("user_id", "book").join(totals, "book")
-    cache = rows.select("user_id", "book", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)).alias("ordinal")).where("ordinal % 7 <> 3")
+    own, most, cache = library_state(spark, sf_dir)
     return ordinals(own, most), cache

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.operators import cursors as C
 from quire.operators import library as L
 from quire.operators import prefetch as P
+from quire.operators.search import chunks_at
 from quire.plans import bindings as B
 from quire.plans.sql import BOOKS, CACHE, CHUNKS, LOG, ORDINALS, with_
 
@@ -316,3 +317,43 @@ def position_maxima(spark, d):
     """Last positions at scale, over line items."""
     rows = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("book"), (F.col("l_linenumber") - 1).alias("chunk"))
     return rows.groupBy("book").agg(F.max("chunk").alias("max_chunk"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH t AS (SELECT conv_id AS book, row_number() OVER w - 1 AS chunk, coalesce(sum(strlen(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(strlen(text)) OVER w AS stop FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+o AS (SELECT event_id, user_id % (SELECT max(conv_id) + 1 FROM conversations) AS book, event_id * 7 % 3000 AS "offset" FROM events)
+SELECT event_id, o.book, "offset", coalesce(t.chunk, 0)::INT AS chunk FROM o LEFT JOIN t ON t.book = o.book AND t.start <= "offset" AND "offset" < t.stop""")
+def offsets_in_spans(spark, d):
+    """Offsets of the event log, in the turns' spans that another table has; a few books have most of the offsets."""
+    turns = B.table(spark, d, "conversations").select(F.col("conv_id").alias("book"), "turn", F.octet_length("text").cast("long").alias("n"))
+    own = Window.partitionBy("book").orderBy("turn")
+    spans = turns.select("book", (F.row_number().over(own) - 1).alias("chunk"), (F.sum("n").over(own) - F.col("n")).alias("start"), F.sum("n").over(own).alias("stop"))
+    n = B.table(spark, d, "conversations").agg((F.max("conv_id") + 1).alias("n"))
+    log = B.table(spark, d, "events").crossJoin(F.broadcast(n))  # one row
+    offsets = log.select("event_id", (F.col("user_id") % F.col("n")).alias("book"), (F.col("event_id") * 7 % 3000).alias("offset"))
+    return chunks_at(offsets, spans, width=512)
+
+
+#: The whole request, written row by row: each ordinal of a window is a row.
+ANSWER = """raw AS (SELECT u.user_id, u.book, CASE WHEN u.chunk <= s.max_chunk THEN s.start + u.chunk WHEN n.chapter IS NOT NULL THEN n.start END AS start, s.total
+  FROM cursors u JOIN starts s USING (book, chapter) LEFT JOIN starts n ON n.book = s.book AND n.chapter = s.chapter + 1),
+req AS (SELECT * FROM raw WHERE start IS NOT NULL),
+has AS (SELECT r.user_id, r.book, c.ordinal, c.ordinal - (row_number() OVER (PARTITION BY r.user_id, r.book ORDER BY c.ordinal) - 1) = r.start AS run FROM req r JOIN cache c ON c.user_id = r.user_id AND c.book = r.book AND c.ordinal >= r.start AND c.ordinal < r.start + 4),
+run AS (SELECT r.*, coalesce(h.n, 0) AS n, r.start + greatest(coalesce(h.n, 0) - 1, 0) AS last FROM req r LEFT JOIN (SELECT user_id, book, count(*) FILTER (run) AS n FROM has GROUP BY ALL) h USING (user_id, book)),
+miss AS (SELECT r.user_id, r.book, r.total, s.ordinal FROM run r JOIN spine s ON s.book = r.book AND s.ordinal >= r.last AND s.ordinal < r.last + 10 ANTI JOIN cache c ON c.user_id = r.user_id AND c.book = r.book AND c.ordinal = s.ordinal),
+ahead AS (SELECT user_id, book, ordinal FROM miss UNION SELECT m.user_id, m.book, s.ordinal FROM (SELECT user_id, book, max(ordinal) AS l FROM miss GROUP BY ALL) m JOIN spine s ON s.book = m.book AND s.ordinal >= m.l AND s.ordinal < m.l + 20
+  UNION SELECT r.user_id, r.book, s.ordinal FROM run r JOIN spine s ON r.n = 0 AND s.book = r.book AND s.ordinal >= r.start AND s.ordinal < r.start + 20),
+q AS (SELECT user_id, book, count(*) AS n, min(ordinal) AS first, max(ordinal) AS final, sum(ordinal) AS total FROM (SELECT * FROM ahead ANTI JOIN cache USING (user_id, book, ordinal)) GROUP BY ALL),
+cut AS (SELECT r.user_id, r.book, count(*) AS n FROM run r JOIN cache c ON c.user_id = r.user_id AND c.book = r.book AND c.ordinal < r.last - 5 GROUP BY ALL)"""
+
+
+@query(with_(CHUNKS, LOG, ORDINALS, CACHE, ANSWER) + """SELECT r.user_id, r.book, r.start, r.n AS returned, r.last, coalesce(q.n, 0) AS queued, q.first, q.final, q.total::BIGINT AS queue_sum, coalesce(cut.n, 0) AS trimmed
+  FROM run r LEFT JOIN q USING (user_id, book) LEFT JOIN cut USING (user_id, book)""")
+def chunk_requests(spark, d):
+    """The whole request for four chunks of each reader's cursor: validated, answered as far as there is no gap, what to fetch, what to forget."""
+    cursors, most, cache = B.library_state(spark, d)
+    got = P.answered(P.valid_requests(cursors, most), cache, 4, 10)
+    queue = F.col("queue")
+    return got.select(
+        "user_id", "book", "start", F.size("returned").cast("long").alias("returned"), "last", F.size(queue).cast("long").alias("queued"), F.array_min(queue).alias("first"), F.array_max(queue).alias("final"),
+        F.when(F.size(queue) > 0, F.aggregate(queue, F.lit(0).cast("long"), lambda a, x: a + x)).alias("queue_sum"), "trimmed",
+    )

@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.names import first_image, path_normalised, play_order, series_position, without_fragment
@@ -151,6 +151,41 @@ def navigation(entries: DataFrame) -> DataFrame:
     return rows.select("path", "position", order.alias("play_order"), (order + 1).alias("number"), title.alias("title"), _beside(F.col("toc"), F.url_decode(target)).alias("name"))
 
 
+def contents_tree(entries: DataFrame) -> DataFrame:
+    """(path, position, depth, parent, place, title, name, trail, error) of the contents file's points, depth first as in the file.
+
+    A point's depth is how many are open before its start tag: a running sum over start and end tags. Its parent is the
+    last point before it that is one less deep. trail has the titles from the top down to the point. Where the tags don't
+    fit each other, an end without a start or a start without an end, all of the file's points have an error, and neither
+    parent nor trail.
+    """
+    toc = entries.where(F.endswith(F.lower("name"), F.lit(".ncx"))).select("path", F.col("name").alias("toc"), F.col("data").cast("string").alias("t"))
+    bare = F.regexp_replace("t", r"(?s)<!--.*?(?:-->|\z)", "")
+    parts = F.regexp_extract_all(bare, F.lit(r"(?s)</?(?:\w+:)?navPoint\b[^>]*>(?:(?!</?(?:\w+:)?navPoint\b).)*+"), 0)
+    tags = toc.select("path", "toc", F.posexplode(parts).alias("k", "tag")).withColumn("step", F.when(F.startswith("tag", F.lit("</")), -1).when(F.col("tag").rlike(r"^[^>]*/>"), 0).otherwise(1))
+    by = Window.partitionBy("path", "toc")
+    tags = tags.withColumn("after", F.sum("step").over(by.orderBy("k"))).withColumn("broken", (F.min("after").over(by) < 0) | (F.sum("step").over(by) != 0))
+    points = tags.where("step >= 0").withColumn("position", F.row_number().over(by.orderBy("k")) - 1).withColumn("depth", (F.col("after") - F.col("step")).cast("int"))
+    pick = lambda pattern: F.regexp_extract("tag", pattern, 1)
+    title = F.trim(F.regexp_replace(unescaped(F.regexp_replace(pick(r"(?s)<(?:\w+:)?text\b[^>]*>(.*?)</(?:\w+:)?text>"), r"(?s)<[^>]*>", "")), r"\s+", " "))
+    target = unescaped(pick(r"<(?:\w+:)?content\b[^>]*\bsrc\s*=\s*[\"']([^\"']*)[\"']"))
+    points = points.select("path", "toc", "position", "depth", "broken", title.alias("title"), _beside(F.col("toc"), F.url_decode(target)).alias("name"))
+    # a point is put among those of its own depth, and as a possible parent among those one deeper
+    sides = F.array(F.struct(F.col("depth").alias("slot"), F.lit(None).cast("int").alias("above")), F.struct((F.col("depth") + 1).alias("slot"), F.col("position").alias("above")))
+    before = Window.partitionBy("path", "toc", "slot").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    both = points.select("*", F.inline(sides)).withColumn("parent", F.max("above").over(before)).where("above is null").drop("slot", "above")
+    fit = both.withColumn("parent", F.when(~F.col("broken"), F.col("parent"))).withColumn("error", F.when(F.col("broken"), "tags don't fit"))
+    fit = kept(fit.withColumn("place", F.row_number().over(Window.partitionBy("path", "toc", "parent").orderBy("position")) - 1))
+    deepest = fit.where(~F.col("broken")).agg(F.max("depth")).first()[0]
+    level = fit.where(~F.col("broken") & (F.col("depth") == 0)).select("*", F.array("title").alias("trail"))
+    all_ = fit.where("broken").select("*", F.lit(None).cast("array<string>").alias("trail")).unionByName(level)
+    for depth in range(1, (deepest or 0) + 1):  # a join per depth, each over the points of that depth
+        above = level.select("path", "toc", F.col("position").alias("parent"), F.col("trail").alias("__above"))
+        level = fit.where(~F.col("broken") & (F.col("depth") == depth)).join(above, ["path", "toc", "parent"]).withColumn("trail", F.concat("__above", F.array("title"))).drop("__above")
+        all_ = all_.unionByName(level)
+    return all_.select("path", "position", "depth", "parent", F.when(F.col("error").isNull(), F.col("place")).alias("place"), "title", "name", "trail", "error")
+
+
 def integrity(entries: DataFrame) -> DataFrame:
     """(path, status): ok, toc missing, no package, empty spine, missing file, unknown item, bad toc, or unreadable."""
     packed = packages(entries)
