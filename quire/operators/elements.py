@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import CLOSE_P, TAG, unescaped
+from quire.functions.text import BLOCKS, CLOSE_P, PLAIN, SKIPPED, TAG, unescaped
 
 #: Fixed values of HTML: elements without content, and elements whose content is text up to their own end tag.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -34,7 +34,10 @@ ENDS = (
     | {name: (_CELLS, {"tr", "table"}) for name in _CELLS} | {name: (_ROWS | _SECTIONS, {"table"}) for name in _SECTIONS}
 )
 
-_TOKEN = re.compile(r"(?s)<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]*+=[ \t\n\f\r]*+(?:\"[^\"]*+\"|'[^']*+'|))*+[^>=]*+)(>|\Z)")
+#: White space of which a text that isn't read may consist.
+WHITE = " \t\n\v\f\r\u0085\u00a0"
+
+_TOKEN = re.compile(r"(?s)<!--.*?(?:-->|\Z)|<(?:[!?]|/(?![A-Za-z]))[^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]*+=[ \t\n\f\r]*+(?:\"[^\"]*+\"|'[^']*+'|))*+[^>=]*+)(>|\Z)")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 COLUMNS = "node int, last int, parent int, depth int, place int, name string, id string, classes array<string>, attributes map<string,string>, start int, inner_start int, inner_stop int, stop int"
@@ -48,11 +51,12 @@ def attributes(text: str) -> dict[str, str]:
     return found
 
 
-def tree(html: str) -> list[dict]:
+def tree(html: str, events: list[tuple] | None = None) -> list[dict]:
     """A page's elements in order. End tags that were left out are understood as HTML does; end tags of nothing open are passed over.
 
     A row directly in a table gets the table's body around it, of which no tag is written. Formatting that was left
-    open ends with the element that it stands in.
+    open ends with the element that it stands in. events, if given, gets in order (node, start, stop) of each text, with the
+    element that it stands in, and (node,) where an element ends.
     """
     rows: list[dict] = []
     open_: list[dict] = []
@@ -75,12 +79,19 @@ def tree(html: str) -> list[dict]:
         while len(open_) > n:
             row = open_.pop()
             row |= {"last": len(rows) - 1, "inner_stop": inner, "stop": inner if len(open_) > n else stop}
+            if events is not None:
+                events.append((row["node"],))
+
+    def text(start: int, stop: int) -> None:
+        if events is not None and start < stop:
+            events.append((open_[-1]["node"] if open_ else None, start, stop))
 
     def within(bounds: set) -> int:
         return next((k + 1 for k in range(len(open_) - 1, -1, -1) if open_[k]["name"] in bounds), 0)
 
     top, at = [0], 0
     while m := _TOKEN.search(html, at):
+        text(at, m.start())
         at = m.end()
         if not m[4]:  # a comment, or a tag that never ends
             continue
@@ -101,16 +112,78 @@ def tree(html: str) -> list[dict]:
         if name == "tr" and open_ and open_[-1]["name"] == "table":
             open_.append(begin("tbody", {}, m.start(), m.start()))
         row = begin(name, attributes(m[3]), m.start(), m.end())
+        if name in ("script", "style") and m[3].endswith("/"):
+            continue  # such a tag shall not swallow what follows
         if name in RAW:
             end = re.compile(rf"(?i)</{re.escape(name)}(?=[\s/>])[^>]*>").search(html, at)
             at = end.end() if end else len(html)
             row |= {"inner_stop": end.start() if end else at, "stop": at}
+            open_.append(row)
+            text(row["inner_start"], row["inner_stop"])
+            open_.pop()
+            if events is not None:
+                events.append((row["node"],))
         elif name not in VOID:
             open_.append(row)
+    text(at, len(html))
     close(0, len(html), len(html))
     return rows
 
 
+def spans(html: str) -> list[dict]:
+    """The readable texts of a page in order: where each stands in the page and where in the linear text, which is all of them with a full stop and a space where a block ends."""
+    events: list[tuple] = []
+    rows, out, at, last = tree(html, events), [], 0, ""
+    skipped = []
+    for r in rows:
+        skipped.append(r["name"] in SKIPPED or (r["parent"] is not None and skipped[r["parent"]]))
+    for e in events:
+        if len(e) == 1:
+            if rows[e[0]]["name"] in BLOCKS and not skipped[e[0]] and last and last not in ".!? ":
+                at, last = at + 2, " "
+            continue
+        node, start, stop = e
+        if node is not None and skipped[node]:
+            continue
+        said = html[start:stop]
+        said = said if node is not None and rows[node]["name"] in PLAIN else unescape(said)
+        if said.strip(WHITE):
+            out.append({"n": len(out), "node": node, "source_start": start, "source_stop": stop, "start": at, "stop": at + len(said), "text": said.replace("\n", " ")})
+            at, last = at + len(said), out[-1]["text"][-1]
+    return out
+
+
+SPANS = "n int, node int, source_start int, source_stop int, start int, stop int, text string"
+
+
+def text_spans(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """A row per readable text of each page: the element it stands in, its place in the page (source_start, source_stop) and in the linear text (start, stop), in characters, and the text, references decoded.
+
+    Texts of white space alone, and those of scripts, styles and what else isn't read, are left out. Between two texts the linear text has a full stop
+    and a space where a block ends after anything but a stop or a space. A null or empty page has none.
+    """
+    kind = pages.schema[key].dataType.simpleString()
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split(" ")[0] for x in SPANS.split(", ")]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows = spans(batch.column(1)[k].as_py() or "")
+                if rows:
+                    columns = [pa.array([r[c] for r in rows], pa.string() if c == "text" else pa.int32()) for c in names]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(rows))), *columns], names=[key, *names])
+
+    return pages.select(key, html).mapInArrow(look, f"`{key}` {kind}, {SPANS}")
+
+
+def linear_from(spans: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, text): the linear text put together from its spans; what ends a block after the last of them is not among them."""
+    parts = F.array_sort(F.collect_list(F.struct("n", "start", "stop", "text")))
+    zero = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
+    step = lambda a, x: F.struct(F.concat(a["text"], F.when(x["start"] > a["at"], ". ").otherwise(""), x["text"]).alias("text"), x["stop"].alias("at"))
+    return spans.groupBy(key).agg(parts.alias("p")).select(key, F.aggregate("p", zero, step, lambda a: a["text"]).alias("text"))
+
+
 def elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """A row per element of each page: the key, its numbers, name, id, classes and attributes, and where it and its inside begin and end.
 

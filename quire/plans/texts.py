@@ -110,7 +110,7 @@ def sql_decoded(x: str) -> str:
     return x
 
 
-@query(rf"""WITH a AS (SELECT page_id, {"regexp_replace(" * len(SQL_SKIPPED)}regexp_replace(html, '(?s)<!--.*?-->', '<!>', 'g'){"".join(f", '(?is)<{t}(?: [^>]*)?>.*?</{t}>', '<!>', 'g')" for t in SQL_SKIPPED)} AS h FROM pages),
+LINEAR = rf"""WITH a AS (SELECT page_id, {"regexp_replace(" * len(SQL_SKIPPED)}regexp_replace(html, '(?s)<!--.*?-->', '<!>', 'g'){"".join(f", '(?is)<{t}(?: [^>]*)?>.*?</{t}>', '<!>', 'g')" for t in SQL_SKIPPED)} AS h FROM pages),
 k AS (SELECT page_id, regexp_extract_all(h, '<[^>]*>|[^<]+') AS k FROM a),
 t AS (SELECT page_id, unnest(k) AS x, generate_subscripts(k, 1) AS i FROM k),
 u AS (SELECT page_id, i, x, coalesce(last_value(CASE WHEN regexp_matches(x, '(?i)^<p[ >]') THEN 1 WHEN regexp_matches(x, {SQL_SHUT}) THEN 0 END IGNORE NULLS)
@@ -118,11 +118,26 @@ u AS (SELECT page_id, i, x, coalesce(last_value(CASE WHEN regexp_matches(x, '(?i
 v AS (SELECT page_id, i, CASE WHEN x LIKE '<%' THEN CASE WHEN regexp_matches(x, '(?i)^</(?:{SQL_ENDS})[ >]') OR (open = 1 AND regexp_matches(x, {SQL_SHUT})) THEN chr(1) ELSE '' END
   WHEN regexp_matches(x, '^\s+$') THEN '' ELSE replace({sql_decoded('x')}, chr(10), ' ') END AS part FROM u),
 w AS (SELECT page_id, string_agg(part, '' ORDER BY i) AS s FROM v GROUP BY page_id)
-SELECT page_id, replace(regexp_replace(regexp_replace(regexp_replace(s, '\x01+', chr(1), 'g'), '^\x01', ''), '([.!? ])\x01', '\1', 'g'), chr(1), '. ') AS text FROM w""")
+SELECT page_id, replace(regexp_replace(regexp_replace(regexp_replace(s, '\x01+', chr(1), 'g'), '^\x01', ''), '([.!? ])\x01', '\1', 'g'), chr(1), '. ') AS text FROM w"""
+
+
+@query(LINEAR)
 def linearize_pages(spark, d):
     return pages(spark, d).select("page_id", T.linear(F.col("html")).alias("text"))
 
 
+@query(LINEAR.replace("SELECT page_id, replace(regexp_replace(regexp_replace(regexp_replace(s,", "SELECT page_id, true AS sound, (SELECT count(*) FILTER (x NOT LIKE '<%' AND NOT regexp_matches(x, '^\\s+$')) FROM t WHERE t.page_id = w.page_id) AS n, regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(s,").replace(", '. ') AS text FROM w", ", '. '), '\\. $', '') AS text FROM w"))
+def linear_spans(spark, d):
+    """The linear text put together from its spans, and whether each, cut out of page and text at its places, says the same."""
+    rows = E.text_spans(pages(spark, d))
+    whole = E.linear_from(rows)
+    joined = rows.join(pages(spark, d).select("page_id", "html"), "page_id").join(whole, "page_id")
+    source = F.translate(T.unescaped(F.substring("html", F.col("source_start") + 1, F.col("source_stop") - F.col("source_start"))), "\n", " ")
+    same = (source == rows["text"]) & (F.substring(whole["text"], F.col("start") + 1, F.col("stop") - F.col("start")) == rows["text"])
+    sums = joined.select("page_id", same.alias("same"), whole["text"].alias("whole")).groupBy("page_id").agg(F.bool_and("same").alias("sound"), F.count(F.lit(1)).alias("n"), F.first("whole").alias("text"))
+    return sums.withColumn("text", F.regexp_replace("text", r"\. \z", ""))
+
+
 @query("SELECT page_id, length(trim(regexp_replace(html, '<[^>]+>', '', 'g')))::INT AS n FROM pages")
 def visible_text_len(spark, d):
     return pages(spark, d).select("page_id", T.visible_length(F.col("html")).alias("n"))

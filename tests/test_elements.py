@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions.text import linear
 from quire.operators import elements as E
 
 NAMES, CLASSES = ("div", "span", "ul", "b"), ("x", "y", "z")
@@ -166,3 +167,33 @@ def test_the_sites_settings(spark):
     assert E.removed(chapter, E.chosen(E.elements(chapter), "span")).first()["html"] == "A<div>B</div>C"
     assert {x["page_id"]: x["html"] for x in E.removed(pages, E.chosen(rows, "b")).collect()} == {1: html, 2: None, 3: ""}
     assert E.elements(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "found"),
+    [
+        ("<p>Rain &amp; <b>snow</b></p>\n<p>fell</p>", [("Rain & ", "p", 0), ("snow", "b", 7), ("fell", "p", 13)]),
+        ("<!DOCTYPE html><title>no</title><div>It ended.<div>So</div></div>x<script>no</script><!-- no -->y", [("It ended.", "div", 0), ("So", "div", 9), ("x", None, 13), ("y", None, 14)]),
+        ("a<textarea>&lt;<p></textarea><noscript>&lt;</noscript><svg><text>no</text></svg>", [("a", None, 0), ("<<p>", "textarea", 1), ("&lt;", "noscript", 5)]),
+        ("<li>one<li>two </li>&nbsp;<script src=x />three", [("one", "li", 0), ("two ", "li", 5), ("three", None, 9)]),
+        ("", []),
+    ],
+)
+def test_spans(spark, html, found):
+    rows = {r["node"]: r["name"] for r in E.tree(html)}
+    got = E.spans(html)
+    assert [(x["text"], rows.get(x["node"]), x["start"]) for x in got] == found
+    whole = value_of(spark, html)
+    assert all(whole[x["start"] : x["stop"]] == x["text"] for x in got)
+
+
+def value_of(spark, html):
+    return spark.createDataFrame([(html,)], "x string").select(linear(F.col("x"))).first()[0]
+
+
+def test_spans_of_pages_make_their_linear_text(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
+    whole = {x["page_id"]: x["text"] for x in pages.select("page_id", linear(F.col("html")).alias("text")).collect()}
+    made = {x["page_id"]: x["text"] for x in E.linear_from(E.text_spans(pages)).collect()}
+    assert made.keys() == whole.keys() and all(whole[k] in (made[k], made[k] + ". ") for k in made)
+    assert E.text_spans(spark.createDataFrame([(1, None), (2, "")], "page_id long, html string")).count() == 0
