@@ -10,6 +10,7 @@ from quire.functions.text import linear
 from quire.operators import validation
 from quire.plans.bindings import chapters
 from quire.sources import archives as A
+from quire.sources import assembly
 from quire.sources import book_files as B
 from quire.sources import repair as R
 from quire.sources.folders import run_folder
@@ -165,3 +166,14 @@ def contents_tree(spark, d):
     body = F.concat(F.lit("<ncx><navMap>"), F.array_join(F.transform("p", lambda x: x["t"]), ""), shut(left - F.col("hurt").cast("int")), F.lit("</navMap></ncx>"))
     entries = files.select("path", F.lit(0).alias("ord"), F.lit("OEBPS/toc.ncx").alias("name"), body.cast("binary").alias("data"))
     return A.contents_tree(entries).withColumn("trail", F.array_join("trail", " / "))
+
+
+@query(f"""WITH {SHELF}, n AS (SELECT path, count(*) AS n FROM turns GROUP BY path)
+SELECT path || '.epub' AS path, (n + 5 - CASE kind WHEN 6 THEN 1 WHEN 5 THEN 1 ELSE 0 END)::BIGINT AS n_entries, (n + 5 - CASE kind WHEN 6 THEN 1 WHEN 5 THEN 1 ELSE 0 END)::BIGINT AS n_same FROM n JOIN books USING (path) WHERE kind NOT IN (3, 4)""")
+def assembled_books(spark, d):
+    """Sound books' entries packed in all tasks and written as files, then read again: as many entries, and as many with the same data."""
+    e, root = entries(spark, d).where("name is not null").withColumn("path", F.concat("path", F.lit(".epub"))), run_folder(spark, "books")
+    made = assembly.assembled(e, root)
+    again = B.read_books(spark, root).select("path", "name", F.col("data").alias("again"))
+    same = e.join(again, ["path", "name"]).groupBy("path").agg(F.count_if(F.col("data") == F.col("again")).alias("n_same"))
+    return made.select("path", "n_entries").join(same, "path")
