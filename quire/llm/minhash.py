@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,9 @@ from quire.llm.common import cut, is_heavy, join_by_count
 from quire.llm.components import components
 from quire.llm.shingles import mix, shingle_sets
 
-#: Coordinates of a signature, and how many must agree for a pair to be looked at. At a similarity of 0.8 a pair has
-#: 38.4 of 48 in the mean; fewer than 27 agree in about three of 100,000 such pairs, and in fewer above 0.8.
+#: Coordinates of a signature, and the share of pairs at the threshold that may be missed; above it fewer are.
 COORDINATES = 48
-MATCHES = 27
+MISSED = 5e-5
 
 #: Slots of the table of coordinate-value counts, the one thing that is collected and sent to all tasks: 256 KB.
 SLOTS = 1 << 16
@@ -27,6 +27,19 @@ LIST_BLOCK = 4096
 FAMILY_BLOCK = 50_000
 
 
+def matches(percent: int) -> int:
+    """How many coordinates must agree for a pair to be looked at: the most that all but MISSED of the pairs at the threshold have.
+
+    A coordinate agrees with the probability of the similarity, so their number is binomial: at 80 per cent 38.4 of 48 in
+    the mean, and fewer than 27 in about three of 100,000 pairs. One is the least that can be asked for: below about 19
+    per cent more pairs are missed.
+    """
+    p, below, k = percent / 100, 0.0, 0
+    while k < COORDINATES and (below := below + comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)) <= MISSED:
+        k += 1
+    return max(k, 1)
+
+
 def _multipliers(n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
 
@@ -86,14 +99,14 @@ def _slot_counts(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def _postings(sets: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Each set under the first COORDINATES - MATCHES + 1 of its coordinate-value pairs, the rarest by slot first.
+def _postings(sets: DataFrame, counts: np.ndarray, least: int) -> DataFrame:
+    """Each set under the first COORDINATES - least + 1 of its coordinate-value pairs, the rarest by slot first.
 
-    Two sets that agree in MATCHES pairs share one of these, whatever the order, as long as all sets follow the same.
+    Two sets that agree in `least` pairs share one of these, whatever the order, as long as all sets follow the same.
     The rarest-first order keeps frequent values out of the lists.
     """
     sent = sets.sparkSession.sparkContext.broadcast(counts)
-    prefix = COORDINATES - MATCHES + 1
+    prefix = COORDINATES - least + 1
 
     def post(batches):
         for batch in batches:
@@ -131,16 +144,14 @@ def _spanning(m: int, near) -> list[tuple[int, int]]:
     return edges
 
 
-def _candidates(postings: DataFrame, most: int, total: int) -> DataFrame:
-    """Edges (u, v) that span the sets which agree in MATCHES coordinates, list by list; postings are total rows.
+def _candidates(postings: DataFrame, total: int, least: int, percent: int) -> DataFrame:
+    """Edges (u, v) that span the sets which agree in `least` coordinates, list by list; postings are total rows.
 
     Lists longer than LIST_BLOCK are split into blocks that meet pair by pair, so no task holds a whole one. Those of
     heavy keys, fewer than HEAVY, are told by a broadcast table, the other long ones by a shuffled join.
     """
     columns = ["key", "node", "n", "sig"]
     single = lambda rows: rows.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "n", "sig")
-    if most <= LIST_BLOCK:  # no list can be longer than its slot's count
-        return _linked_lists(single(postings))
     crowded = postings.where(F.col("most") > LIST_BLOCK).select(columns)
     long = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") > LIST_BLOCK)
     long = cut(long.select("key", F.ceil(F.col("count") / LIST_BLOCK).cast("int").alias("blocks"), "count"))
@@ -151,10 +162,10 @@ def _candidates(postings: DataFrame, most: int, total: int) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     spread = join_by_count(crowded, long, ["key"], total, n="count").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocked = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "sig")
-    return _linked_lists(short.unionByName(blocked))
+    return _linked_lists(short.unionByName(blocked), least, percent)
 
 
-def _linked_lists(dealt: DataFrame) -> DataFrame:
+def _linked_lists(dealt: DataFrame, least: int, percent: int) -> DataFrame:
     """Edges that span the near sets of each (key, i, j), which meet in one task."""
 
     def link(batches):
@@ -171,8 +182,8 @@ def _linked_lists(dealt: DataFrame) -> DataFrame:
                 own, sizes = sig[a:b], n[a:b]
 
                 def near(i, others, own=own, sizes=sizes):
-                    like = (own[others] == own[i]).sum(axis=1) >= MATCHES
-                    return like & (5 * np.minimum(sizes[others], sizes[i]) >= 4 * np.maximum(sizes[others], sizes[i]))
+                    like = (own[others] == own[i]).sum(axis=1) >= least
+                    return like & (100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i]))
 
                 for x, y in _spanning(b - a, near):
                     u.append(node[a + x])
@@ -265,13 +276,16 @@ def near_duplicates(
     but equal sets, and stays if no other id has its set. Ties in size or signature make no difference. An empty table
     gives an empty result; columns besides id and text are not read.
 
-    Links are found with a recall of over 0.9999 at the threshold (see MATCHES) and are exact where found.
+    Links are found with a recall of over 0.9999 at a threshold of 20 per cent or more (see matches()) and are exact where found.
     """
     return _labelled(docs, id, text, width, percent, family_block).drop("row")
 
 
 def _labelled(docs: DataFrame, id: str, text: str, width: int, percent: int, family_block: int) -> DataFrame:
     """The rows of near_duplicates, with the hash of their text as row."""
+    if not 0 < percent <= 100:
+        raise ValueError("a threshold lies above 0 and is 100 per cent at most")
+    least = matches(percent)
     signed = cut(signatures(docs, id, text, width))
     # equal sets are counted within tasks first; one of the texts with a set stands for them
     named = F.col("doc_id").isNotNull()
@@ -279,8 +293,8 @@ def _labelled(docs: DataFrame, id: str, text: str, width: int, percent: int, fam
     folded = cut(folded.select("digest", "rows", F.col("first.doc_id").alias("node"), "first.row", "first.n", "first.sig"))
     sets = folded.where("node is not null").select("node", "row", "n", "sig")
     counts = _slot_counts(sets)
-    postings = _postings(sets, counts)
-    linked = components(_candidates(postings, int(counts.max(initial=0)), sets.count() * (COORDINATES - MATCHES + 1)))
+    postings = _postings(sets, counts, least)
+    linked = components(_candidates(postings, sets.count() * (COORDINATES - least + 1), least, percent))
     families = sets.select("node", "row", "n").join(linked.hint("merge"), "node").withColumnRenamed("component", "family")
     joined = components(_confirmed(_own(docs, id, text), cut(families), width, percent, family_block)).where("node <> component")
     # what each set's documents are called

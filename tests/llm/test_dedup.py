@@ -96,6 +96,22 @@ def test_near_long_lists(docs, corpus, monkeypatch):
     assert got == brute.near(corpus, 2)
 
 
+@pytest.mark.parametrize("percent", [40, 60, 80, 95, 100])
+def test_near_at_other_thresholds(spark, percent):
+    """Pairs of all similarities, also far below and right at each threshold."""
+    r = np.random.default_rng(percent)
+    rows = []
+    for k in range(120):
+        words = [f"w{x}" for x in r.integers(0, 1 << 30, r.integers(40, 200))]
+        other = [f"v{x}" if r.random() < k / 240 else w for x, w in enumerate(words)] + [f"u{x}" for x in range(r.integers(0, 9))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=1, percent=percent).collect()}
+    want = brute.near(rows, 1, percent)
+    assert got == want and (percent == 100 or 2 < sum(i != c for i, (_, c) in want.items()) < 120)
+    with pytest.raises(ValueError):
+        near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=0)
+
+
 def test_near_odd(odd, empty):
     rows = sorted({tuple(r) for r in near_duplicates(odd).select("doc_id", "component_id", "kept").collect()}, key=str)
     assert (2, 1, False) in rows and (1, 1, True) in rows and (None, None, True) in rows
