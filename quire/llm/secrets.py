@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+import uuid
 from functools import lru_cache, reduce
 from itertools import islice
 from pathlib import Path
@@ -16,27 +18,31 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import let
+from quire.llm.common import let, shared_dir
 
 #: The characters of candidates, and what lies between two of them: all else, escapes as in JSON included, save the \/ that
 #: stands for a slash. No group is repeated here, so that a run of any length needs no stack.
 SHAPE = r"[A-Za-z0-9+/_.~%@-]"
 ENDS = r"[^A-Za-z0-9+/_.~%@\\-]+|\\u[0-9a-fA-F]{4}|\\[nrtbf]|\\(?!/)"
 
-#: The least length of a candidate, and that of one beside a secret word, which may be of letters only.
+#: From which length on a run is a candidate wherever it stands, and from which beside a secret word, also of letters only. Beside a
+#: secret word and a sign there is no least length, see TOLD.
 LEAST, LEAST_BESIDE = 16, 6
 
 #: Where a short secret starts and ends in a text: after and before what is no part of its run, or is trimmed off it.
 RUN_STARTS, RUN_ENDS = r"(?:(?<![A-Za-z0-9+_@])|(?<=\\[nrtbf])|(?<=\\u[0-9a-fA-F]{4}))", r"(?![A-Za-z0-9+_@])"
 
-#: Features other than the length are taken from so many characters at the start of a candidate; any length is a candidate.
-HEAD = 2048
-
 #: Words that stand beside secrets, beside harmless digests and names, and in the paths of harmless files.
-SECRET_WORDS = "token secret password passwd pwd passphrase key apikey api_key access_key secret_key auth bearer credential credentials private authorization".split()
+SECRET_WORDS = "token secret password passwd pwd pw passcode passphrase key apikey api_key access_key secret_key auth bearer credential credentials private authorization".split()
 HARMLESS_WORDS = "commit sha sha1 sha256 sha512 md5 checksum hash digest uuid guid id version rev revision build isbn integrity etag ref blob tree file url order invoice tracking image see at page serial".split()
+PASSWORD_WORDS = "password passwd pwd pw passcode passphrase secret".split()
 SAMPLE_WORDS = "example sample test tests dummy fake placeholder your here changeme mock fixture fixtures docs demo redacted lock".split()
 
+#: What is said to be a secret: a secret word, a sign or "is", and then anything up to white space or a quote. And what stands for a password in an address.
+TOLD = rf"(?i)(?<![a-z0-9])({'|'.join(SECRET_WORDS)})[\"'`]?\s*(?:=>|:=|[:=]|\b(?:is|was)\b)\s*[\"'`]?([^\s\"'`]+)"
+ADDRESS = r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s/:@\"'`]*+:([^\s/@\"'`]++)@"
+IN_ADDRESS = "credential://"
+
 #: Words that the labelled lookalikes are made of. The dictionary that candidates are held against is another, see below.
 NAME_WORDS = (
     "password secret token example sample config default value string number index table column handler manager service "
@@ -53,17 +59,20 @@ VOCABULARY, WORD_LETTERS, DICTIONARY_WORDS = "byte_bpe_50k.json", 4, 600
 GROUPS = "the re in on er an st nd wh ea ou tion ly ing ed en al or ti es is ar le la ci ent de que com pro con der sch ung eur ver ma li".split()
 
 #: Labelled findings that the forest is fitted to: all that labelled_findings() makes by default. Trees and their depth.
-LABELLED = 6000
+LABELLED = 8000
 TREES, DEPTH, SEED = 24, 9, 5
 FIT_TASKS = 32
 
 THRESHOLD = 0.5
 
+#: Forests that this driver has read, by folder and session.
+_FITTED: dict[tuple[str, int], PipelineModel] = {}
+
 SECRET = "[SECRET]"
 
 FEATURES = [
     "length", "digits", "uppers", "lowers", "symbols", "turns", "case_turns", "variety", "vowel_turns", "longest_letters", "hex", "dictionary",
-    "path_like", "slashes", "sample", "near_secret", "near_harmless", "near_sample", "path_harmless",
+    "path_like", "slashes", "sample", "near_secret", "near_harmless", "near_sample", "path_harmless", "odd", "marks", "near_password", "blank",
 ]
 
 
@@ -91,9 +100,14 @@ def longest_of(words: tuple[str, ...]) -> str:
     return f"(?:{branches})" + "?" * ("" in words) if branches else ""
 
 
+def _is_odd(candidate: Column, near: Column) -> Column:
+    """Whether only a secret word and a sign, or a place in an address, made this a candidate: it has other signs than runs have, is short, or has no letter."""
+    return candidate.rlike(f"[^{SHAPE[1:]}") | (F.length(candidate) < LEAST_BESIDE) | ~candidate.rlike("[A-Za-z]") | (near == IN_ADDRESS)
+
+
 def with_features(findings: DataFrame) -> DataFrame:
     """findings (candidate, before, near, after, path) with a double column per feature, all by built-in functions."""
-    c = F.substring(F.replace(F.col("candidate"), F.lit("\\/"), F.lit("/")), 1, HEAD)
+    c = F.replace(F.col("candidate"), F.lit("\\/"), F.lit("/"))
     n = F.length(c)
     low = F.lower(c)
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
@@ -121,6 +135,11 @@ def with_features(findings: DataFrame) -> DataFrame:
         "near_harmless": near(HARMLESS_WORDS),
         "near_sample": near(SAMPLE_WORDS),
         "path_harmless": _any_of(F.col("path"), SAMPLE_WORDS),
+        "odd": _is_odd(F.col("candidate"), F.col("near")),
+        "marks": share(r"[^\p{L}\p{N}]"),
+        "near_password": _any_of(F.col("near"), PASSWORD_WORDS),
+        # what stands for a secret that isn't there: a variable, a call, stars
+        "blank": c.rlike(r"^[$%]?[({\[<].*[)}\]>]$|^[$%][A-Za-z_{(]|\(\)?$|^[^\p{L}\p{N}]*$") | (F.replace(c, F.left(c, F.lit(1)), F.lit("")) == ""),
     }
     return findings.withColumns({k: values[k].cast("double") for k in FEATURES})
 
@@ -131,7 +150,8 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, first: int = 0) ->
     Half are secrets: digests, random letters and digits, short ones, letters only, signed tokens and long keys of up
     to 1500 characters, and keys with a maker's prefix beside a secret's words. The others look like them: digests
     beside words for revisions and checksums, UUIDs, names, paths, numbers, samples, encoded files, and common words
-    beside a secret's words.
+    beside a secret's words. A quarter are what only a secret word and a sign, or an address, make candidates: passwords
+    with all kinds of signs, short ones and numbers, and on the other side words, variables, stars and calls.
     """
     i = F.col("id")
     h = lambda salt: F.sha2(F.concat_ws(":", F.lit(salt), i.cast("string")), 256)
@@ -172,6 +192,22 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, first: int = 0) ->
         F.concat_ws("_", word("a"), word("b"), word("c")), F.concat_ws("-", prose, word("b")), F.concat_ws("/", word("a"), word("b"), word("c")), F.concat(word("a"), F.lit("."), word("b"), F.substring(digits, 1, 2)),
         F.concat(word("a"), F.lit("."), F.substring(digits, 1, 2), F.lit("@"), word("b"), F.lit(".example.com")), F.concat(prose, prose),
     ]
+    sign = lambda salt: pick(list("&!#$*^?;,()=+:"), salt)
+    few = lambda a, b: F.substring(mixed, F.lit(1), length(a, b))
+    spelt = F.translate(word("a"), "aeiost", "@31057")
+    odd_secrets = [
+        F.concat(few(3, 9), sign("s"), F.substring(mixed, 10, 6), sign("t")), F.concat(sign("s"), few(4, 16)), F.concat(title("a"), sign("s"), F.substring(digits, F.lit(1), length(1, 6)), sign("t")),
+        F.substring(digits, F.lit(1), length(6, 24)), F.concat(F.substring(spelt, 1, 5), sign("s")), F.concat(F.lit("p@"), F.substring(lettered, F.lit(1), length(1, 3))), F.substring(spelt, F.lit(1), length(3, 5)),
+        F.concat(F.substring(digits, F.lit(1), length(1, 3)), F.substring(lettered, F.lit(1), F.lit(1))), F.substring(h("hex"), F.lit(1), length(4, 5)), few(8, 24), F.concat(word("a"), F.substring(digits, F.lit(1), length(1, 4))),
+        F.concat(F.lit("#"), F.substring(h("hex"), F.lit(1), length(6, 12))), F.concat(few(4, 8), F.lit("é"), sign("s"), F.substring(digits, 1, 2)),
+    ]
+    little = F.substring(prose, F.lit(1), length(1, 5))
+    odd_common = [
+        little, F.initcap(little), F.upper(little), F.concat(little, pick(list("!?;,)"), "s")), F.concat(word("a"), pick(list("!?;,)"), "s")), F.concat(word("a"), pick(["(", "=", ",", ";", "&"], "s"), word("b")),
+        pick("true false none null yes no on off empty unset hidden required missing wrong set lost safe public ok".split(), "w"), F.translate(prose, "eaou", "éàöü"), F.concat(F.lit("l’"), prose), F.substring(digits, F.lit(1), length(1, 3)),
+        F.concat(F.lit("${"), F.upper(word("a")), F.lit("}")), F.concat(F.lit("{{"), word("a"), F.lit("}}")), F.concat(F.lit("<"), word("a"), F.lit(">")), F.concat(word("a"), F.lit("()")), F.concat(F.lit("$"), F.upper(word("a"))),
+        F.repeat(pick(list("*.-x#"), "s"), length(1, 12)), F.concat(F.lit("("), word("a"), F.lit(")")), F.concat(F.lit("["), word("a"), F.lit("]")), F.concat(word("a"), F.lit("(")), F.concat(F.lit("%"), word("a")),
+    ]
     form = lambda columns: F.pmod(F.xxhash64(F.lit("form"), i), F.lit(len(columns)))
     chosen = lambda columns: F.coalesce(*[F.when(form(columns) == k, x) for k, x in enumerate(columns)])
     positive = F.pmod(i, F.lit(2)) == 1
@@ -187,10 +223,17 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, first: int = 0) ->
         F.when(F.pmod(F.xxhash64(F.lit("said"), i), F.lit(3)) > 0, pick(HARMLESS_WORDS, "n")).otherwise(plain("n"))
     )
     path = F.concat_ws("/", plain("p"), F.when(~label & (F.pmod(i, F.lit(7)) == 0), pick(SAMPLE_WORDS, "path")).otherwise(plain("q")))
-    return numbers.withColumn("secret", F.when(positive, chosen(secrets)).otherwise("")).select(
-        F.when(positive, F.col("secret")).when(beside, chosen(common)).otherwise(chosen(lookalikes)).alias("candidate"),
-        plain("b").alias("before"), near.alias("near"), plain("a").alias("after"), path.alias("path"), label.cast("double").alias("label"),
+    usual = F.pmod(F.xxhash64(F.lit("odd"), i), F.lit(4)) > 0
+    # a number is a secret where a password is spoken of, and not where a key or token is
+    odd_near = F.when(F.pmod(F.xxhash64(F.lit("address"), i), F.lit(6)) == 0, IN_ADDRESS).otherwise(pick(SECRET_WORDS, "n"))
+    odd_near = F.when(positive & F.col("odd").rlike("^[0-9]+$"), pick(PASSWORD_WORDS, "n")).otherwise(odd_near)
+    made = numbers.withColumn("secret", F.when(positive, chosen(secrets)).otherwise("")).withColumn("odd", F.when(positive, chosen(odd_secrets)).otherwise(chosen(odd_common)))
+    rows = made.select(
+        F.when(~usual, F.col("odd")).when(positive, F.col("secret")).when(beside, chosen(common)).otherwise(chosen(lookalikes)).alias("candidate"),
+        F.when(usual, plain("b")).otherwise("").alias("before"), F.when(usual, near).otherwise(odd_near).alias("near"), F.when(usual, plain("a")).otherwise("").alias("after"),
+        F.when(usual, path).otherwise(plain("p")).alias("path"), F.when(usual, label).otherwise(positive).cast("double").alias("label"), usual.alias("usual"),
     )
+    return rows.where(F.col("usual") | _is_odd(F.col("candidate"), F.col("near"))).drop("usual")
 
 
 def fit_forest(findings: DataFrame, most: int = LABELLED) -> PipelineModel:
@@ -206,13 +249,34 @@ def fit_forest(findings: DataFrame, most: int = LABELLED) -> PipelineModel:
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(rows)
 
 
+def fitted(findings: DataFrame) -> PipelineModel:
+    """fit_forest(findings), kept in the shared folder under a digest of the findings and of how they are fitted, so it is fitted once."""
+    spark = findings.sparkSession
+    own = findings.select("candidate", "before", "near", "after", "path", "label")
+    rows = own.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*own.columns).cast("decimal(38,0)"))).first()
+    key = hashlib.sha256(repr((tuple(rows), FEATURES, SECRET_WORDS, PASSWORD_WORDS, HARMLESS_WORDS, SAMPLE_WORDS, dictionary(), LABELLED, TREES, DEPTH, SEED)).encode()).hexdigest()[:32]
+    folder = f"{shared_dir(spark)}/forest-{key}"
+    if (folder, id(spark)) not in _FITTED:
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(path(folder)):
+            draft = f"{folder}-{uuid.uuid4().hex}"
+            fit_forest(findings).write().save(draft)
+            if not files.rename(path(draft), path(folder)) or files.exists(path(f"{folder}/{path(draft).getName()}")):
+                files.delete(path(draft), True)  # another driver was first
+        _FITTED[folder, id(spark)] = PipelineModel.load(folder)
+    return _FITTED[folder, id(spark)]
+
+
 def candidates(docs: DataFrame, id: str, text: str, path: str | None) -> DataFrame:
     """doc_id, row (hash of the text), candidate, before, near (the word right before it), after and path, per distinct finding.
 
     A candidate is a whole run of SHAPE, without stops and slashes at its ends, of LEAST characters or more with a digit
     and a letter, or with a lower-case letter before two capitals; there is no greatest length. Beside a secret word
     (one of the two runs before, or the run after) it is any run of LEAST_BESIDE characters or more with a letter. Runs
-    are told apart within their text, without a shuffle; slashes escaped as in JSON are part of a run.
+    are told apart within their text, without a shuffle; slashes escaped as in JSON are part of a run. Behind a secret
+    word and a sign, or "is", a candidate is all up to white space or a quote, without stops and brackets at its end,
+    whatever its length and letters; in an address it is what stands for the password.
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     run = r"[A-Za-z0-9+/_.~%@\\-]+"
@@ -227,14 +291,29 @@ def candidates(docs: DataFrame, id: str, text: str, path: str | None) -> DataFra
             is_one = (F.length(w) >= LEAST_BESIDE) & (F.length(bare) >= LEAST_BESIDE) & (((F.length(bare) >= LEAST) & bare.rlike(shape)) | beside)
             return F.when(is_one, F.struct(bare.alias("candidate"), *context))
 
-        return F.array_distinct(F.array_compact(F.transform(words, found)))
+        return F.array_compact(F.transform(words, found))
+
+    def said(candidate: Column, near: Column) -> Column:
+        nothing = F.lit("")
+        return F.when((candidate != "") & _is_odd(candidate, near), F.struct(candidate.alias("candidate"), nothing.alias("before"), near.alias("near"), nothing.alias("after")))
+
+    def told_of(t: Column) -> Column:
+        said_at = lambda m: F.regexp_replace(F.regexp_extract(m, TOLD, 2), r"(?s)\\(?:[nrtbf]|u[0-9a-fA-F]{4}).*", "")  # noqa: E731  up to an escape
+        value = lambda m: F.rtrim(said_at(m), F.lit(".,;:)]}>"))
+        whole = lambda m: F.when(value(m).rlike(r"[({\[<]"), F.rtrim(said_at(m), F.lit(".,;:"))).otherwise(value(m))  # noqa: E731  a bracket that was opened is shut
+        by_word = F.transform(F.regexp_extract_all(t, F.lit(TOLD), F.lit(0)), lambda m: said(whole(m), F.lower(F.regexp_extract(m, TOLD, 1))))
+        by_place = F.transform(F.regexp_extract_all(t, F.lit(ADDRESS), F.lit(1)), lambda x: said(x, F.lit(IN_ADDRESS)))
+        return F.array_compact(F.concat(by_word, by_place))
 
     own = docs.select(
         F.col(f"`{id}`").alias("doc_id"), t.alias("t"), F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")).alias("path") if path else F.lit("").alias("path")
     ).withColumn("telling", F.col("t").rlike(told))
-    some = own.where(F.col("telling") | F.col("t").rlike(rf"[A-Za-z0-9+/_.~%@\\-]{{{LEAST}}}"))
+    some = own.where(F.col("telling") | F.col("t").rlike(rf"[A-Za-z0-9+/_.~%@\\-]{{{LEAST}}}") | F.contains("t", F.lit("://")))
     runs = F.filter(F.split("t", ENDS), lambda w: w != "")
-    rows = some.select("doc_id", F.xxhash64("t").alias("row"), "path", F.explode(let(runs, lambda words: inside(words, F.col("telling")))).alias("f"))
+    by_run = let(runs, lambda words: inside(words, F.col("telling")))
+    odd = F.when(F.col("telling") | F.contains("t", F.lit("://")), told_of(F.col("t")))
+    both = F.array_distinct(F.when(odd.isNull(), by_run).otherwise(F.concat(by_run, odd)))
+    rows = some.select("doc_id", F.xxhash64("t").alias("row"), "path", F.explode(both).alias("f"))
     return rows.select("doc_id", "row", "path", "f.*")
 
 
@@ -246,7 +325,7 @@ def scan_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", path:
     each. Null and empty texts have no findings; rows with equal ids are scanned one by one; an empty table gives an
     empty result. Only id, text and path are read; path may be None.
     """
-    model = fit_forest(findings if findings is not None else labelled_findings(docs.sparkSession))
+    model = fitted(findings if findings is not None else labelled_findings(docs.sparkSession))
     judged = model.transform(with_features(candidates(docs, id, text, path)))
     p = vector_to_array("probability")[1]
     return judged.select("doc_id", "row", "candidate", "before", "near", "after", "path", F.round(p, 6).alias("probability"), (p >= THRESHOLD).alias("is_secret"))
@@ -264,8 +343,10 @@ def redact_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", char
     listed = listed.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.expr("transform(sort_array(transform(c, x -> struct(length(x) as n, x as x)), false), y -> y.x)").alias("__secrets"))
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     joined = docs.join(listed.hint("merge"), F.col(f"`{id}`").eqNullSafe(F.col("__id")) & (F.xxhash64(t) == F.col("__row")), "left")
-    # all in one pass, so that none is looked for in SECRET itself; short ones only where they are a run, not within a longer one
-    quoted = F.transform("__secrets", lambda x: F.when(F.length(x) >= LEAST, F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))).otherwise(F.concat(F.lit(RUN_STARTS + r"\Q"), x, F.lit(r"\E" + RUN_ENDS))))
+    # all in one pass, so that none is looked for in SECRET itself; short ones only where they are a run, not within a longer one, or stand in an address
+    whole = lambda x: F.concat(F.lit(r"\Q"), F.replace(x, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    as_run = lambda x: F.concat(F.lit(RUN_STARTS), whole(x), F.lit(RUN_ENDS + "|(?<=:)"), whole(x), F.lit("(?=@)"))
+    quoted = F.transform("__secrets", lambda x: F.when(F.length(x) >= LEAST, whole(x)).otherwise(as_run(x)))
     clean = F.regexp_replace(t, F.array_join(quoted, "|"), F.lit(SECRET))
     joined = joined.withColumn("__clean", F.when(F.col("__secrets").isNotNull(), clean))
     out = {text: F.coalesce("__clean", F.col(f"`{text}`"))}

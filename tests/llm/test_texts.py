@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import random
 import re
 import zlib
 from html.parser import HTMLParser
@@ -294,6 +295,48 @@ def test_secrets_of_any_length_and_in_any_quotes(spark):
     assert clean == {i: t.replace(c, S.SECRET) for i, (c, t) in enumerate([*told, *(("[]", t) for t in plain)])}
 
 
+def test_secrets_that_only_a_word_tells(spark):
+    """Any signs, any length, numbers, and addresses; and what stands there without being a secret."""
+    told = [
+        ("12345678901234567890", "password: 12345678901234567890"), ("Tr0ub4dor&3horse!x", 'pw = "Tr0ub4dor&3horse!x"'), ("p@ss", "password is p@ss"), ("9f", "secret: 9f."), ("S3cr3tP4ssw0rd", "db://user:S3cr3tP4ssw0rd@host/x"),
+        ("a8!kd$$01Lq", "api_key => 'a8!kd$$01Lq'"), ("#4e1b90c2", "passwd=#4e1b90c2;"), ("aB3&x7K!" * 300, "secret = " + "aB3&x7K!" * 300),
+    ]
+    plain = [
+        "password: required", "the secret is out.", "token: true", "password: ${DB_PASSWORD}", "password = getPassword()", "the secret is été", "password: ****", "password is the best", "secret: no!", "auth: basic",
+        "https://a.example.com:8080/x@y", "password:", "secret = ''", "token is" + " " * 200_000, "key: " + "z" * 300_000, ("token is a" + "://") * 30_000,
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([t for _, t in told] + plain)], "doc_id long, text string")
+    rows = S.scan_secrets(docs, path=None).collect()
+    found = {(r["doc_id"], r["candidate"]) for r in rows if r["is_secret"]}
+    assert {(i, c) for i, (c, _) in enumerate(told)} <= found and not {i for i, _ in found if i >= len(told)}
+    assert all(any(c in t for _, t in told) for _, c in found)
+    clean = {r["doc_id"]: r["text"] for r in S.redact_secrets(docs, path=None).collect()}
+    assert clean == {i: t.replace(c, S.SECRET) for i, (c, t) in enumerate([*told, *(("[]", t) for t in plain)])}
+
+
+def plain_candidates(text):
+    """(candidate, near) that a secret word and a sign or an address make, read by another engine."""
+    words, out = "|".join(S.SECRET_WORDS), set()
+    for m in re.finditer(rf"(?i)(?<![a-z0-9])({words})[\"'`]?\s*(?:=>|:=|[:=]|\b(?:is|was)\b)\s*[\"'`]?([^\s\"'`]+)", text):
+        value = re.sub(r"(?s)\\(?:[nrtbf]|u[0-9a-fA-F]{4}).*", "", m[2])
+        bare = value.rstrip(".,;:)]}>")
+        out.add((value.rstrip(".,;:") if re.search(r"[({\[<]", bare) else bare, m[1].lower()))
+    out |= {(m[1], S.IN_ADDRESS) for m in re.finditer(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@\"'`]*:([^\s/@\"'`]+)@", text)}
+    return {(c, n) for c, n in out if c and (re.search(r"[^A-Za-z0-9+/_.~%@-]", c) or len(c) < S.LEAST_BESIDE or not re.search("[A-Za-z]", c) or n == S.IN_ADDRESS)}
+
+
+def test_candidates_against_another_reading(spark):
+    r = random.Random(3)
+    part = lambda: r.choice(["password", "Token", "pw", "key", "is", "was", ":", "=", "=>", " ", " ", "\n", '"', "'", "x://u:", "@h", "a1!", "9f", "(b)", "p@ss", ".", ",", "word", "\\n", "é", "42", "/"])
+    texts = ["".join(part() for _ in range(r.randint(3, 25))) for _ in range(400)]
+    rows = S.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", None).where("before = '' and after = ''").collect()
+    got = {}
+    for x in rows:
+        if re.search(r"[^A-Za-z0-9+/_.~%@-]", x["candidate"]) or len(x["candidate"]) < S.LEAST_BESIDE or not re.search("[A-Za-z]", x["candidate"]) or x["near"] == S.IN_ADDRESS:
+            got.setdefault(x["doc_id"], set()).add((x["candidate"], x["near"]))
+    assert got == {i: c for i, t in enumerate(texts) if (c := plain_candidates(t))}
+
+
 def test_short_secrets_are_redacted_as_runs_only(spark):
     docs = spark.createDataFrame([(1, "password: hJ4kX92qWz, again hJ4kX92qWz. but zhJ4kX92qWz1"), (2, "x" * 300_000 + "1 " + r"a1\/" * 50_000)], "doc_id long, text string")
     clean = {r["doc_id"]: r["text"] for r in S.redact_secrets(docs, path=None).collect()}
