@@ -39,7 +39,7 @@ _BLOCKS = (CONTAINERS - {"html", "body"}) | frozenset("p li dt dd address blockq
 _AROUND_P = CONTAINERS | frozenset("td th caption button object".split())
 
 #: Features of parts of a text, which don't tell its container from another.
-WITHIN = frozenset("a div section ul ol dl table figure details h1 h2 h3 h4 h5 h6".split())
+WITHIN = frozenset("#prose #few #links a div section ul ol dl table figure details h1 h2 h3 h4 h5 h6".split())
 
 #: What follows a tag's name: a quote opens a value only right behind an equals sign, as in HTML; elsewhere it is a letter like others.
 _REST = r"""(?:[^>=]*+=\s*+(?:"[^"]*+"|'[^']*+'|))*+[^>=]*+"""
@@ -81,6 +81,22 @@ def _names(rest: str) -> frozenset[str]:
     return frozenset(found)
 
 
+class Box:
+    """An open element that says something of what it holds: its own features, whether it lies in an article, and what is counted in it."""
+
+    __slots__ = ("own", "up", "in_article", "words", "prose", "controls")
+
+    def __init__(self, own: frozenset[str], up: Box | None, in_article: bool) -> None:
+        self.own, self.up, self.in_article = own, up, in_article
+        self.words = self.prose = self.controls = 0
+
+    def around(self):
+        box: Box | None = self
+        while box is not None:
+            yield box
+            box = box.up
+
+
 def segments(html: str):
     """The page in order, as (kind, value, features): "text" with its features, "tag" and "break" with a tag's name and no features.
 
@@ -88,15 +104,21 @@ def segments(html: str):
     be left out end as HTML says: at the next of their kind or, a paragraph, at the next block. Others that are never
     closed end with the container around them. Nesting may be of any depth.
     """
-    stack: list[tuple[str, frozenset[str]]] = []  # names and own features
+    for kind, value, features, _ in _boxed(html):
+        yield kind, value, features
+
+
+def _boxed(html: str):
+    """The segments, each with the innermost box that it lies in."""
+    stack: list[tuple[str, frozenset[str], Box | None]] = []  # names, own features, and the box that was open before
     opened: Counter[str] = Counter()  # of the names on the stack
     held: Counter[str] = Counter()  # of the features on the stack
     features: frozenset[str] | None = frozenset()  # of held; None after a change
-    link = False
+    link, box = False, None
 
     def close(wanted: frozenset[str], up_to: frozenset[str], all_of_them: bool = False) -> None:
         """Closes the innermost open element of `wanted`, or all of them, that lies within the nearest of up_to."""
-        nonlocal features
+        nonlocal features, box
         if not any(opened[x] for x in wanted):
             return
         at = None
@@ -109,7 +131,8 @@ def segments(html: str):
                 break
         if at is None:
             return
-        for gone, own in stack[at:]:
+        box = stack[at][2]
+        for gone, own, _ in stack[at:]:
             opened[gone] -= 1
             for f in own:
                 held[f] -= 1
@@ -123,15 +146,15 @@ def segments(html: str):
         if text is not None:
             if features is None:
                 features = frozenset(held)
-            yield "text", text, features | {"a"} if link else features
+            yield "text", text, features | {"a"} if link else features, box
             continue
         name = m["name"]
         if name is None:
             if m["unshown"]:
-                yield "break", m["unshown"].lower(), frozenset()
+                yield "break", m["unshown"].lower(), frozenset(), box
             continue
         name = name.lower()
-        yield ("tag" if name in INLINE else "break"), name, frozenset()
+        yield ("tag" if name in INLINE else "break"), name, frozenset(), box
         if m["close"]:
             if name == "a":
                 link = False
@@ -153,7 +176,9 @@ def segments(html: str):
             continue
         own = _names(rest) | ({name} if name in CONTAINERS else frozenset())
         if own or name in OPTIONAL:
-            stack.append((name, own))
+            stack.append((name, own, box))
+            if own:
+                box = Box(own, box, name in ("article", "main") or (box is not None and box.in_article))
             opened[name] += 1
             for f in own:
                 if not held[f]:
@@ -161,6 +186,69 @@ def segments(html: str):
                 held[f] += 1
 
 
+#: What makes a block prose: words, and a stop at its end; and how much of a box must be prose for its name to be doubted.
+PROSE_WORDS, PROSE_LEAST, PROSE_SHARE, PROSE_ALL = 10, 20, 0.7, 0.9
+_STOP = re.compile(r"[.!?…。！？:;][\"'”’»)\]]*\s*\Z")
+
+#: Elements that a reader fills in, and names of what readers have written.
+CONTROLS = frozenset("input button select textarea label".split())
+REMARKS = frozenset(".comment .comments .reply .replies .respond .response .responses .discussion .disqus".split())
+
+
+def described(html: str, doubted: frozenset[str] = frozenset()) -> list[tuple[str, str, frozenset[str]]]:
+    """The segments with features of structure: whether a text's block is prose, has few words, or is mostly links.
+
+    What a box is called counts only as long as what it holds doesn't speak against it. The `doubted` of its own features
+    are dropped from a box that holds nearly all the prose there is, whatever it is called; and from one in an article that
+    is mostly prose, without anything to fill in, and not called after readers' remarks.
+    """
+    parts = list(_boxed(html))
+    blocks: list[list[int]] = [[]]
+    for i, (kind, value, _, box) in enumerate(parts):
+        if kind == "break":
+            if blocks[-1]:
+                blocks.append([])
+            if value in CONTROLS and box is not None:
+                for b in box.around():
+                    b.controls += 1
+        elif kind == "text" and not value.isspace():
+            blocks[-1].append(i)
+    told: dict[int, str] = {}
+    total = 0
+    for block in blocks:
+        words = sum(len(parts[i][1].split()) for i in block)
+        if not words:
+            continue
+        linked = sum(len(parts[i][1].split()) for i in block if "a" in parts[i][2]) / words
+        prose = words >= PROSE_WORDS and linked < 0.3 and bool(_STOP.search(parts[block[-1]][1]))
+        mark = "#prose" if prose else "#links" if linked > 0.5 else "#few" if words < 5 else ""
+        total += words * prose
+        for i in block:
+            n = len(parts[i][1].split())
+            if mark:
+                told[i] = mark
+            if parts[i][3] is not None:
+                for b in parts[i][3].around():
+                    b.words += n
+                    b.prose += n * prose
+
+    def fair(b: Box) -> frozenset[str]:
+        """What is believed of a box's own features."""
+        all_of_it = total >= PROSE_LEAST and b.prose >= PROSE_ALL * total
+        inner = b.in_article and not b.controls and b.prose >= PROSE_LEAST and b.prose >= PROSE_SHARE * b.words and not b.own & REMARKS
+        return b.own - doubted if all_of_it or inner else b.own
+
+    known: dict[Box | None, frozenset[str]] = {None: frozenset()}
+    out = []
+    for i, (kind, value, features, box) in enumerate(parts):
+        if kind == "text":
+            if box not in known:
+                known[box] = frozenset().union(*(fair(b) for b in box.around()))
+            features = known[box] | ({"a"} & features) | ({told[i]} if i in told else frozenset())
+        out.append((kind, value, features))
+    return out
+
+
 #: Names that sites give to containers of each kind, for the labelled pages.
 _KINDS = {
     "content": "content article post entry story body text main page single primary".split(),
@@ -183,6 +271,11 @@ def labelled_page(seed: int) -> str:
     word = lambda: "".join(r.choice("aeiou") + r.choice("bcdlmnrst") for _ in range(r.randint(1, 4)))
     words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
 
+    def say(a: int, b: int) -> str:
+        """Sentences."""
+        out = [w + r.choice(["", "", "", "", "", ",", ".", "?"]) for w in words(a, b).split()]
+        return " ".join(out).rstrip(",.?") + r.choice("....!?")
+
     def named(kind: str) -> str:
         own = r.choice(_KINDS[kind])
         extra = r.choice(["", f"{own}-{r.choice(['box', 'wrap', 'area', 'inner', 'list'])}", word()])
@@ -197,19 +290,19 @@ def labelled_page(seed: int) -> str:
         attributes = named(kind) if tag in ("div", "section") or r.random() < 0.4 else ""
         if kind == "menu" and r.random() < 0.2:  # nothing but its links tells what it is
             return f"<div>{links(r.randint(3, 8))}</div>"
-        inner = r.choice([links(r.randint(2, 8)), f"<p>{words(4, 40)}</p>", words(4, 25), f"<h3>{words(1, 4)}</h3>{links(3)}"])
+        inner = r.choice([links(r.randint(2, 8)), f"<p>{r.choice((words, say))(4, 40)}</p>", r.choice((words, say))(4, 25), f"<h3>{words(1, 4)}</h3>{links(3)}"])
         if kind == "form":
-            inner = f"<label>{words(1, 3)}</label><input name=q><button>{words(1, 2)}</button>" + r.choice(["", f"<p>{words(5, 20)}</p>"])
+            inner = f"<label>{words(1, 3)}</label><input name=q><button>{words(1, 2)}</button>" + r.choice(["", f"<p>{r.choice((words, say))(5, 20)}</p>"])
         if kind == "comment":
-            inner = "".join(f"<div><b>{word()}</b><p>{words(5, 60)}</p></div>" for _ in range(r.randint(1, 4)))
+            inner = "".join(f"<div><b>{word()}</b><p>{say(5, 60)}</p></div>" for _ in range(r.randint(1, 4)))
         return f"<{tag}{attributes}>{inner}</{tag}>"
 
     def block() -> str:
-        text = f"{_MARK}{words(1, 80)}"
+        text = f"{_MARK}{say(1, 80) if r.random() < 0.8 else words(1, 80)}"
         if r.random() < 0.3:
             text = r.choice(["<b>{}</b>", "<b>{}<br>", "<em>{}</em>", "<span>{}</span>", "{}<br>", "<strong>{}</strong>", "<i>{}</i>"]).format(text)
         if r.random() < 0.2:
-            text += f' <a href="/x">{_MARK}{words(1, 3)}</a>{_MARK} {words(2, 20)}'
+            text += f' <a href="/x">{_MARK}{words(1, 3)}</a>{_MARK} {say(2, 20)}'
         kind = r.random()
         if kind < 0.08:
             return "<ul>" + "".join(f"<li>{_MARK}{words(3, 15)}</li>" for _ in range(3)) + "</ul>"
@@ -254,7 +347,7 @@ def fit(pages: list[str]) -> tuple[float, dict[str, float], dict[str, float]]:
     inside, outside = {}, {}
     n_in = n_out = 1
     for page in pages:
-        parts = list(segments(page))
+        parts = described(page)
         marked = [i for i, (kind, v, _) in enumerate(parts) if kind == "text" and _MARK in v]
         for i, (kind, value, features) in enumerate(parts):
             within = marked[0] <= i <= marked[-1]
@@ -292,6 +385,18 @@ def trained() -> tuple[float, dict[str, float], dict[str, float]]:
     return fit([labelled_page(i) for i in range(LABELLED)])
 
 
+def best_span(scores: list[float]) -> tuple[int, int]:
+    """The contiguous run of greatest sum, as (start, stop), by one pass; of equal ones the first to end, then the longest of those that a sum of zero or less doesn't begin. Empty if no sum is above zero."""
+    best, span, total, start = 0.0, (0, 0), 0.0, 0
+    for i, s in enumerate(scores):
+        if total <= 0:
+            total, start = 0.0, i
+        total += s
+        if total > best:
+            best, span = total, (start, i + 1)
+    return span
+
+
 def extract(html: str, weights) -> str:
     """The text of the best region: its blocks in page order, white space made single spaces, references decoded.
 
@@ -303,7 +408,7 @@ def extract(html: str, weights) -> str:
     scores: dict[frozenset[str], float] = {}
     parts, sums = [], []
     seen: set[str] = set()  # tags since the last words: several of a name running, such as wrappers, count once
-    for kind, value, features in segments(html):
+    for kind, value, features in described(html, frozenset(f for f, w in word.items() if w < 0)):
         if kind == "text":
             if not value.isspace():
                 seen.clear()
@@ -317,14 +422,7 @@ def extract(html: str, weights) -> str:
             parts.append((kind, value, False, features))
             sums.append(0.0 if value in seen else tag.get(value, 0.0))
             seen.add(value)
-    best, span, total, start = 0.0, (0, 0), 0.0, 0
-    for i, s in enumerate(sums):
-        if total <= 0:
-            total, start = 0.0, i
-        total += s
-        if total > best:
-            best, span = total, (start, i + 1)
-    low, high = span
+    low, high = best_span(sums)
     box = lambda f: frozenset(x for x in f if x in word and x not in WITHIN)
     held = {box(f) for _, _, good, f in parts[low:high] if good}
     for way in (range(low - 1, -1, -1), range(high, len(parts))):

@@ -192,6 +192,49 @@ def test_extraction(page, text):
     assert H.extract(page, H.trained()) == text
 
 
+def test_best_span():
+    r = random.Random(2)
+    for _ in range(500):
+        x = [r.choice((-3, -1, 0, 1, 2, 5)) for _ in range(r.randint(0, 14))]
+        a, b = H.best_span(x)
+        most = max((sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)), default=0)
+        assert sum(x[a:b]) == max(most, 0) and (most > 0 or a == b)
+
+
+PROSE = "The river ran low that year, and nobody in the village remembered it lower. Boats lay on their sides in the mud. "
+
+
+@pytest.mark.parametrize("name", ['class="news-reader"', 'class="entry post-meta"', "id=sidebar", 'class="comments-page"', "class=advert"])
+def test_a_name_alone_empties_no_page(name):
+    """The one article there is, called after something else."""
+    for tag in ("div", "article", "section", "aside"):
+        page = f"<body><nav><ul><li><a href=x>Menu</a></ul></nav><{tag} {name}><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></{tag}><footer>&copy; me</footer></body>"
+        assert H.extract(page, H.trained()) == ("Title " + PROSE * 2).strip()
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        'class="short-form"', 'id="weather-warning"', 'class="popular"', "class=site-search", "id=login", 'class="top-banner"', "class=subscribe", 'class="ad-hoc"', 'class="menu-planning"', "class=footer-notes",
+        'class="share-holders"', "class=promotion", "class=cookies", 'class="tags-explained"', "class=author", 'class="sponsor-story"', "class=archive", "class=contact", "class=legal", "class=alert", "class=modal", "id=breadcrumb",
+    ],
+)
+def test_ordinary_paragraphs_in_an_article_stay(name):
+    page = f"<body><nav><a href=x>Menu</a></nav><article><h1>Title</h1><p>{PROSE}</p><div {name}><p>{PROSE}</p></div><p>End of it.</p></article><footer>me</footer></body>"
+    assert H.extract(page, H.trained()) == f"Title {PROSE}{PROSE}End of it."
+
+
+def test_what_is_no_article_goes():
+    """Remarks, links, forms and short notices, in the article and beside it, with sentences too."""
+    junk = [
+        f'<div class="comments"><div><b>Ann</b><p>{PROSE}</p></div><div><b>Bo</b><p>{PROSE}</p></div></div>', '<div class="related"><ul><li><a href=a>One more story here</a><li><a href=b>And one more of them</a></ul></div>',
+        '<form><label>Mail</label><input name=q><p>Get our letter each day, and never miss a single one again, as we promise.</p><button>Go</button></form>', '<div class="ad">Buy this now, it is cheap.</div>', '<div class="cookie-notice"><p>We use cookies.</p></div>',
+    ]
+    for x in junk:
+        for page in (f"<article><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></article>{x}", f"<article><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p>{x}<p>{PROSE}</p></article>"):
+            assert H.extract(page, H.trained()) == ("T " + PROSE * 3).strip(), x
+
+
 class Article(HTMLParser):
     """The text of article elements by the standard library's parser."""
 
