@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import let, shared_dir
+from quire.llm.common import cut, let, shared_dir
 
 #: The characters of candidates, and what lies between two of them: all else, escapes as in JSON included, save the \/ that
 #: stands for a slash. No group is repeated here, so that a run of any length needs no stack.
@@ -155,37 +155,40 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, first: int = 0) ->
     """
     i = F.col("id")
     h = lambda salt: F.sha2(F.concat_ws(":", F.lit(salt), i.cast("string")), 256)
-    mixed = F.regexp_replace(F.base64(F.unhex(h("mixed"))), "[+/=]", "")
     pick = lambda words, salt: F.element_at(F.split(F.lit("|".join(words)), "[|]"), (F.pmod(F.xxhash64(F.lit(salt), i), F.lit(len(words))) + 1).cast("int"))
     length = lambda a, b: (F.pmod(F.xxhash64(F.lit("length"), i), F.lit(b - a + 1)) + a).cast("int")
     word = lambda salt: pick(NAME_WORDS, salt)
     title = lambda salt: F.initcap(word(salt))
-    digits = F.translate(h("digits"), "abcdef", "")
-    # long keys, letters at random, and words of letter groups common in prose
+    # digits, long keys, letters at random, and words of letter groups common in prose; cut, or the plan would repeat each of them in all forms
     many = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(36)), lambda k: F.base64(F.unhex(F.sha2(F.concat_ws(":", F.lit("many"), i, k), 256)))), "")
-    numbers = spark.range(first, first + n).withColumn("many", F.regexp_replace(many, "=", ""))
-    many, safe = F.col("many"), F.translate("many", "+/", "-_")
-    lettered = F.regexp_replace(F.lower(F.base64(F.unhex(h("letters")))), "[^a-z]", "")
     prose = F.concat(*[pick(GROUPS, f"g{k}") for k in range(3)], F.when(F.pmod(i, F.lit(3)) == 0, F.concat(*[pick(GROUPS, f"g{k}") for k in (3, 4)])).otherwise(""))
+    made = {
+        "many": F.regexp_replace(many, "=", ""), "mixed": F.regexp_replace(F.base64(F.unhex(h("mixed"))), "[+/=]", ""), "digits": F.translate(h("digits"), "abcdef", ""),
+        "lettered": F.regexp_replace(F.lower(F.base64(F.unhex(h("letters")))), "[^a-z]", ""), "prose": prose, "hexed": h("hex"), "a": word("a"), "b": word("b"), "c": word("c"), "d": word("d"),
+    }
+    numbers = cut(spark.range(first, first + n).withColumns(made))
+    many, mixed, digits, lettered, prose, hexed = (F.col(x) for x in ("many", "mixed", "digits", "lettered", "prose", "hexed"))
+    word = F.col
+    safe = F.translate(many, "+/", "-_")
     uuid = F.concat_ws("-", *[F.substring(h("uuid"), a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     secrets = [
-        F.substring(h("hex"), 1, 40), F.substring(h("hex"), 1, 32), h("hex"), F.substring(mixed, 1, 40), mixed,
+        F.substring(hexed, 1, 40), F.substring(hexed, 1, 32), hexed, F.substring(mixed, 1, 40), mixed,
         F.concat(pick(["ghp_", "glpat-", "xoxb-", "sk_live_", "pk-", "AIza"], "maker"), F.substring(mixed, 1, 32)),
         F.concat(F.lit("AKIA"), F.substring(F.upper(mixed), 1, 16)), F.concat_ws("-", F.substring(mixed, 1, 12), F.substring(mixed, 13, 14)),
-        F.substring(mixed, F.lit(1), length(8, 15)), F.substring(h("hex"), F.lit(1), length(10, 15)), F.concat(prose, F.substring(digits, F.lit(1), length(1, 4))),
+        F.substring(mixed, F.lit(1), length(8, 15)), F.substring(hexed, F.lit(1), length(10, 15)), F.concat(prose, F.substring(digits, F.lit(1), length(1, 4))),
         F.substring(lettered, F.lit(1), length(16, 28)), F.upper(F.substring(lettered, F.lit(1), length(16, 28))),
         F.concat(F.lit("eyJ"), F.substring(safe, 1, 17), F.lit(".eyJ"), F.substring(safe, F.lit(18), length(60, 1400)), F.lit("."), F.substring(mixed, 1, 43)),
         F.substring(many, F.lit(1), length(60, 1500)),
     ]
     lookalikes = [
-        F.substring(h("hex"), 1, 40), h("hex"), F.substring(h("hex"), 1, 32), uuid,
+        F.substring(hexed, 1, 40), hexed, F.substring(hexed, 1, 32), uuid,
         F.concat(word("a"), title("b"), title("c"), title("d"), F.substring(digits, 1, 2)),
         F.concat_ws("_", word("a"), word("b"), word("c"), F.substring(digits, 1, 2)),
-        F.concat(F.lit("/"), F.concat_ws("/", word("a"), word("b"), word("c")), F.lit("-"), F.substring(h("hex"), 1, 8), pick([".js", ".png", ".css", ".html"], "end")),
+        F.concat(F.lit("/"), F.concat_ws("/", word("a"), word("b"), word("c")), F.lit("-"), F.substring(hexed, 1, 8), pick([".js", ".png", ".css", ".html"], "end")),
         F.concat(F.substring(digits, 1, 16), F.lit("a")), F.concat(F.lit("v"), F.concat_ws(".", F.substring(digits, 1, 2), F.substring(digits, 3, 3), F.substring(digits, 6, 12))),
         F.concat(pick(["your_", "example-", "test_", "EXAMPLE"], "s"), word("a"), F.lit("_key_"), F.substring(digits, 1, 4), F.lit("_here")),
         F.concat(F.repeat(F.lit("x"), 12), F.substring(digits, 1, 12)), F.concat(word("a"), F.lit("."), word("b"), F.substring(digits, 1, 3), F.lit("@"), word("c"), F.lit(".com")),
-        F.substring(many, F.lit(1), length(60, 1500)), F.substring(many, F.lit(1), length(60, 1500)), F.substring(mixed, F.lit(1), length(6, 15)), F.substring(h("hex"), F.lit(1), length(7, 15)),
+        F.substring(many, F.lit(1), length(60, 1500)), F.substring(many, F.lit(1), length(60, 1500)), F.substring(mixed, F.lit(1), length(6, 15)), F.substring(hexed, F.lit(1), length(7, 15)),
     ]
     common = [
         prose, F.initcap(prose), F.upper(prose), F.concat(prose, F.lit(".")), F.concat(word("a"), word("b")), F.concat(word("a"), title("b"), title("c")),
@@ -198,8 +201,8 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, first: int = 0) ->
     odd_secrets = [
         F.concat(few(3, 9), sign("s"), F.substring(mixed, 10, 6), sign("t")), F.concat(sign("s"), few(4, 16)), F.concat(title("a"), sign("s"), F.substring(digits, F.lit(1), length(1, 6)), sign("t")),
         F.substring(digits, F.lit(1), length(6, 24)), F.concat(F.substring(spelt, 1, 5), sign("s")), F.concat(F.lit("p@"), F.substring(lettered, F.lit(1), length(1, 3))), F.substring(spelt, F.lit(1), length(3, 5)),
-        F.concat(F.substring(digits, F.lit(1), length(1, 3)), F.substring(lettered, F.lit(1), F.lit(1))), F.substring(h("hex"), F.lit(1), length(4, 5)), few(8, 24), F.concat(word("a"), F.substring(digits, F.lit(1), length(1, 4))),
-        F.concat(F.lit("#"), F.substring(h("hex"), F.lit(1), length(6, 12))), F.concat(few(4, 8), F.lit("é"), sign("s"), F.substring(digits, 1, 2)),
+        F.concat(F.substring(digits, F.lit(1), length(1, 3)), F.substring(lettered, F.lit(1), F.lit(1))), F.substring(hexed, F.lit(1), length(4, 5)), few(8, 24), F.concat(word("a"), F.substring(digits, F.lit(1), length(1, 4))),
+        F.concat(F.lit("#"), F.substring(hexed, F.lit(1), length(6, 12))), F.concat(few(4, 8), F.lit("é"), sign("s"), F.substring(digits, 1, 2)),
     ]
     little = F.substring(prose, F.lit(1), length(1, 5))
     odd_common = [
@@ -227,13 +230,13 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED, first: int = 0) ->
     # a number is a secret where a password is spoken of, and not where a key or token is
     odd_near = F.when(F.pmod(F.xxhash64(F.lit("address"), i), F.lit(6)) == 0, IN_ADDRESS).otherwise(pick(SECRET_WORDS, "n"))
     odd_near = F.when(positive & F.col("odd").rlike("^[0-9]+$"), pick(PASSWORD_WORDS, "n")).otherwise(odd_near)
-    made = numbers.withColumn("secret", F.when(positive, chosen(secrets)).otherwise("")).withColumn("odd", F.when(positive, chosen(odd_secrets)).otherwise(chosen(odd_common)))
-    rows = made.select(
-        F.when(~usual, F.col("odd")).when(positive, F.col("secret")).when(beside, chosen(common)).otherwise(chosen(lookalikes)).alias("candidate"),
+    forms = numbers.select("id", F.when(positive, chosen(secrets)).otherwise("").alias("secret"), F.when(positive, chosen(odd_secrets)).otherwise(chosen(odd_common)).alias("odd"), F.when(beside, chosen(common)).otherwise(chosen(lookalikes)).alias("other"))
+    rows = cut(forms).select(
+        F.when(~usual, F.col("odd")).when(positive, F.col("secret")).otherwise(F.col("other")).alias("candidate"),
         F.when(usual, plain("b")).otherwise("").alias("before"), F.when(usual, near).otherwise(odd_near).alias("near"), F.when(usual, plain("a")).otherwise("").alias("after"),
         F.when(usual, path).otherwise(plain("p")).alias("path"), F.when(usual, label).otherwise(positive).cast("double").alias("label"), usual.alias("usual"),
     )
-    return rows.where(F.col("usual") | _is_odd(F.col("candidate"), F.col("near"))).drop("usual")
+    return cut(rows).where(F.col("usual") | _is_odd(F.col("candidate"), F.col("near"))).drop("usual")
 
 
 def fit_forest(findings: DataFrame, most: int = LABELLED) -> PipelineModel:
