@@ -60,3 +60,22 @@ def test_damage_is_found(spark, pages):
 @pytest.mark.parametrize("key", [0, 1, -1, 2**63 - 1, -(2**63), None])
 def test_record_ids(key):
     assert key_of(record_id(key)) == key
+
+
+def test_rows_that_share_an_id(spark):
+    """Of equal rows with the greatest id all are responses; rows of one id with other payloads are told apart."""
+    a, b = "a" * 2000, "b" * 2000
+    rows = [(5, "u", BIG), (5, "u", BIG), (5, "v", BIG), (3, "w", BIG), (3, "w", BIG), (7, "x", a), (7, "x", b), (8, "y", a), (None, "n", b), (None, "n", b)]
+    to = archive_folder(spark)
+    write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), to, file_bytes=2000, shard_bytes=4000)
+    got = sorted(((r["page_id"], r["url"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in read_warc(spark, to).collect()), key=str)
+    want = [(5, "u", 1502, "response", None)] * 2 + [(5, "v", 1502, "response", None)] + [(3, "w", 1502, "revisit", 5)] * 2 + [(7, "x", 2000, "revisit", 8), (7, "x", 2000, "response", None), (8, "y", 2000, "response", None)] + [(None, "n", 2000, "revisit", 7)] * 2
+    assert got == sorted(want, key=str)
+
+
+def test_a_very_long_page(spark):
+    long = "".join(hashlib.sha256(b"%d" % k).hexdigest() for k in range(200_000))
+    to = archive_folder(spark)
+    write_warc(spark.createDataFrame([(1, "u", long), (2, "v", long), (3, "w", "short")], "page_id long, url string, html string"), to)
+    got = {r["page_id"]: r for r in read_warc(spark, to, payloads=True).collect()}
+    assert got[2]["html"] == long and (got[1]["record_type"], got[1]["refers_to"], got[1]["payload_bytes"]) == ("revisit", 2, 12_800_000)
