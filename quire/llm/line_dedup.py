@@ -32,7 +32,7 @@ def _keys(lines: Column, min_chars: int) -> Column:
 
 
 def hashed_lines(docs: DataFrame, id: str, text: str, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, row (128-bit hash of the whole text, to tell repeated ids apart), pos and key (a, b) of each keyed line."""
+    """doc_id, row (64-bit hash of the whole text, to tell repeated ids apart: two texts of one id that share it share a bitmap), pos and key (a, b) of each keyed line."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(
         F.col(f"`{id}`").alias("doc_id"),

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from quire.llm.common import cut, shared_dir
+from quire.llm.common import cut, join_by_count
+from quire.sources.folders import run_folder
 
 #: Payloads of at least this many bytes are written once.
 REVISIT_BYTES = 1000
@@ -137,11 +138,11 @@ def first_copies(pages: DataFrame) -> DataFrame:
     """(key, refers_to) of the pages that repeat a payload of REVISIT_BYTES or more; pages has key, digest, bytes.
 
     Partial counts are made before the shuffle by digest, so copies of one payload in a third of all rows arrive as one
-    row a task.
+    row a task; those rows then stay where they are and meet a broadcast table of such payloads.
     """
     large = pages.where(F.col("bytes") >= REVISIT_BYTES)
-    groups = large.groupBy("digest", "bytes").agg(F.max("key").alias("first"), F.count(F.lit(1)).alias("n"))
-    again = large.join(groups.where("n > 1").drop("n"), ["digest", "bytes"])
+    groups = cut(large.groupBy("digest", "bytes").agg(F.max("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    again = join_by_count(large, groups, ["digest", "bytes"], large.count())
     return again.where(~F.col("key").eqNullSafe(F.col("first"))).select("key", "digest", F.col("first").alias("refers_to"))
 
 
@@ -282,5 +283,5 @@ def read_warc(spark: SparkSession, at: str, payloads: bool = False) -> DataFrame
 
 
 def archive_folder(spark: SparkSession) -> str:
-    """A new folder for archives in the shared folder."""
-    return f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    """A new folder for archives of one run in the shared folder; it goes when the driver's program ends. Give write_warc() a folder of your own to keep them."""
+    return run_folder(spark, "warc")
