@@ -32,6 +32,7 @@ def test_pipeline(spark, tmp_path):
     line = "Here is a line of some length that many of the documents share."
     token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
     more = [(10_000 + i, f"{r[1]}\n{line}\nthe token = \"{token[i:]}{token[:i]}\" of it", *r[2:]) for i, r in enumerate(clean[:12])]
+    more += [(15_000, " ".join(f"{r[1]}\n" for r in clean), "en", "s", 7)]  # all of them in one very long text
     more += [(20_000, None, "en", "s", 0), (20_001, "", "en", "s", 0), clean[0]]
     spark.createDataFrame(rows + more, base.schema).write.parquet(f"file://{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
@@ -64,3 +65,13 @@ def test_pipeline(spark, tmp_path):
     whole = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
     total = lambda rows: sorted({(r["doc_id"], r["doc_tokens"]) for r in rows})
     assert total(whole) == total(packed) and {i for i, _ in total(whole)} == set(once)
+
+
+def test_empty_table(spark, tmp_path):
+    """Every stage gives an empty table with the columns that it should have, and so does the whole."""
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, kept int")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (out.columns == docs.columns or name == "packing")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
