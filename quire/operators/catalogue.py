@@ -29,20 +29,25 @@ def weights(catalogue: DataFrame) -> DataFrame:
     return known.unionByName(catalogue.sparkSession.range(1).select(F.lit(None).cast("string").alias("term"), F.round(1000 * F.log(F.lit(1.0 + n))).cast("long").alias("w")))
 
 
+def _weight(term: Column) -> Column:
+    """The weight that a term begins with."""
+    return F.left(term, F.lit(10)).cast("long")
+
+
 def weighed(titles: DataFrame, id: str, known: DataFrame) -> DataFrame:
-    """(id, terms, total) of titles (id, title): terms are (w, term), heaviest first."""
+    """(id, terms, total) of titles (id, title): terms are texts that begin with their weight, heaviest first; so they are compared as plain texts, by hashing."""
     rows = titles.select(id, F.explode(trigrams(F.col("title"))).alias("term"))
     other = F.broadcast(known.where("term is null").select(F.col("w").alias("__other")))  # one row
     rows = rows.join(known.where("term is not null"), "term", "left").crossJoin(other)
-    term = F.struct((-F.coalesce("w", "__other")).alias("w"), "term")
-    held = rows.groupBy(id).agg(F.array_sort(F.collect_list(term)).alias("terms"))
-    return held.select(id, "terms", F.aggregate("terms", F.lit(0).cast("long"), lambda a, x: a - x["w"]).alias("total"))
+    term = F.concat(F.lpad(F.coalesce("w", "__other").cast("string"), 10, "0"), "term")
+    held = rows.groupBy(id).agg(F.sort_array(F.collect_list(term), asc=False).alias("terms"), F.sum(F.coalesce("w", "__other")).alias("total"))
+    return held.select(id, "terms", "total")
 
 
 def _posted(rows: DataFrame, id: str, least: float) -> DataFrame:
     """(id, term): a title's terms, heaviest first, as long as that and what follows weighs enough for a hit."""
     zero = F.struct(F.col("total").alias("left"), F.array().cast("array<string>").alias("kept"))
-    step = lambda a, x: F.struct((a["left"] + x["w"]).alias("left"), F.when(a["left"] >= least * F.col("total"), F.concat(a["kept"], F.array(x["term"]))).otherwise(a["kept"]).alias("kept"))
+    step = lambda a, x: F.struct((a["left"] - _weight(x)).alias("left"), F.when(a["left"] >= least * F.col("total"), F.concat(a["kept"], F.array(x))).otherwise(a["kept"]).alias("kept"))
     return rows.select(id, "total", F.explode(F.aggregate("terms", zero, step, lambda a: a["kept"])).alias("term"))
 
 
@@ -56,7 +61,7 @@ def ranked(books: DataFrame, catalogue: DataFrame, id: str, entry: str, least: f
     a, b = _posted(own, id, least), _posted(theirs, entry, least).withColumnRenamed("total", "__total")
     pairs = a.join(b, "term").where((F.col("__total") >= least * F.col("total")) & (F.col("total") >= least * F.col("__total"))).select(id, entry).distinct()
     both = pairs.join(own, id).join(theirs.select(entry, F.col("terms").alias("__terms"), F.col("total").alias("__total")), entry)
-    shared = F.aggregate(F.array_intersect("terms", "__terms"), F.lit(0).cast("long"), lambda s, x: s - x["w"])
+    shared = F.aggregate(F.array_intersect("terms", "__terms"), F.lit(0).cast("long"), lambda s, x: s + _weight(x))
     scored = both.select(id, entry, shared.alias("__s"), (F.col("total") + F.col("__total")).alias("__t")).select(id, entry, (F.col("__s") / (F.col("__t") - F.col("__s"))).alias("score"))
     rank = F.row_number().over(Window.partitionBy(id).orderBy(F.desc("score"), entry))
     return scored.where(F.col("score") >= least).withColumn("rank", rank).where(F.col("rank") <= most)
