@@ -102,6 +102,25 @@ def test_a_batch_writes_what_changes(spark, tmp_path):
     assert len(updated) == 6 and max(updated[1:]) <= min(updated[1:]) + 5 and max(updated) < 6100
 
 
+def test_a_readers_many_books_are_one_state(spark, tmp_path):
+    """Readers with a row or two in each of many books: one call and one state row a reader, not several a book."""
+    rows = [{"user_id": k % 3, "book": k % 700 if k % 11 else None, "ordinal": k, "requested": k % 2 == 0} for k in range(2000)]
+    batches(f"{tmp_path}/in", rows, 2)
+    stream = spark.readStream.schema("user_id long, book long, ordinal long, requested boolean").option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in")
+    seen = []
+    with state_by_entry(spark):
+        query = buffered(stream, 500).writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True)
+        query = query.foreachBatch(lambda df, n: seen.append({(x["user_id"], x["book"]): (x["anchor"], x["n_held"]) for x in df.collect()})).start()
+        query.awaitTermination()
+    anchors, held = {}, {}
+    for x in rows:
+        key = x["user_id"], x["book"]
+        anchors[key] = max(anchors.get(key, 0), x["ordinal"] if x["requested"] else 0)
+        held.setdefault(key, set()).add(x["ordinal"])
+    assert {**seen[0], **seen[1]} == {key: (anchors[key], sum(o >= anchors[key] - 500 for o in held[key])) for key in held}
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) == 6  # a null book stands apart
+
+
 def test_tokens_run_out_once(spark, tmp_path):
     at = lambda m: f"2024-05-01T{m // 60:02d}:{m % 60:02d}:00.000001"
     uses = {1: [0, 10, 20], 2: [5], 3: [0, 200], 4: [395]}
