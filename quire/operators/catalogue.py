@@ -4,14 +4,26 @@ A title is the set of its words' trigrams, so misspelt and reordered words still
 entries have it; weights are whole numbers, so scores are the same however sums are split. Two titles are as alike as
 the weight they share is of the weight that either has. Hits need at least `least` of that, which bounds the rarest
 trigram that both share: it must be among the first of either's, rarest first, before too little weight is left. Only
-those are posted and joined, so the trigrams that everything has never meet.
+those are posted. Each title is taken once, however many have it. Blocks of titles meet blocks of titles in a task,
+which adds up what any two share of their postings; only pairs that can still be hits leave it, so neither shuffles nor
+memory grow with the number of pairs, though the additions do. What leaves it is compared in full.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.folders import shared_dir
+
+#: A code is a trigram's weight, followed by so many bits of its number.
+WEIGHT = 48
+
+#: Titles in a block at most, about, and parts that the books of one title are dealt into.
+BLOCK, SALTS = 1 << 15, 8
+
 
 def trigrams(title: Column) -> Column:
     """The distinct trigrams of a title's words, each word with two spaces before it and one behind."""
@@ -22,49 +34,114 @@ def trigrams(title: Column) -> Column:
 
 
 def weights(catalogue: DataFrame) -> DataFrame:
-    """(term, w): how much each trigram of the catalogue's titles weighs, and a row with a null term for those it hasn't."""
-    n = catalogue.count()
-    each = catalogue.select(F.explode(trigrams(F.col("title"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """(term, w, code): how much each trigram of the catalogue's titles (title, n: how many have it) weighs, and a row with a null term for those it hasn't.
+
+    code is a number of the trigram's own that begins with its weight, so codes are ordered by weight. Kept in the shared folder, where codes stay what they are.
+    """
+    n = catalogue.agg(F.sum("n")).first()[0] or 0  # one number
+    each = catalogue.select("n", F.explode(trigrams(F.col("title"))).alias("term")).groupBy("term").agg(F.sum("n").alias("df"))
     known = each.select("term", F.round(1000 * F.log(1 + n / F.col("df"))).cast("long").alias("w"))
-    return known.unionByName(catalogue.sparkSession.range(1).select(F.lit(None).cast("string").alias("term"), F.round(1000 * F.log(F.lit(1.0 + n))).cast("long").alias("w")))
+    known = known.unionByName(catalogue.sparkSession.range(1).select(F.lit(None).cast("string").alias("term"), F.round(1000 * F.log(F.lit(1.0 + n))).cast("long").alias("w")))
+    return _kept(known.withColumn("code", F.shiftleft("w", WEIGHT) + F.monotonically_increasing_id()))
 
 
-def _weight(term: Column) -> Column:
-    """The weight that a term begins with."""
-    return F.left(term, F.lit(10)).cast("long")
+def _kept(rows: DataFrame) -> DataFrame:
+    shared_dir(rows.sparkSession)
+    return rows.checkpoint()
 
 
-def weighed(titles: DataFrame, id: str, known: DataFrame) -> DataFrame:
-    """(id, terms, total) of titles (id, title): terms are texts that begin with their weight, heaviest first; so they are compared as plain texts, by hashing."""
-    rows = titles.select(id, F.explode(trigrams(F.col("title"))).alias("term"))
-    other = F.broadcast(known.where("term is null").select(F.col("w").alias("__other")))  # one row
-    rows = rows.join(known.where("term is not null"), "term", "left").crossJoin(other)
-    term = F.concat(F.lpad(F.coalesce("w", "__other").cast("string"), 10, "0"), "term")
-    held = rows.groupBy(id).agg(F.sort_array(F.collect_list(term), asc=False).alias("terms"), F.sum(F.coalesce("w", "__other")).alias("total"))
-    return held.select(id, "terms", "total")
+def _weight(code: Column) -> Column:
+    return F.shiftright(code, WEIGHT)
+
 
+def weighed(titles: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """(key, title, total, terms, posted, rest) of distinct titles, kept: the weight of all their terms; the codes of those the catalogue has, heaviest first; how many of these are posted and what the others weigh.
 
-def _posted(rows: DataFrame, id: str, least: float) -> DataFrame:
-    """(id, term): a title's terms, heaviest first, as long as that and what follows weighs enough for a hit."""
-    zero = F.struct(F.col("total").alias("left"), F.array().cast("array<string>").alias("kept"))
-    step = lambda a, x: F.struct((a["left"] - _weight(x)).alias("left"), F.when(a["left"] >= least * F.col("total"), F.concat(a["kept"], F.array(x))).otherwise(a["kept"]).alias("kept"))
-    return rows.select(id, "total", F.explode(F.aggregate("terms", zero, step, lambda a: a["kept"])).alias("term"))
+    A term is posted as long as it and what follows weighs half as much as a hit needs; with so little left unposted, few pairs but hits pass for candidates.
+    """
+    rows = titles.select("title", F.explode(trigrams(F.col("title"))).alias("term"))
+    other = F.broadcast(known.where("term is null").select(F.col("w").alias("__other")))  # one row
+    rows = rows.join(known.where("term is not null"), "term", "left").crossJoin(other)
+    held = rows.groupBy("title").agg(F.sort_array(F.collect_list("code"), asc=False).alias("terms"), F.sum(F.coalesce("w", "__other")).alias("total"))
+    weight = F.aggregate("terms", F.lit(0).cast("long"), lambda s, x: s + _weight(x))
+    zero = F.struct(weight.alias("left"), F.lit(0).alias("posted"))
+    step = lambda a, x: F.when(a["left"] >= least / 2 * F.col("total"), F.struct((a["left"] - _weight(x)).alias("left"), (a["posted"] + 1).alias("posted"))).otherwise(a)
+    held = held.withColumn("p", F.aggregate("terms", zero, step))
+    return _kept(held.select(F.monotonically_increasing_id().alias("key"), "title", "total", "terms", F.col("p.posted").alias("posted"), F.col("p.left").alias("rest")))
+
+
+def _columns(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """key, total, rest of titles, and of all their postings row and code."""
+    key, total, rest = (t.column(c).to_numpy() for c in ("key", "total", "rest"))
+    lists = t.column("codes").combine_chunks()
+    return key, total, rest, np.repeat(np.arange(len(key)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+
+
+def _near(least: float):
+    share = least / (1 + least) * (1 - 1e-9)  # of what both weigh, that hits share at least
+
+    def near(a: pa.Table, b: pa.Table) -> pa.Table:
+        """The pairs of a block of books' titles and one of the catalogue's that may be hits.
+
+        What two titles share beyond what both have posted lies in the rest of the one whose postings end first.
+        """
+        (key, total, rest, row, code), (other, total_b, rest_b, row_b, code_b) = _columns(a), _columns(b)
+        by = np.argsort(code_b, kind="stable")
+        terms, first = np.unique(code_b[by], return_index=True)
+        holders = np.split(row_b[by], first[1:])
+        place = np.searchsorted(terms, code)
+        met = np.append(terms, -1)[place] == code
+        row, code, place = row[met], code[met], place[met]
+        bounds, weight, need = np.searchsorted(row, np.arange(len(key) + 1)), (code >> WEIGHT).astype("float64"), total_b * share
+        found, shared = [], np.empty(len(other))
+        for k in range(len(key)):
+            shared[:] = 0
+            for p in range(bounds[k], bounds[k + 1]):
+                shared[holders[place[p]]] += weight[p]
+            hits = np.flatnonzero((shared + np.maximum(rest_b, rest[k]) >= need + total[k] * share) & (shared > 0))
+            found.append((np.full(len(hits), key[k]), other[hits]))
+        keys = [np.concatenate([np.empty(0, "int64"), *x]) for x in zip(*found, strict=True)] or [np.empty(0, "int64")] * 2
+        return pa.table({"key": keys[0], "other": keys[1]})
+
+    return near
+
+
+def _blocks(n: int) -> int:
+    """Into how many blocks so many titles are dealt: none is of more than about BLOCK, and a few there are even of few titles."""
+    return max(1, min(n >> 10, 4), -(-n // BLOCK))
+
+
+def candidates(own: DataFrame, theirs: DataFrame, least: float) -> DataFrame:
+    """(key, other): the pairs of weighed titles that may be hits. Each block of the ones meets each of the others in a task; nothing but the pairs found comes out."""
+    n, m = _blocks(own.count()), _blocks(theirs.count())
+    block = lambda of, by: F.pmod(F.xxhash64("title"), F.lit(of)).cast("int").alias(by)
+    every = lambda of, by: F.explode(F.sequence(F.lit(0), F.lit(of - 1))).alias(by)
+    plain = lambda rows, *by: rows.select("key", "total", "rest", F.slice("terms", 1, F.col("posted")).alias("codes"), *by).repartition(2 * n * m, "i", "j")
+    a, b = plain(own.where("posted > 0"), block(n, "i"), every(m, "j")), plain(theirs.where("posted > 0"), every(n, "i"), block(m, "j"))
+    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(_near(least), "key bigint, other bigint")
 
 
 def ranked(books: DataFrame, catalogue: DataFrame, id: str, entry: str, least: float = 0.3, most: int = 5) -> DataFrame:
     """(id, entry, score, rank): each book's best entries, at most `most` of them, none below `least`; of equal ones the smaller entry first.
 
     books have id and title, the catalogue has entry and title, both with a row per key. Titles without letters or digits, and null ones, find nothing.
+    Titles are compared once, however many books or entries have them: of a title's entries only the first `most` can be among the best.
     """
-    known = weights(catalogue.select("title"))
-    own, theirs = weighed(books, id, known), weighed(catalogue, entry, known)
-    a, b = _posted(own, id, least), _posted(theirs, entry, least).withColumnRenamed("total", "__total")
-    pairs = a.join(b, "term").where((F.col("__total") >= least * F.col("total")) & (F.col("total") >= least * F.col("__total"))).select(id, entry).distinct()
-    both = pairs.join(own, id).join(theirs.select(entry, F.col("terms").alias("__terms"), F.col("total").alias("__total")), entry)
+    known = weights(catalogue.groupBy("title").agg(F.count(F.lit(1)).alias("n")))
+    own, theirs = weighed(books.select("title").distinct(), known, least), weighed(catalogue.select("title").distinct(), known, least)
+    other = theirs.select(F.col("key").alias("other"), F.col("title").alias("__title"), F.col("total").alias("__total"), F.col("terms").alias("__terms"))
+    both = candidates(own, theirs, least).join(own.select("key", "title", "total", "terms"), "key").join(other, "other")
     shared = F.aggregate(F.array_intersect("terms", "__terms"), F.lit(0).cast("long"), lambda s, x: s + _weight(x))
-    scored = both.select(id, entry, shared.alias("__s"), (F.col("total") + F.col("__total")).alias("__t")).select(id, entry, (F.col("__s") / (F.col("__t") - F.col("__s"))).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(id).orderBy(F.desc("score"), entry))
-    return scored.where(F.col("score") >= least).withColumn("rank", rank).where(F.col("rank") <= most)
+    scored = both.select("title", "__title", shared.alias("__s"), (F.col("total") + F.col("__total")).alias("__t"))
+    scored = scored.select("title", "__title", (F.col("__s") / (F.col("__t") - F.col("__s"))).alias("score")).where(F.col("score") >= least)
+    nth = F.row_number().over(Window.partitionBy("title").orderBy(entry))
+    firsts = catalogue.select(F.col("title"), entry).withColumn("__n", nth).where(F.col("__n") <= most).select(F.col("title").alias("__title"), entry)
+    rank = F.row_number().over(Window.partitionBy("title").orderBy(F.desc("score"), entry))
+    best = scored.join(firsts, "__title").select("title", entry, "score").withColumn("rank", rank).where(F.col("rank") <= most)
+    # many books may have one title, so the hits go out to salted rows
+    best = best.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = books.select(id, "title", F.pmod(F.xxhash64(id), F.lit(SALTS)).cast("int").alias("__salt"))
+    return rows.join(best, ["title", "__salt"]).select(id, entry, "score", "rank")
 
 
 def searched(books: DataFrame, catalogue: DataFrame, id: str, entry: str, featured: str, least: float = 0.3, most: int = 5) -> DataFrame:
