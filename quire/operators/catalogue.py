@@ -85,6 +85,8 @@ def _near(least: float):
 
         What two titles share beyond what both have posted lies in the rest of the one whose postings end first.
         """
+        if not (a.num_rows and b.num_rows):
+            return pa.table({"key": pa.array([], "int64"), "other": pa.array([], "int64")})
         (key, total, rest, row, code), (other, total_b, rest_b, row_b, code_b) = _columns(a), _columns(b)
         by = np.argsort(code_b, kind="stable")
         terms, first = np.unique(code_b[by], return_index=True)
@@ -100,8 +102,7 @@ def _near(least: float):
                 shared[holders[place[p]]] += weight[p]
             hits = np.flatnonzero((shared + np.maximum(rest_b, rest[k]) >= need + total[k] * share) & (shared > 0))
             found.append((np.full(len(hits), key[k]), other[hits]))
-        keys = [np.concatenate([np.empty(0, "int64"), *x]) for x in zip(*found, strict=True)] or [np.empty(0, "int64")] * 2
-        return pa.table({"key": keys[0], "other": keys[1]})
+        return pa.table(dict(zip(("key", "other"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     return near
 

@@ -81,9 +81,10 @@ def test_copies_are_compared_once(spark, titles, monkeypatch):
     """Thousands of books and entries of one title are one pair of titles; and titles in many blocks find what they find in one."""
     of = lambda name: spark.range(3000).select(F.col("id").cast("int").alias(name), F.lit("The same title").alias("title"))
     known = C.weights(of("entry").groupBy("title").agg(F.count(F.lit(1)).alias("n")))
-    once = C.weighed(of("book").select("title").distinct(), known, 0.3)
-    assert C.candidates(once, once, 0.3).count() == 1
+    own, theirs = (C.weighed(of(x).select("title").distinct(), known, 0.3) for x in ("book", "entry"))
+    assert C.candidates(own, theirs, 0.3).count() == 1
     found = C.ranked(of("book"), of("entry"), "book", "entry")
+    assert C.ranked(of("book"), of("entry").where("entry < 0"), "book", "entry").count() == 0
     assert [tuple(x) for x in found.groupBy("entry", "rank", "score").count().orderBy("rank").collect()] == [(k, k + 1, 1.0, 3000) for k in range(5)]
     books, entries = (spark.createDataFrame(rows, f"{name} int, title string") for rows, name in zip(titles, ("book", "entry"), strict=True))
     rows = lambda: sorted(map(tuple, C.ranked(books, entries, "book", "entry").collect()))
