@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html as markup
+import re
 from dataclasses import dataclass
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -138,6 +140,19 @@ def unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: markup.unescape(x) if x and "&" in x else x)
 
 
+REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def closed_decoded(text: str) -> str:
+    """References that end in a semicolon decoded; others stay, as in XHTML, where they are none."""
+    return REFERENCE.sub(lambda m: markup.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0], text)
+
+
+@F.pandas_udf(StringType())
+def closed_unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: closed_decoded(x) if x and "&" in x else x)
+
+
 #: Stand for a < and an & in content that is text; no text holds them.
 LESS, AND = "\ufdd4", "\ufdd5"
 
@@ -155,11 +170,12 @@ def raw_marked(html: Column) -> Column:
     return F.when(html.rlike(rf"(?i)<(?:{'|'.join((*DECODED, *PLAIN))})[\s>]"), all_marked(html)).otherwise(html)
 
 
-def linear(html: Column) -> Column:
+def linear(html: Column, closed: bool = False) -> Column:
     """Readable text of markup: a full stop and a space where a block ends, unless a stop or a space is there.
 
     References are decoded, line breaks become spaces, texts of white space alone are left out. A paragraph or list
-    item without an end tag ends where HTML ends it. What is text by HTML's rules, as within textarea and noscript, stays as it is.
+    item without an end tag ends where HTML ends it. With `closed`, only references that end in a semicolon are ones; HTML
+    also reads &amp and some others without it. What is text by HTML's rules, as within textarea and noscript, stays as it is.
     """
     tag, white = f"(?s){TAG}", r"(?:[\s\u0085\u00a0]|&nbsp;|&#160;|&#[xX][aA]0;)"
     c = F.regexp_replace(self_closing_fixed(html), r"(?s)<!--.*?(?:-->|\z)", "<!>")
@@ -170,7 +186,7 @@ def linear(html: Column) -> Column:
     c = F.regexp_replace(c, rf"(?i)(<p(?:\s[^>]*)?>[^<]*+(?:<(?!/?(?:{'|'.join(CLOSE_P)})[\s/>])[^<]*+)*+)(?=<(?!/p[\s>]))", "$1</p>")
     c = F.regexp_replace(c, r"(?i)(<li(?:\s[^>]*)?>[^<]*+(?:<(?!/?(?:li|ul|ol|menu|dir)[\s>])[^<]*+)*+)(?=<(?!/li[\s>]))(?!<(?:ul|ol|menu|dir)[\s>])", "$1</li>")
     c = F.regexp_replace(F.regexp_replace(c, rf"(?i)(^|>){white}+(?=<|\z)", "$1"), rf"(?i)</(?:{'|'.join(BLOCKS)})(?:\s[^>]*)?>", END)
-    c = F.replace(unescaped(F.regexp_replace(c, tag, "")), F.lit("\n"), F.lit(" "))
+    c = F.replace((closed_unescaped if closed else unescaped)(F.regexp_replace(c, tag, "")), F.lit("\n"), F.lit(" "))
     c = F.regexp_replace(F.regexp_replace(c, f"{END}+", END), rf"(?s)\A{END}|(?<=[.!? ]){END}", "")
     c = F.replace(c, F.lit(END), F.lit(". "))
     return F.replace(F.replace(c, F.lit(LESS), F.lit("<")), F.lit(AND), F.lit("&"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import BLOCKS, CLOSE_P, PLAIN, SKIPPED, TAG, unescaped
+from quire.functions.text import BLOCKS, CLOSE_P, PLAIN, SKIPPED, TAG, closed_decoded, unescaped
 
 #: Fixed values of HTML: elements without content, and elements whose content is text up to their own end tag.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -130,7 +130,7 @@ def tree(html: str, events: list[tuple] | None = None) -> list[dict]:
     return rows
 
 
-def spans(html: str) -> list[dict]:
+def spans(html: str, closed: bool = False) -> list[dict]:
     """The readable texts of a page in order: where each stands in the page and where in the linear text, which is all of them with a full stop and a space where a block ends."""
     events: list[tuple] = []
     rows, out, at, last = tree(html, events), [], 0, ""
@@ -146,7 +146,7 @@ def spans(html: str) -> list[dict]:
         if node is not None and skipped[node]:
             continue
         said = html[start:stop]
-        said = said if node is not None and rows[node]["name"] in PLAIN else unescape(said)
+        said = said if node is not None and rows[node]["name"] in PLAIN else (closed_decoded if closed else unescape)(said)
         if said.strip(WHITE):
             out.append({"n": len(out), "node": node, "source_start": start, "source_stop": stop, "start": at, "stop": at + len(said), "text": said.replace("\n", " ")})
             at, last = at + len(said), out[-1]["text"][-1]
@@ -156,11 +156,11 @@ def spans(html: str) -> list[dict]:
 SPANS = "n int, node int, source_start int, source_stop int, start int, stop int, text string"
 
 
-def text_spans(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+def text_spans(pages: DataFrame, key: str = "page_id", html: str = "html", closed: bool = False) -> DataFrame:
     """A row per readable text of each page: the element it stands in, its place in the page (source_start, source_stop) and in the linear text (start, stop), in characters, and the text, references decoded.
 
     Texts of white space alone, and those of scripts, styles and what else isn't read, are left out. Between two texts the linear text has a full stop
-    and a space where a block ends after anything but a stop or a space. A null or empty page has none.
+    and a space where a block ends after anything but a stop or a space. A null or empty page has none. References are read as linear() reads them.
     """
     kind = pages.schema[key].dataType.simpleString()
 
@@ -168,7 +168,7 @@ def text_spans(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
         names = [x.split(" ")[0] for x in SPANS.split(", ")]
         for batch in batches:
             for k in range(batch.num_rows):
-                rows = spans(batch.column(1)[k].as_py() or "")
+                rows = spans(batch.column(1)[k].as_py() or "", closed)
                 if rows:
                     columns = [pa.array([r[c] for r in rows], pa.string() if c == "text" else pa.int32()) for c in names]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(rows))), *columns], names=[key, *names])

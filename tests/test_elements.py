@@ -1,10 +1,12 @@
 """Selectors over element tables against a walk over nested lists."""
 
 import random
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from quire.functions.text import linear
 from quire.operators import elements as E
 
@@ -197,3 +199,17 @@ def test_spans_of_pages_make_their_linear_text(spark):
     made = {x["page_id"]: x["text"] for x in E.linear_from(E.text_spans(pages)).collect()}
     assert made.keys() == whole.keys() and all(whole[k] in (made[k], made[k] + ". ") for k in made)
     assert E.text_spans(spark.createDataFrame([(1, None), (2, "")], "page_id long, html string")).count() == 0
+
+
+def test_open_references(spark):
+    """&amp and the like without a semicolon: read as HTML reads them, or left alone."""
+    html = "<h1>A &amp; B &amp</h1><p>&copy x &ampx; &lt;b&gt; &#65;&#66 &nosuch; &amp;amp</p>"
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    for closed, text in ((False, "A & B &. © x &x; <b> AB &nosuch; &amp"), (True, "A & B &amp. &copy x &ampx; <b> A&#66 &nosuch; &amp")):
+        assert pages.select(linear(F.col("html"), closed)).first()[0] == text + ". "
+        assert E.linear_from(E.text_spans(pages, closed=closed)).first()["text"] == text
+    rows = {name: __spark_entry__.queries()[name] for name in ("linearize_pages", "linear_spans")}
+    with tempfile.TemporaryDirectory() as d:
+        pages.write.parquet(f"{d}/pages.parquet")
+        assert {name: f(spark, d).first()["text"].removesuffix(". ") for name, f in rows.items()} == dict.fromkeys(rows, text)
+        assert rows["linear_spans"](spark, d).first()["sound"]
