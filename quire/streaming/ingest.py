@@ -36,9 +36,13 @@ def ingest(spark: SparkSession, root: str, catalogue: KeyedTable, quarantine: Ke
     """
 
     def take(files: DataFrame, number: int) -> None:
+        # the batch's own session: a batch is small, but its broadcasts would pass through the driver with every batch
+        session = files.sparkSession
+        session.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        session.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", -1)
         good, bad = judged(files.select("path", "content"))
-        catalogue.upsert(good, source="ingest", number=number)
-        quarantine.upsert(bad, source="ingest", number=number)
+        for table, rows in ((catalogue, good), (quarantine, bad)):
+            KeyedTable(session, table.root, table.keys, table.n).upsert(rows, source="ingest", number=number)
 
     writer = arriving(spark, root, files_per_batch).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

@@ -57,6 +57,23 @@ def test_ingest_is_stopped_and_started_again(spark, tmp_path, monkeypatch):
     assert sorted(bad) == [(f"a/{k}.epub", "unreadable") for k in (0, 3, 6)]
 
 
+def test_ingest_broadcasts_nothing(spark, tmp_path, monkeypatch):
+    """A batch's joins send nothing through the driver; the session's own threshold stays as it was."""
+    key, seen, own = "spark.sql.autoBroadcastJoinThreshold", [], KeyedTable.upsert
+
+    def told(self, changes, **more):
+        seen.append((self.spark.conf.get(key), changes.sparkSession.conf.get(key), "Broadcast" in changes._jdf.queryExecution().executedPlan().toString()))
+        return own(self, changes, **more)
+
+    put(f"{tmp_path}/in", {"a/0.epub": titled(0), "a/1.epub": b"no zip"})
+    before = spark.conf.get(key)
+    monkeypatch.setattr(KeyedTable, "upsert", told)
+    tables = [KeyedTable(spark, f"file://{tmp_path}/{x}", ["path"], buckets=4) for x in ("good", "bad")]
+    I.ingest(spark, f"{tmp_path}/in", *tables, f"{tmp_path}/checkpoint").awaitTermination()
+    assert seen == [("-1", "-1", False)] * 2 and spark.conf.get(key) == before != "-1"
+    assert [t.read().count() for t in tables] == [1, 1]
+
+
 def batches(folder, rows, n):
     """Parquet-free input: a JSON file per batch."""
     os.makedirs(folder)
