@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from html.entities import html5
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -216,6 +217,18 @@ def search_form(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
 
 
+#: Bytes of ASCII letters and digits; all others, those of longer characters too, are dropped from search forms.
+ALNUM = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+LOWER, OTHERS = bytes(range(256)).lower(), bytes(b for b in range(256) if b not in ALNUM)
+
+
+@F.arrow_udf(StringType())
+def search_forms(texts: pa.Array) -> pa.Array:
+    """search_form() of whole texts, by a table of bytes: the pattern is matched anew at each sign it drops. Not for use within lambdas."""
+    forms = [None if x is None else x.translate(LOWER, OTHERS) for x in texts.cast(pa.binary()).to_pylist()]
+    return pa.array(forms, pa.binary()).cast(pa.string())
+
+
 def end_trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"[ .!?]+\z", "")
 

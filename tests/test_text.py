@@ -198,3 +198,13 @@ def test_names(spark):
     for given, titled in (("ch. 12 and Chapter 3", "Chapter 7 and Chapter 3"), ("Chapter : 3", "Chapter 7"), ("The CHAPTER - 3: x", "The Chapter 7: x"), ("Chapters 3", "Chapters 3"), ("ch3", "Chapter 7")):
         assert value(spark, N.chapter_titled(F.col("x"), F.lit(7)), x=given) == titled
     assert value(spark, N.play_order(F.col("x")), x="x1") == 0
+
+
+def test_whole_texts_search_forms(spark):
+    """The same as search_form(), and no pattern is matched at each sign."""
+    texts = [None, "", "Aé1—日本 Zz_9\n", "\U0001f600!?", "KKİi", "\0a\x7fB", "x" * 100_000 + "É" * 100_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, x string").select("x", T.search_forms(F.col("x")).alias("whole"), T.search_form(F.col("x")).alias("plain"))
+    found = rows.collect()
+    assert len(found) == len(texts) and all(r["whole"] == r["plain"] for r in found)
+    forms = rows.select("whole")
+    assert "regexp_replace" not in forms._jdf.queryExecution().executedPlan().toString().lower()
