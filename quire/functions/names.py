@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from quire.functions.text import ALNUM, LOWER
 
 #: Content types of covers by suffix; all others are octet streams.
 CONTENT_TYPES = (("jpg", "image/jpeg"), ("jpeg", "image/jpeg"), ("png", "image/png"))
 
 
+#: Bytes of ASCII letters and digits in lower case; all others become spaces.
+SPACED = bytes(LOWER[b] if b in ALNUM else 32 for b in range(256))
+
+
+@F.arrow_udf(StringType())
+def hyphenated(names: pa.Array) -> pa.Array:
+    """ASCII letters and digits in lower case, one hyphen for what stands between them; by a table of bytes, as names may be whole texts."""
+    found = [None if x is None else b"-".join(x.translate(SPACED).split()) for x in names.cast(pa.binary()).to_pylist()]
+    return pa.array(found, pa.binary()).cast(pa.string())
+
+
 def slug(c: Column, prefix: str = "book") -> Column:
     """ASCII letters and digits in lower case, all else one hyphen; a hash of the name where nothing is left."""
-    s = F.btrim(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", "-")), F.lit("-"))
+    s = hyphenated(c)
     return F.when(s != "", s).otherwise(F.concat(F.lit(f"{prefix}-"), F.lower(F.hex(F.xxhash64(c)))))
 
 

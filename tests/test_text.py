@@ -208,3 +208,14 @@ def test_whole_texts_search_forms(spark):
     assert len(found) == len(texts) and all(r["whole"] == r["plain"] for r in found)
     forms = rows.select("whole")
     assert "regexp_replace" not in forms._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_slugs_of_whole_texts(spark):
+    """As the pattern has them, and no pattern is matched at each gap."""
+    texts = ["", "--", "Aé1—日本 Zz_9\n", "\U0001f600!?", "KKİi", "\0a\x7f\x1cB", "one long name " * 20_000]
+    rows = spark.createDataFrame(list(enumerate([None, *texts])), "k int, x string")
+    by_pattern = F.btrim(F.lower(F.regexp_replace("x", "[^A-Za-z0-9]+", "-")), F.lit("-"))
+    found = rows.select("x", N.slug(F.col("x")).alias("slug"), by_pattern.alias("plain")).collect()
+    assert all(r["slug"] == r["plain"] if r["plain"] else r["slug"].startswith("book-") for r in found[1:])
+    assert found[0]["slug"] == rows.where("x is null").select(F.concat(F.lit("book-"), F.lower(F.hex(F.xxhash64("x"))))).first()[0]
+    assert "regexp_replace" not in rows.select(N.slug(F.col("x")))._jdf.queryExecution().executedPlan().toString().lower()
