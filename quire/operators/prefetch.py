@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from quire.operators.cursors import chapter_starts
 
+#: Ordinals in a part of a fetch queue's input, about.
+PART = 1 << 21
+
 
 def wanted(requests: DataFrame, n: int, after: int = 0) -> DataFrame:
     """The n ordinals from `after` past each request's own, within the book: user_id, book, start, ordinal."""
@@ -34,15 +37,22 @@ def missing(requests: DataFrame, cache: DataFrame, n: int) -> DataFrame:
 def fetch_queue(requests: DataFrame, cache: DataFrame, size: int) -> DataFrame:
     """What to fetch: the missing of the next `size`, and what is missing of 2 * size beyond the last of those.
 
-    A request whose next `size` are all buffered asks for nothing. Distinct, never buffered; `place` is the order.
+    A request whose next `size` are all buffered asks for nothing. Distinct, never buffered; `place` is the order. Of a
+    reader's buffer only the window that a request can ask for is gathered. Rows are dealt into parts of about PART
+    ordinals: shuffles of ordinals pack so well that Spark, left to itself, puts very many of them into a task.
     """
-    gaps = missing(requests, cache, size)
-    last = gaps.groupBy("user_id", "book", "start").agg(F.max("ordinal").alias("__last"))
-    further = requests.withColumnRenamed("ordinal", "start").join(last, ["user_id", "book", "start"])
-    stop = F.least(F.col("__last") + 2 * size, F.col("total") - 1)
-    ahead = further.where(F.col("__last") + 1 <= stop).select("user_id", "book", F.explode(F.sequence(F.col("__last") + 1, stop)).alias("ordinal"))
-    queue = gaps.select("user_id", "book", "ordinal").unionByName(ahead).distinct().join(cache, ["user_id", "book", "ordinal"], "left_anti")
-    return queue.withColumn("place", F.row_number().over(Window.partitionBy("user_id", "book").orderBy("ordinal")) - 1)
+    most = requests.agg(F.sum("total") + F.count(F.lit(1)) * 3 * size).first()[0] or 0  # one number
+    dealt = lambda rows: rows.repartition(-(-int(most) // PART) or 1, "user_id", "book")
+    own = dealt(requests.select("user_id", "book", F.col("ordinal").alias("start"), "total"))
+    held = own.join(dealt(cache.select("user_id", "book", F.col("ordinal").alias("__o"))), ["user_id", "book"], "left")
+    near = F.col("__o").between(F.col("start"), F.col("start") + 3 * size - 1)
+    rows = held.groupBy("user_id", "book", "start", "total").agg(F.collect_set(F.when(near, F.col("__o"))).alias("__held"))
+    upto = lambda first, n: F.when(first < F.col("total"), F.sequence(first, F.least(first + n, F.col("total")) - 1)).otherwise(F.array().cast("array<bigint>"))
+    rows = rows.withColumn("__gaps", F.array_except(upto(F.col("start"), size), "__held"))
+    last = F.array_max("__gaps")
+    further = F.when(last.isNotNull(), F.array_except(upto(last + 1, 2 * size), "__held")).otherwise(F.array().cast("array<bigint>"))
+    queues = rows.groupBy("user_id", "book").agg(F.flatten(F.collect_list(F.concat("__gaps", further))).alias("__queue"))
+    return queues.select("user_id", "book", F.posexplode(F.sort_array(F.array_distinct("__queue"))).alias("place", "ordinal")).select("user_id", "book", "ordinal", "place")
 
 
 def trimmed(cache: DataFrame, anchors: DataFrame, steps: int) -> DataFrame:

@@ -95,3 +95,20 @@ def test_upsert(spark):
     assert sorted(map(tuple, L.upsert(table, changes, ["name"]).collect())) == [("Alice", 40, "x"), ("Bob", 1, None)]
     whole = L.upsert(table, changes, ["name"], partial=False)
     assert sorted(map(tuple, whole.collect())) == [("Alice", 40, None), ("Bob", 1, None)]
+
+
+def test_queue_is_dealt_by_ordinals(spark, monkeypatch):
+    """Several requests of a reader, and buffers in many parts; the parts grow with the ordinals, and Spark doesn't put them together."""
+    asked = [(u, b, (u * 7 + b * 3) % 30, 31) for u in range(6) for b in range(5)] + [(1, 1, 2, 31), (1, 1, 28, 31), (2, 2, 30, 31)]
+    held = {(u, b, o) for u in range(1, 6) for b in range(5) for o in range(31) if (u + b + o) % 4 and (u != 3 or o < 29)} | {(5, 5, 1)}
+    want = {}
+    for u, b, o, total in asked:
+        gaps = [x for x in range(o, min(o + 4, total)) if (u, b, x) not in held]
+        more = [x for x in range(gaps[-1] + 1, min(gaps[-1] + 9, total)) if (u, b, x) not in held] if gaps else []
+        want.setdefault((u, b), set()).update(gaps + more)
+    monkeypatch.setattr(P, "PART", 100)
+    rows = P.fetch_queue(
+        spark.createDataFrame(asked, "user_id long, book long, ordinal long, total long"), spark.createDataFrame(sorted(held), "user_id long, book long, ordinal long"), 4
+    )
+    assert sorted(map(tuple, rows.collect())) == sorted((u, b, o, k) for (u, b), found in want.items() for k, o in enumerate(sorted(found)))
+    assert rows.rdd.getNumPartitions() == -(-len(asked) * (31 + 12) // 100)
