@@ -77,13 +77,16 @@ def unpacked(path, source, wanted=None, data=True, most_entries=MOST_ENTRIES, mo
 def zip_entries(containers: DataFrame, most_entries=MOST_ENTRIES, most_total=MOST_TOTAL, most_entry=MOST_ENTRY, most_ratio=MOST_RATIO) -> DataFrame:
     """containers (path, content) to a row per entry in archive order; see unpacked()."""
 
-    def unpack(batches):
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for rows in unpacked(path, io.BytesIO(content or b""), None, True, most_entries, most_total, most_entry, most_ratio):
-                    yield entry_rows(rows)
+    limits = (most_entries, most_total, most_entry, most_ratio)
+    return containers.select("path", "content").mapInArrow(lambda batches: unpacked_batches(batches, limits), ENTRIES)
 
-    return containers.select("path", "content").mapInArrow(unpack, ENTRIES)
+
+def unpacked_batches(batches: Iterator[pa.RecordBatch], limits: tuple) -> Iterator[pa.RecordBatch]:
+    """Entry rows of batches (path, content): beside the Arrow batch only one container is held at a time."""
+    for batch in batches:
+        for path, content in zip(*batch.columns, strict=True):
+            for rows in unpacked(path.as_py(), io.BytesIO(content.as_py() or b""), None, True, *limits):
+                yield entry_rows(rows)
 
 
 def entry_rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -1,11 +1,14 @@
 """Containers made here, whole and broken."""
 
 import io
+import os
 import pathlib
 import subprocess
 import sys
+import tracemalloc
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +198,16 @@ def test_built_books_are_sound(spark):
     rows = spark.createDataFrame([(1, 0, "A & B", "<p>x</p>"), (1, 1, "C", "<p>y</p>"), (2, 0, "D", "<p>z</p>")], "book long, chapter int, title string, html string")
     e = A.zip_entries(A.build_books(rows).select(F.col("book").cast("string").alias("path"), "content"))
     assert {r["path"]: r["status"] for r in A.integrity(e).collect()} == {"1": "ok", "2": "ok"}
+
+
+def test_one_container_is_held_at_a_time():
+    """Of a batch of 64 containers of a megabyte, no more than a few are ever beside it in memory."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a", os.urandom(1 << 20))
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(64)]), pa.array([out.getvalue()] * 64, pa.binary())], ["path", "content"])
+    tracemalloc.start()
+    found = [b.column(0)[0].as_py() for b in A.unpacked_batches(iter([batch]), (10, 1 << 30, 1 << 30, 100))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [str(k) for k in range(64)] and peak < 16 << 20
