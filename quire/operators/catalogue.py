@@ -5,16 +5,18 @@ entries have it; weights are whole numbers, so scores are the same however sums
 the weight they share is of the weight that either has. Hits need at least `least` of that, which bounds the rarest
 trigram that both share: it must be among the first of either's, rarest first, before too little weight is left. Only
 those are posted. Each title is taken once, however many have it. Blocks of titles meet blocks of titles in a task,
-which adds up what any two share of their postings; only pairs that can still be hits leave it, so neither shuffles nor
-memory grow with the number of pairs, though the additions do. What leaves it is compared in full.
+which adds up what any two share of their postings and scores in full those that can still be hits; only each title's
+best hits leave it, so neither shuffles nor memory grow with the number of pairs, though the additions do.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quire.sources.folders import shared_dir
 
@@ -22,7 +24,7 @@ from quire.sources.folders import shared_dir
 WEIGHT = 48
 
 #: Titles in a block at most, about, and parts that the books of one title are dealt into.
-BLOCK, SALTS = 1 << 15, 8
+BLOCK, SALTS = 1 << 16, 8
 
 
 def trigrams(title: Column) -> Column:
@@ -55,54 +57,72 @@ def _weight(code: Column) -> Column:
 
 
 def weighed(titles: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """(key, title, total, terms, posted, rest) of distinct titles, kept: the weight of all their terms; the codes of those the catalogue has, heaviest first; how many of these are posted and what the others weigh.
+    """(key, title, total, terms, posted, rest) of distinct titles, and what other columns they have, kept: the weight of all their terms; the codes of those the catalogue has, heaviest first; how many of these are posted and what the others weigh.
 
     A term is posted as long as it and what follows weighs half as much as a hit needs; with so little left unposted, few pairs but hits pass for candidates.
     """
-    rows = titles.select("title", F.explode(trigrams(F.col("title"))).alias("term"))
+    rows = titles.select("*", F.explode(trigrams(F.col("title"))).alias("term"))
     other = F.broadcast(known.where("term is null").select(F.col("w").alias("__other")))  # one row
     rows = rows.join(known.where("term is not null"), "term", "left").crossJoin(other)
-    held = rows.groupBy("title").agg(F.sort_array(F.collect_list("code"), asc=False).alias("terms"), F.sum(F.coalesce("w", "__other")).alias("total"))
+    held = rows.groupBy(*titles.columns).agg(F.sort_array(F.collect_list("code"), asc=False).alias("terms"), F.sum(F.coalesce("w", "__other")).alias("total"))
     weight = F.aggregate("terms", F.lit(0).cast("long"), lambda s, x: s + _weight(x))
     zero = F.struct(weight.alias("left"), F.lit(0).alias("posted"))
     step = lambda a, x: F.when(a["left"] >= least / 2 * F.col("total"), F.struct((a["left"] - _weight(x)).alias("left"), (a["posted"] + 1).alias("posted"))).otherwise(a)
     held = held.withColumn("p", F.aggregate("terms", zero, step))
-    return _kept(held.select(F.monotonically_increasing_id().alias("key"), "title", "total", "terms", F.col("p.posted").alias("posted"), F.col("p.left").alias("rest")))
+    return _kept(held.select(F.monotonically_increasing_id().alias("key"), *titles.columns, "total", "terms", F.col("p.posted").alias("posted"), F.col("p.left").alias("rest")))
 
 
 def _columns(t: pa.Table) -> tuple[np.ndarray, ...]:
-    """key, total, rest of titles, and of all their postings row and code."""
-    key, total, rest = (t.column(c).to_numpy() for c in ("key", "total", "rest"))
-    lists = t.column("codes").combine_chunks()
-    return key, total, rest, np.repeat(np.arange(len(key)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    """key, total, rest, posted of titles, and of their terms the codes and where each title's begin and end."""
+    lists = t.column("terms").combine_chunks()
+    bounds = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+    return *(t.column(c).to_numpy() for c in ("key", "total", "rest", "posted")), lists.flatten().to_numpy(), bounds
 
 
-def _near(least: float):
+def _near(least: float, most: int, by: pa.DataType):
     share = least / (1 + least) * (1 - 1e-9)  # of what both weigh, that hits share at least
 
     def near(a: pa.Table, b: pa.Table) -> pa.Table:
-        """The pairs of a block of books' titles and one of the catalogue's that may be hits.
+        """The best hits of a block of books' titles in one of the catalogue's, at most `most` for a title.
 
-        What two titles share beyond what both have posted lies in the rest of the one whose postings end first.
+        What two titles share beyond what both have posted lies in the rest of the one whose postings end first. Those that
+        may be hits by that are scored by all their terms.
         """
-        if not (a.num_rows and b.num_rows):
-            return pa.table({"key": pa.array([], "int64"), "other": pa.array([], "int64")})
-        (key, total, rest, row, code), (other, total_b, rest_b, row_b, code_b) = _columns(a), _columns(b)
-        by = np.argsort(code_b, kind="stable")
-        terms, first = np.unique(code_b[by], return_index=True)
-        holders = np.split(row_b[by], first[1:])
-        place = np.searchsorted(terms, code)
-        met = np.append(terms, -1)[place] == code
-        row, code, place = row[met], code[met], place[met]
-        bounds, weight, need = np.searchsorted(row, np.arange(len(key) + 1)), (code >> WEIGHT).astype("float64"), total_b * share
-        found, shared = [], np.empty(len(other))
-        for k in range(len(key)):
-            shared[:] = 0
-            for p in range(bounds[k], bounds[k + 1]):
-                shared[holders[place[p]]] += weight[p]
-            hits = np.flatnonzero((shared + np.maximum(rest_b, rest[k]) >= need + total[k] * share) & (shared > 0))
-            found.append((np.full(len(hits), key[k]), other[hits]))
-        return pa.table(dict(zip(("key", "other"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+        out = {"key": [], "other": [], "score": [], "by": []}
+        if a.num_rows and b.num_rows:
+            key, total, rest, posted, code, bounds = _columns(a)
+            other, total_b, rest_b, posted_b, code_b, bounds_b = _columns(b)
+            first = b.column("by").combine_chunks()
+            sizes, order = np.diff(bounds_b), np.argsort(pc.sort_indices(first).to_numpy())
+            terms, held = np.unique(code_b, return_inverse=True)  # held: the places of the terms, title by title
+            known, held, row = np.append(terms, -1), held.astype("int32"), np.repeat(np.arange(len(other), dtype="int32"), sizes)
+            up = np.arange(len(held)) - bounds_b[row] < posted_b[row]
+            holders, ends = row[up][np.argsort(held[up], kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(held[up], minlength=len(terms)))))
+            need, shared, mark = total_b * share, np.empty(len(other)), np.zeros(len(terms) + 1, dtype="int64")
+            for k in range(len(key)):
+                own = code[bounds[k] : bounds[k + 1]]
+                place, weight = np.searchsorted(terms, own), own >> WEIGHT
+                place[known[place] != own] = len(terms)
+                shared[:] = 0
+                for p, w in zip(place[: posted[k]].tolist(), weight[: posted[k]].tolist(), strict=True):
+                    if p < len(terms):
+                        shared[holders[ends[p] : ends[p + 1]]] += w
+                hits = np.flatnonzero((shared + np.maximum(rest_b, rest[k]) >= need + total[k] * share) & (shared > 0))
+                if not len(hits):
+                    continue
+                mark[place], mark[-1] = weight, 0
+                start, size = bounds_b[hits], sizes[hits]
+                begin = np.cumsum(size) - size
+                both = np.add.reduceat(mark[held[np.repeat(start - begin, size) + np.arange(size.sum())]], begin)
+                mark[place] = 0
+                score = both / (total[k] + total_b[hits] - both)
+                best = np.lexsort((order[hits], -score))[:most]
+                best = best[score[best] >= least]
+                for c, x in (("key", np.full(len(best), key[k])), ("other", other[hits[best]]), ("score", score[best]), ("by", hits[best])):
+                    out[c].append(x)
+        if not out["key"]:
+            return pa.table({c: pa.array([], kind) for c, kind in (("key", pa.int64()), ("other", pa.int64()), ("score", pa.float64()), ("by", by))})
+        return pa.table({c: first.take(pa.array(np.concatenate(x))) if c == "by" else pa.array(np.concatenate(x)) for c, x in out.items()})
 
     return near
 
@@ -112,33 +132,36 @@ def _blocks(n: int) -> int:
     return max(1, min(n >> 10, 4), -(-n // BLOCK))
 
 
-def candidates(own: DataFrame, theirs: DataFrame, least: float) -> DataFrame:
-    """(key, other): the pairs of weighed titles that may be hits. Each block of the ones meets each of the others in a task; nothing but the pairs found comes out."""
+def candidates(own: DataFrame, theirs: DataFrame, least: float, most: int = 5, by: str = "key") -> DataFrame:
+    """(key, other, score, by): of each of the weighed titles `own` the best hits in each block of `theirs`, at most `most`; of equal ones those that come first `by` a column of theirs.
+
+    Each block of the ones meets each of the others in a task; nothing but these hits comes out, so it is no more than `most` rows a title and block.
+    """
     n, m = _blocks(own.count()), _blocks(theirs.count())
     block = lambda of, by: F.pmod(F.xxhash64("title"), F.lit(of)).cast("int").alias(by)
     every = lambda of, by: F.explode(F.sequence(F.lit(0), F.lit(of - 1))).alias(by)
-    plain = lambda rows, *by: rows.select("key", "total", "rest", F.slice("terms", 1, F.col("posted")).alias("codes"), *by).repartition(2 * n * m, "i", "j")
-    a, b = plain(own.where("posted > 0"), block(n, "i"), every(m, "j")), plain(theirs.where("posted > 0"), every(n, "i"), block(m, "j"))
-    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(_near(least), "key bigint, other bigint")
+    plain = lambda rows, *more: rows.select("key", "total", "rest", "posted", "terms", *more).repartition(8 * n * m, "i", "j")
+    a, b = plain(own.where("posted > 0"), block(n, "i"), every(m, "j")), plain(theirs.where("posted > 0"), F.col(by).alias("by"), every(n, "i"), block(m, "j"))
+    kind = b.schema["by"].dataType
+    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(_near(least, most, to_arrow_type(kind)), f"key bigint, other bigint, score double, by {kind.simpleString()}")
 
 
 def ranked(books: DataFrame, catalogue: DataFrame, id: str, entry: str, least: float = 0.3, most: int = 5) -> DataFrame:
     """(id, entry, score, rank): each book's best entries, at most `most` of them, none below `least`; of equal ones the smaller entry first.
 
     books have id and title, the catalogue has entry and title, both with a row per key. Titles without letters or digits, and null ones, find nothing.
-    Titles are compared once, however many books or entries have them: of a title's entries only the first `most` can be among the best.
+    Titles are compared once, however many books or entries have them: of a title's entries only the first `most` can be among the best, and
+    of titles only the best `most` by their first entries.
     """
-    known = weights(catalogue.groupBy("title").agg(F.count(F.lit(1)).alias("n")))
-    own, theirs = weighed(books.select("title").distinct(), known, least), weighed(catalogue.select("title").distinct(), known, least)
-    other = theirs.select(F.col("key").alias("other"), F.col("title").alias("__title"), F.col("total").alias("__total"), F.col("terms").alias("__terms"))
-    both = candidates(own, theirs, least).join(own.select("key", "title", "total", "terms"), "key").join(other, "other")
-    shared = F.aggregate(F.array_intersect("terms", "__terms"), F.lit(0).cast("long"), lambda s, x: s + _weight(x))
-    scored = both.select("title", "__title", shared.alias("__s"), (F.col("total") + F.col("__total")).alias("__t"))
-    scored = scored.select("title", "__title", (F.col("__s") / (F.col("__t") - F.col("__s"))).alias("score")).where(F.col("score") >= least)
+    held = catalogue.groupBy("title").agg(F.count(F.lit(1)).alias("n"), F.min(entry).alias("first"))
+    known = weights(held)
+    own, theirs = weighed(books.select("title").distinct(), known, least), weighed(held.select("title", "first"), known, least)
+    hits = candidates(own, theirs, least, most, "first")
+    hits = hits.withColumn("__n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "by"))).where(F.col("__n") <= most).select("key", "other", "score")
     nth = F.row_number().over(Window.partitionBy("title").orderBy(entry))
-    firsts = catalogue.select(F.col("title"), entry).withColumn("__n", nth).where(F.col("__n") <= most).select(F.col("title").alias("__title"), entry)
-    rank = F.row_number().over(Window.partitionBy("title").orderBy(F.desc("score"), entry))
-    best = scored.join(firsts, "__title").select("title", entry, "score").withColumn("rank", rank).where(F.col("rank") <= most)
+    firsts = catalogue.select("title", entry).withColumn("__n", nth).where(F.col("__n") <= most).join(theirs.select("title", F.col("key").alias("other")), "title").select("other", entry)
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), entry))
+    best = hits.join(firsts, "other").select("key", entry, "score").withColumn("rank", rank).where(F.col("rank") <= most).join(own.select("key", "title"), "key")
     # many books may have one title, so the hits go out to salted rows
     best = best.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = books.select(id, "title", F.pmod(F.xxhash64(id), F.lit(SALTS)).cast("int").alias("__salt"))

@@ -91,3 +91,16 @@ def test_copies_are_compared_once(spark, titles, monkeypatch):
     one = rows()
     monkeypatch.setattr(C, "BLOCK", 40)
     assert C._blocks(150) == 4 and rows() == one
+
+
+def test_only_the_best_hits_leave_a_block(spark):
+    """400 titles that are nearly all hits of each other: what leaves the tasks grows with the titles, not with their pairs."""
+    entries = spark.range(400).select(F.col("id").cast("int").alias("entry"), F.concat(F.lit("The very same long title no "), F.col("id").cast("string")).alias("title"))
+    known = C.weights(entries.groupBy("title").agg(F.count(F.lit(1)).alias("n")))
+    own, theirs = (C.weighed(entries.select("title"), known, 0.05) for _ in range(2))
+    assert C.candidates(own, theirs, 0.05).count() == 400 * 5
+    rows = [tuple(x) for x in entries.collect()]
+    got = {}
+    for x in C.ranked(entries.select(F.col("entry").alias("book"), "title"), entries, "book", "entry", 0.05).orderBy("book", "rank").collect():
+        got.setdefault(x["book"], []).append((x["entry"], pytest.approx(x["score"], abs=1e-12)))
+    assert plain(rows, rows, 0.05, 5) == got
