@@ -189,9 +189,9 @@ def contents_tree(entries: DataFrame) -> DataFrame:
     return all_.select("path", "position", "depth", "parent", F.when(F.col("error").isNull(), F.col("place")).alias("place"), "title", "name", "trail", "error")
 
 
-def integrity(entries: DataFrame) -> DataFrame:
-    """(path, status): ok, toc missing, no package, empty spine, missing file, unknown item, bad toc, or unreadable."""
-    packed = packages(entries)
+def integrity(entries: DataFrame, packed: DataFrame | None = None) -> DataFrame:
+    """(path, status): ok, toc missing, no package, empty spine, missing file, unknown item, bad toc, or unreadable. packed are the entries' packages, if they are at hand."""
+    packed = packages(entries) if packed is None else packed
     paths = packed.select("path", F.col("opf_name").isNull().alias("no_package"), (F.coalesce(F.size("opf.spine.itemref"), F.lit(0)) <= 0).alias("empty"))
     broken = entries.groupBy("path").agg(F.bool_or(F.col("error").isNotNull()).alias("unreadable"))
     order = spine(packed, entries).groupBy("path").agg(F.bool_or(F.col("status") == "no such item").alias("unknown"))
@@ -242,9 +242,9 @@ def covers(entries: DataFrame) -> DataFrame:
     return found.groupBy("path").agg(F.min(F.struct("rank", "name"))["name"].alias("name"))
 
 
-def titles(entries: DataFrame) -> DataFrame:
-    """(path, title, author, series, series_order) from the package: the first title and author, and the library's series marks; null where there is none."""
-    packed = packages(entries)
+def titles(entries: DataFrame, packed: DataFrame | None = None) -> DataFrame:
+    """(path, title, author, series, series_order) from the package: the first title and author, and the library's series marks; null where there is none. packed as for integrity()."""
+    packed = packages(entries) if packed is None else packed
     meta = lambda name: F.get(F.filter("opf.metadata.meta", lambda m: m["_name"] == name), F.lit(0))["_content"]
     return packed.select(
         "path", F.get("opf.metadata.dc:title", F.lit(0)).alias("title"), F.get("opf.metadata.dc:creator", F.lit(0)).alias("author"),

@@ -48,10 +48,12 @@ class KeyedTable:
         return f"{self.root}/manifests/{number:012d}.json"
 
     def _numbers(self) -> list[int]:
-        folder = self._path(f"{self.root}/manifests")
-        if not self._files.exists(folder):
-            return []
-        return sorted(int(n[:12]) for f in self._files.listStatus(folder) if (n := f.getPath().getName()).endswith(".json") and not n.startswith((".", "_")))
+        return sorted(int(n[:-5]) for n in self._names(f"{self.root}/manifests") if n.endswith(".json") and not n.startswith((".", "_")))
+
+    def _names(self, folder: str) -> list[str]:
+        """The names in a folder; none if it isn't there."""
+        path = self._path(folder)
+        return [f.getPath().getName() for f in self._files.listStatus(path)] if self._files.exists(path) else []
 
     def version(self, number: int | None = None) -> Version | None:
         """A version, the last one if none is named; null if there is none yet."""
@@ -60,8 +62,11 @@ class KeyedTable:
             return None
         if number is not None and number not in numbers:
             raise LookupError(f"no version {number}")
-        text = self.spark.read.text(self._manifest(numbers[-1] if number is None else number), wholetext=True).first()[0]
-        return Version(**json.loads(text))
+        source = self._files.open(self._path(self._manifest(numbers[-1] if number is None else number)))
+        try:
+            return Version(**json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")))
+        finally:
+            source.close()
 
     def _commit(self, version: Version) -> None:
         """The manifest, written under another name and then given its number in one step, unless that is taken."""
@@ -112,7 +117,7 @@ class KeyedTable:
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         bucketed = rows.withColumn("__bucket", self._bucket())
         bucketed.repartition(F.col("__bucket")).write.partitionBy("__bucket").parquet(folder)
-        filled = {str(r[0]) for r in self.spark.read.parquet(folder).select("__bucket").distinct().collect()} if len(touched) else set()  # at most one a bucket
+        filled = {n.removeprefix("__bucket=") for n in self._names(folder) if n.startswith("__bucket=")}
         buckets = {b: f for b, f in (base.buckets if base else {}).items() if int(b) not in touched} | dict.fromkeys(filled, folder)
         applied = dict(base.applied if base else {}) | ({source: number} if source else {})
         next_ = Version((base.number if base else -1) + 1, rows.schema.jsonValue(), buckets, applied)

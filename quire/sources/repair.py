@@ -69,14 +69,15 @@ def package_patched(opf: Column, href: str = "toc.ncx") -> Column:
     return F.regexp_replace(named, r"<spine\b(?![^>]*\btoc\s*=)([^>]*?)\s*(/?)>", '<spine$1 toc="ncx"$2>')
 
 
-def repaired(entries: DataFrame) -> DataFrame:
+def repaired(entries: DataFrame, packed: DataFrame | None = None) -> DataFrame:
     """Entries with a generated contents file beside the package and the package patched; old ones are left out.
 
-    Books without a package, or with a point that is unfit, come out as they are.
+    Books without a package, or with a point that is unfit, come out as they are. packed are the entries' packages, if
+    they are at hand.
     """
-    packed = packages(entries)
+    packed = packages(entries) if packed is None else packed
     toc = contents_text(contents_points(packed, entries), packed.select("path", F.get("opf.metadata.dc:title", F.lit(0)).alias("title")))
-    made = packed.select("path", "opf_name").join(toc, "path")
+    made = kept(packed.select("path", "opf_name").join(toc, "path"))
     joined = entries.join(made, "path", "left")
     is_package = F.coalesce(F.col("name") == F.col("opf_name"), F.lit(False))
     old_toc = F.col("toc").isNotNull() & F.contains("name", F.lit("toc.ncx"))

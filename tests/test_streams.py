@@ -74,6 +74,25 @@ def test_ingest_broadcasts_nothing(spark, tmp_path, monkeypatch):
     assert [t.read().count() for t in tables] == [1, 1]
 
 
+def test_a_batch_of_ingest_is_few_tasks(spark, tmp_path):
+    """A batch deals its entries out once, and neither its files nor its joins make tasks by the number of files or partitions set; the session's own settings stay."""
+    key, before = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    cores, settings = spark.sparkContext.defaultParallelism, spark.conf.getAll
+    put(f"{tmp_path}/in", {f"a/{k}.epub": titled(k) if k % 10 else b"no zip" for k in range(60)})
+    tables = [KeyedTable(spark, f"file://{tmp_path}/{x}", ["path"], buckets=4) for x in ("good", "bad")]
+    spark.conf.set(key, "50")
+    try:
+        query = I.ingest(spark, f"{tmp_path}/in", *tables, f"{tmp_path}/checkpoint")
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(str(query.runId))]
+    tasks = [tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds]
+    assert 0 < len(jobs) <= 20 and max(tasks) <= 3 * cores and spark.conf.getAll == settings
+    assert [t.read().count() for t in tables] == [54, 6]
+
+
 def batches(folder, rows, n):
     """Parquet-free input: a JSON file per batch."""
     os.makedirs(folder)
